@@ -1,0 +1,41 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    """Link every larger neighbour of a node to the node's least neighbour."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """Link a node and its smaller neighbours to the least of them; edges have u > v."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node with an edge that is not the least of its component.
+
+    edges: long columns u, v. The number of rounds grows with the logarithm of the
+    longest path. Every round is cut through the shared checkpoint folder.
+    """
+    now = checkpoint(
+        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    )
+    seal = None
+    while True:
+        # Ordinary integers, whose sum cannot overflow unseen, tell whether a round changed anything.
+        found = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(found) == seal or not found[0]:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        seal = tuple(found)
+        now = checkpoint(_small(_large(now)))
