@@ -65,6 +65,7 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     """Long texts: keep Arrow batches small, so that a Python worker holds few texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def word_count(text) -> F.Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, pii, simhash
+from . import decontaminate, language_id, mixing, pii, simhash, token_files
 from .common import table
 from .quality_rules import quality_rules
 
@@ -19,6 +19,10 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
+    "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
