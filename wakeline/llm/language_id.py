@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,20 +182,25 @@ def train(docs: DataFrame, most: int = MAX_PAIRS) -> Model:
     return Model(languages, *word_part, *gram_part)
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred and score of every document, from its text alone."""
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred and score of every document, from its text alone; with `carry`,
+    those columns of the input instead of doc_id."""
     # Plain values: broadcasts are unpickled where this package may not be installed.
     sent = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
+    columns = list(carry) or [key]
+    rows = docs.select(*dict.fromkeys([*columns, "text"]))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         local = Model(*sent.value)
         for part in parts:
-            found = [local.predict(t, memo) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+            found = [local.predict(t.as_py(), memo) for t in part.column("text")]
+            told = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *told], [*columns, "lang_pred", "score"])
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col(key).alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*columns).dtypes)
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
