@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DEPTH = 3
 LAYERS = 32
@@ -69,7 +70,7 @@ def fold_unicode(text) -> Column:
     return F.translate(F.regexp_replace(text, ZERO_WIDTH, ""), CONFUSABLE, LATIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, which has no built-in function."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -106,7 +107,7 @@ def _yaml_scalar(text: str) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_unescape(scalars: pd.Series) -> pd.Series:
     """Content of YAML double-quoted scalars, quotes left off; null if malformed."""
     return scalars.map(lambda t: None if t is None else _yaml_scalar(t))
@@ -115,6 +116,16 @@ def yaml_unescape(scalars: pd.Series) -> pd.Series:
 STRING_CODECS = ("json",)
 
 
+def _steps(name: str, codec) -> Column:
+    """Layers that a codec finds in `text`, with the chain that led there; a string codec
+    is not used twice in a chain."""
+    found = codec("text")
+    if name in STRING_CODECS:
+        used = F.arrays_overlap("chain", F.array(*map(F.lit, STRING_CODECS)))
+        found = F.when(~used, found).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda t: F.struct(F.array_append("chain", F.lit(name)).alias("chain"), t.alias("text")))
+
+
 def layers(rows: DataFrame, key: str, text: str, depth: int = DEPTH, most: int = LAYERS) -> DataFrame:
     """Breadth-first decoded layers: (key, layer, chain, text), layer 0 being the text itself.
 
@@ -125,15 +136,7 @@ def layers(rows: DataFrame, key: str, text: str, depth: int = DEPTH, most: int =
     level = rows.select(key, F.array().cast("array<string>").alias("chain"), F.col(text).alias("text"))
     found = level
     for _ in range(depth):
-        steps = F.concat(
-            *[
-                F.transform(
-                    fn("text") if name not in STRING_CODECS else F.when(~F.arrays_overlap("chain", F.array(*map(F.lit, STRING_CODECS))), fn("text")).otherwise(F.array().cast("array<string>")),
-                    lambda t, name=name: F.struct(F.array_append("chain", F.lit(name)).alias("chain"), t.alias("text")),
-                )
-                for name, fn in codecs.items()
-            ]
-        )
+        steps = F.concat(*[_steps(name, fn) for name, fn in codecs.items()])
         level = level.select(key, F.explode(steps).alias("s")).select(key, "s.chain", "s.text")
         found = found.unionByName(level)
     one = found.groupBy(key, "text").agg(F.min(F.struct(F.size("chain"), "chain")).alias("m")).select(key, "text", F.col("m.chain").alias("chain"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Length of the start of a body shown in lists.
 SNIPPET = 160
-#: Characters of a body that full-text search covers.
-SEARCHED = 65_536
 
 
 def normalize(text) -> Column:
@@ -21,10 +19,29 @@ def trimmed_length(text) -> Column:
 
 
 def shingles(text, width: int) -> Column:
-    """Every substring of `width` characters as structs (pos, gram), positions from 0."""
+    """Every substring of `width` characters as structs (pos, gram), positions from 0.
+
+    Finding a place in UTF-8 text means walking to it, so texts are cut into pieces and
+    those into small ones first; a walk for a gram then is at most a small piece long.
+    """
     c = F.col(text) if isinstance(text, str) else text
-    places = F.when(F.length(c) >= width, F.sequence(F.lit(0), F.length(c) - width)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.substring(c, i + 1, F.lit(width)).alias("gram")))
+
+    def cut(pieces: Column, step: int, size: int) -> Column:
+        """Pieces (pos, s) cut into overlapping ones of `size` characters, every `step`."""
+        return F.flatten(
+            F.transform(
+                pieces,
+                lambda p: F.transform(
+                    F.sequence(F.lit(0), F.length(p["s"]) - width, F.lit(step)),
+                    lambda i: F.struct((p["pos"] + i).alias("pos"), F.substring(p["s"], i + 1, F.lit(size)).alias("s")),
+                ),
+            )
+        )
+
+    whole = F.when(F.length(c) >= width, F.array(F.struct(F.lit(0).alias("pos"), c.alias("s"))))
+    small = cut(cut(whole, 4096, 4095 + width), 64, 63 + width)
+    grams = F.transform(cut(small, 1, width), lambda p: F.struct(p["pos"].alias("pos"), p["s"].alias("gram")))
+    return F.coalesce(grams, F.array().cast("array<struct<pos:int,gram:string>>"))
 
 
 def portable_hash(text) -> Column:
@@ -52,10 +69,8 @@ def token_runs(text, least: int = 24, most: int = 46) -> Column:
 
 
 def lexemes(text) -> Column:
-    """Distinct lower-case words of the searched part of a body; no stemming."""
-    return F.array_distinct(
-        F.regexp_extract_all(F.lower(F.substring(text, 1, SEARCHED)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    )
+    """Distinct lower-case words of a whole body; no stemming."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
 
 
 def snippet(text) -> Column:

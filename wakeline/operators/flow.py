@@ -74,16 +74,16 @@ def first_deliveries(deliveries: DataFrame, keys: list[str], at: str, tie: str)
     return deliveries.withColumn("first", rank == 1)
 
 
-def transmission_states(pairs: DataFrame, evidence: DataFrame, keys: list[str], now: Column, timing: Timing) -> DataFrame:
+def transmission_states(pairs: DataFrame, evidence: DataFrame, keys: list[str], on: list[str], now: Column, timing: Timing) -> DataFrame:
     """State of each transmission opened at its first read.
 
-    pairs: (keys, read_at); evidence: (keys, at) matches that link. Confirmed if one comes
+    pairs: (keys, read_at); evidence: (on, at) matches that link, `on` being some of the keys. Confirmed if one comes
     from the read to the end of the evidence window, or later but before the discard;
     suspected when the evidence window has passed without; discarded when the suspect
     window has too; else awaiting.
     """
     opened = pairs.groupBy(*keys).agg(F.min("read_at").alias("opened_at"), F.count("*").alias("co_accesses"))
-    linked = opened.join(evidence.select(*keys, "at"), keys, "left").groupBy(*keys, "opened_at", "co_accesses").agg(
+    linked = opened.join(evidence.select(*on, "at"), on, "left").groupBy(*keys, "opened_at", "co_accesses").agg(
         F.min(F.when(F.col("at") >= F.col("opened_at"), F.col("at"))).alias("evidence_at")
     )
     expiry = F.col("opened_at") + timing.evidence
