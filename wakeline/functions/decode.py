@@ -35,7 +35,7 @@ def base64_layers(text, least: int = RUN) -> Column:
     """Texts under maximal base64 runs, standard or URL-safe."""
 
     def decoded(x: Column) -> Column:
-        plain = F.rtrim(F.lit("="), F.translate(x, "-_", "+/"))
+        plain = F.rtrim(F.translate(x, "-_", "+/"), F.lit("="))
         left = F.length(plain) % 4
         whole = F.when(left == 1, F.lit(None)).otherwise(F.concat(plain, F.repeat(F.lit("="), (4 - left) % 4)))
         return _text(F.try_to_binary(whole, F.lit("base64")))

@@ -146,7 +146,7 @@ def transmission_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed by a click of the reader on the resource in time, else suspected or discarded."""
     seen = accesses(spark, sf_dir).where("op = 'evidence'").select(F.col("agent").alias("reader"), "resource", "at")
     pairs = _pairs(spark, sf_dir).where(F.col("read_at") <= NOW)
-    return flow.transmission_states(pairs, seen.where(F.col("at") <= NOW), ["reader", "writer", "resource"], ["reader", "resource"], F.lit(NOW), TIMING)
+    return flow.transmission_states(pairs, seen.where(F.col("at") <= NOW), ["reader", "writer", "resource"], ["reader", "resource"], F.lit(NOW), TIMING).fillna(0, ["evidence_at"])
 
 
 TRANSMISSION_STATES = PAIRS + f"""
@@ -155,7 +155,7 @@ linked AS (
   SELECT o.*, min(e.at) AS evidence_at FROM opened o
   LEFT JOIN accesses e ON e.op = 'evidence' AND e.agent = o.reader AND e.resource = o.resource AND e.at >= o.opened_at AND e.at <= {NOW}
   GROUP BY ALL)
-SELECT *, CASE WHEN evidence_at <= least(opened_at + {TIMING.settle_after}, {NOW}) THEN 'confirmed'
+SELECT * REPLACE (coalesce(evidence_at, 0) AS evidence_at), CASE WHEN evidence_at <= least(opened_at + {TIMING.settle_after}, {NOW}) THEN 'confirmed'
   WHEN {NOW} >= opened_at + {TIMING.settle_after} THEN 'discarded' WHEN {NOW} >= opened_at + {TIMING.evidence} THEN 'suspected'
   ELSE 'awaiting' END AS state FROM linked"""
 
@@ -210,12 +210,12 @@ def channel_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity of every key by its last access within five days of a time."""
     traffic = accesses(spark, sf_dir).where(F.col("at") <= NOW).select(F.col("resource").alias("channel"), "at")
     channels = spark.range(0, 120).select(F.col("id").alias("channel"), F.lit(NOW - 20 * DAY).alias("declared_at"))
-    return flow.detection(channels, traffic, F.lit(NOW), DAY // 4).select("channel", "last_at", "detection")
+    return flow.detection(channels, traffic, F.lit(NOW), DAY // 4).select("channel", F.coalesce("last_at", F.lit(0)).alias("last_at"), "detection")
 
 
 CHANNEL_DETECTION = f"""
 WITH {ACCESSES}, t AS (SELECT resource, max("at") AS last_at FROM accesses WHERE "at" <= {NOW} GROUP BY 1)
-SELECT c AS channel, last_at, CASE WHEN last_at >= {NOW - DAY // 4} THEN 'active' WHEN last_at IS NOT NULL THEN 'dormant' ELSE 'unused' END AS detection
+SELECT c AS channel, coalesce(last_at, 0) AS last_at, CASE WHEN last_at >= {NOW - DAY // 4} THEN 'active' WHEN last_at IS NOT NULL THEN 'dormant' ELSE 'unused' END AS detection
 FROM range(0, 120) r(c) LEFT JOIN t ON c = resource"""
 
 

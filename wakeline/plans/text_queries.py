@@ -270,10 +270,12 @@ def decode_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = decode.layers(b.select("item_id", hidden.alias("text")), "item_id", "text", depth=1)
     whole = found.join(b.withColumnRenamed("text", "plain"), "item_id").where("layer > 0")
-    return whole.where("text = plain OR endswith(text, plain)").groupBy("item_id").agg(F.min("layer").alias("layer"), F.max(F.length("text")).alias("length"))
+    return whole.where("text = plain OR endswith(text, plain)").groupBy("item_id").agg(
+        F.array_join(F.array_sort(F.collect_set(F.col("chain")[0])), ",").alias("codecs"), F.min(F.length("text")).alias("length")
+    )
 
 
-DECODE_LAYERS = "SELECT item_id, 1 AS layer, length(text)::INT AS length FROM benchmark"
+DECODE_LAYERS = "SELECT item_id, 'base64,hex,url' AS codecs, length(text)::INT AS length FROM benchmark"
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

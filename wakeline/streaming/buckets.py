@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, path: str, at: str) -> DataFrame:
-    """A folder of Parquet files as a stream, its time column made a timestamp."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path).withColumn(at, F.col(at).cast("timestamp"))
+    """A table of Parquet files as a stream, its time column made a timestamp.
+
+    Streams read folders: a table that is a single file is read as such from its folder.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8)
+    if found.isFile():
+        reader, path = reader.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return reader.parquet(path).withColumn(at, F.col(at).cast("timestamp"))
 
 
 def tumbling(rows: DataFrame, at: str, width: str, keys: list[str], delay: str, **values) -> DataFrame:
