@@ -34,6 +34,29 @@ bits AS (
 SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM bits
 """
 
+OP8 = r"""
+WITH p AS (
+  SELECT page_id, url, html, '"' || md5(html) || '"' AS tag, 'day ' || (page_id % 9) AS day,
+         regexp_replace(url, '#.*$', '') AS u FROM pages),
+c AS (
+  SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1))
+    || CASE WHEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) END
+    || CASE WHEN regexp_extract(u, '\?(.*)$', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')), '&') END AS canonical
+  FROM p),
+r AS (
+  -- Every page was fetched in full just before it was asked for again, so that is its latest response.
+  SELECT a.page_id * 2 + 1 AS record_id, a.canonical, a.page_id AS pid, a.html, a.day,
+    CASE WHEN a.page_id % 6 = 1 THEN 'validator_mismatch' WHEN a.page_id % 6 = 4 THEN 'no_validator' ELSE 'resolved' END AS outcome,
+    CASE WHEN a.page_id % 6 = 0 THEN 'W/' || a.tag WHEN a.page_id % 6 < 4 THEN a.tag END AS etag
+  FROM c a)
+SELECT record_id, canonical, CASE WHEN outcome = 'resolved' THEN pid * 2 ELSE -1 END AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || (pid * 10 + 5) || ';etag=' || coalesce(etag, '') || ';last-modified=' || day END AS headers,
+  CASE WHEN outcome = 'resolved' THEN md5(html) END AS body_md5,
+  CASE WHEN outcome = 'resolved' THEN strlen(html) ELSE 0 END AS body_bytes
+FROM r
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1,
+    "op8_not_modified_revisits": OP8,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, pii, simhash, substring_dedup, token_files, url_filter
+from . import decontaminate, language_id, mixing, pii, revisits, simhash, substring_dedup, token_files, url_filter
 from .common import table
 from .quality_rules import quality_rules
 
@@ -39,6 +39,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_not_modified_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.digest(revisits.resolve(revisits.archive_of(table(spark, sf_dir, "pages"))))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(decontaminate.decontaminate(docs, benchmark))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
+    "op8_not_modified_revisits": op8_not_modified_revisits,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_personal_data": op10_personal_data,
 }
