@@ -263,19 +263,19 @@ SELECT page_id, p = '/en' OR p LIKE '/en/%' AS english, p = '/en/1' OR p LIKE '/
 
 
 def decode_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items encoded in three ways and found again."""
+    """Benchmark items hidden in three encodings, and found again under each."""
+    raw = F.encode("text", "utf-8")
+    hidden = {"base64": F.regexp_replace(F.base64(raw), r"\s", ""), "hex": F.hex(raw), "url": F.url_encode("text")}
     b = table(spark, sf_dir, "benchmark")
-    hidden = F.concat(
-        F.lit("see "), F.base64(F.encode("text", "utf-8")), F.lit(" and "), F.hex(F.encode("text", "utf-8")), F.lit(" or "), F.url_encode("text")
-    )
-    found = decode.layers(b.select("item_id", hidden.alias("text")), "item_id", "text", depth=1)
-    whole = found.join(b.withColumnRenamed("text", "plain"), "item_id").where("layer > 0")
-    return whole.where("text = plain OR endswith(text, plain)").groupBy("item_id").agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("chain")[0])), ",").alias("codecs"), F.min(F.length("text")).alias("length")
-    )
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), F.concat(F.lit("see "), v, F.lit(" there")).alias("text")) for k, v in hidden.items()]))
+    rows = b.select("item_id", F.col("text").alias("plain"), each.alias("h")).select(F.struct("item_id", "h.codec", "plain").alias("key"), "h.text")
+    found = decode.layers(rows, "key", "text", depth=1).where((F.size("chain") == 1) & (F.col("text") == F.col("key.plain")))
+    return found.select("key.item_id", "key.codec", F.col("chain")[0].alias("found_by"), F.length("text").alias("length"))
 
 
-DECODE_LAYERS = "SELECT item_id, 'base64,hex,url' AS codecs, length(text)::INT AS length FROM benchmark"
+DECODE_LAYERS = """
+SELECT item_id, codec, codec AS found_by, length(text)::INT AS length FROM benchmark, (VALUES ('base64'), ('hex'), ('url')) c(codec)
+WHERE codec <> 'url' OR regexp_matches(text, '[^A-Za-z0-9 .*_-]')"""
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
