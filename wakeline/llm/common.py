@@ -1,65 +1,16 @@
-"""Helpers shared by the operators: table access, shared storage, text rules."""
+"""Helpers shared by the operators: shared storage, Arrow batches, the word rule."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# Word rule shared by the quality, near-duplicate and mixing operators.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="wakeline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder: survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from wakeline.sources.storage import checkpoint, new_path, remove, shared_dir, staged, table
 
+__all__ = ["WORD", "arrow_rows", "checkpoint", "new_path", "remove", "shared_dir", "staged", "table", "word_count"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in shared storage, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session is gone by now
-        pass
-
-
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in shared storage and read it back; also gives the path."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+# Word rule shared by the quality, near-duplicate and mixing operators.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
@@ -68,6 +19,6 @@ def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
-def word_count(text) -> F.Column:
+def word_count(text) -> Column:
     """Words of a text column as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
