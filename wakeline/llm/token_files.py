@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,15 @@ from .common import arrow_rows, new_path, remove, staged
 END_ID = 2
 BLOCK_IDS = 1 << 18
 SHARD_IDS = 1 << 23
-CACHE = 300_000
+CACHE = 1_000_000
 
-# Pieces of the tokenizer's own pre-tokenizer, and characters on whose classes every
-# Unicode version agrees; a text with any other character goes to the tokenizer whole.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Characters on whose classes every Unicode version agrees: a text of these is split into
+# the pieces of the tokenizer's own pre-tokenizer here, any other goes to the tokenizer whole.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7E¡-¬®-ɏ–-…]")
+PIECES = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+)
 
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.int64)
 
@@ -52,51 +56,62 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes. Pieces repeat, so theirs are remembered."""
+    """Ids of texts as little-endian bytes, 2 or 4 per id as the vocabulary needs. Pieces
+    repeat, so theirs are remembered, up to `CACHE` of them at a time."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        before = self.tokenizer.pre_tokenizer
-        self.pieces = regex.compile(PIECES).findall if before and "ByteLevel" in str(before) else None
+        self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", 4)
+        self.by_pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def raw(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.pieces is None or OTHER.search(text):
-            return self.whole(text)
-        parts = self.pieces(text)
-        new = list(set(parts).difference(self.known))
-        if len(new) + len(self.known) > CACHE:
-            self.known.clear()
+        if not self.by_pieces or OTHER.search(text):
+            return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        parts = PIECES.findall(text)
+        known = self.known
+        new = list({p for p in parts if p not in known})
+        if len(new) + len(known) > CACHE:
+            known.clear()
             new = list(set(parts))
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, parts))
+                known[piece] = self.raw(found.ids)
+        return b"".join(map(known.__getitem__, parts))
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: it and its pieces outlast a task."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_wakeline_encoder", types.ModuleType("_wakeline_encoder"))
+    if getattr(held, "path", None) != path:
+        held.path, held.encoder = path, Encoder(path)
+    return held.encoder
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id and its ids, end id included, as little-endian bytes of 2 or 4 per id."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        one = Encoder(path)
-        width = "<u2" if one.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        one = worker_encoder(path)
+        end = one.raw([end_id])
         for part in parts:
-            ids = [np.frombuffer(one.encode(t) + end, dtype="<u4").astype(width).tobytes() for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "width": int(width[-1]), "ids": ids})
+            ids = [one.encode(t) + end for t in part["text"]]
+            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "width": one.width, "ids": ids})
 
     arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, width int, ids binary")
@@ -106,8 +121,8 @@ def count_ids(rows: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, dtype=np.int64)
         for part in parts:
-            for width, ids in zip(part["width"], part["ids"], strict=True):
-                some = np.bincount(np.frombuffer(ids, dtype=f"<u{width}"), minlength=len(total))
+            for width, rows_ in part.groupby("width"):
+                some = np.bincount(np.frombuffer(b"".join(rows_["ids"]), dtype=f"<u{width}"), minlength=len(total))
                 some[: len(total)] += total
                 total = some
         found = np.nonzero(total)[0]
