@@ -33,8 +33,10 @@ def winnowed(rows: DataFrame, key: str, text: str, width: int = GRAM, window: in
         F.transform(shingles(text, width), lambda g: F.struct(portable_hash(g["gram"]).alias("fp"), (-g["pos"]).alias("back"))).alias("g"),
     ).where(F.size("g") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("g") - window, F.lit(0)))
-    picks = F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice("g", i + 1, F.lit(window)))))
-    return hashed.select(key, F.explode(picks).alias("p")).select(key, (-F.col("p.back")).alias("pos"), F.col("p.fp").alias("fp"))
+    least = hashed.select(key, F.transform(starts, lambda i: F.array_min(F.slice("g", i + 1, F.lit(window)))).alias("p"))
+    # Places never go back from one window to the next, so equal ones are neighbours.
+    new = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1)["back"] != x["back"]))
+    return least.select(key, F.explode(new).alias("p")).select(key, (-F.col("p.back")).alias("pos"), F.col("p.fp").alias("fp"))
 
 
 def document_frequency(postings: DataFrame, text_key: str, since: Column | None = None) -> DataFrame:
