@@ -108,7 +108,10 @@ def resolve(records: DataFrame, slot: int = SLOT) -> DataFrame:
     stored = named.where("kind = 'response'").select(
         F.col("record_id").alias("response_id"), F.col("headers").alias("_stored"), F.col("digest").alias("_digest"), F.col("body").alias("_body")
     ).dropDuplicates(["response_id"])
-    joined = rows.join(own, "record_id", "left").join(stored, "response_id", "left")
+    # Unresolved revisits do not take part: with no id to join by, they would all meet in one task.
+    both = rows.join(own, "record_id", "left")
+    plain = both.where("response_id IS NULL").withColumns({c: F.lit(None).cast(t) for c, t in stored.dtypes if c != "response_id"})
+    joined = both.where("response_id IS NOT NULL").join(stored, "response_id", "left").unionByName(plain)
     return joined.select(
         "record_id", "canonical", "at", "response_id", "outcome",
         F.when(F.col("response_id").isNotNull(), merged_headers(F.col("_stored"), F.col("_own"))).alias("headers"),
