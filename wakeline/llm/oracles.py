@@ -56,7 +56,52 @@ SELECT record_id, canonical, CASE WHEN outcome = 'resolved' THEN pid * 2 ELSE -1
 FROM r
 """
 
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+hits AS (SELECT DISTINCT doc_id, k, i, item_id FROM dw JOIN iw USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hits, range(10) r(j) WHERE j < k GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(d.w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+# Strings of 50 bytes are 100 hex digits.
+OP3 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+low AS (SELECT g, min(doc_id) AS first_doc FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN low USING (g) WHERE first_doc < doc_id),
+edge AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS opens FROM hit),
+run AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+gap AS (
+  SELECT doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER s, 0) + 1, 2 * (a - coalesce(lag(b) OVER s, 0))) AS kept
+  FROM span JOIN d USING (doc_id) WINDOW s AS (PARTITION BY doc_id ORDER BY a)),
+sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS last_end, string_agg(kept, '' ORDER BY a) AS kept FROM gap GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_end, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": OP1,
+    "op3_substring_dedup": OP3,
     "op8_not_modified_revisits": OP8,
+    "op9_benchmark_decontamination": OP9,
 }
