@@ -24,7 +24,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -36,14 +37,15 @@ from .common import arrow_rows, new_path, remove, staged
 END_ID = 2
 BLOCK_IDS = 1 << 18
 SHARD_IDS = 1 << 23
-CACHE = 1_000_000
+CACHE = 1_500_000
+GATHER = 1 << 16
 
 # Characters on whose classes every Unicode version agrees: a text of these is split into
 # the pieces of the tokenizer's own pre-tokenizer here, any other goes to the tokenizer whole.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7E¡-¬®-ɏ–-…]")
 PIECES = re.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
+    rf" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 )
 
 LENGTHS = np.array([[1 + (c >> s & 3) for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.int64)
@@ -71,22 +73,47 @@ class Encoder:
     def raw(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def learn(self, pieces: list[str]) -> None:
+        """Remember pieces, many to a call: the ids of one are those of its place in the call."""
+        for at in range(0, len(pieces), 1024):
+            some = pieces[at : at + 1024]
+            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            raw = self.raw(found.ids)
+            first = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
+            cuts = (first * array(self.code).itemsize).tolist()
+            for piece, low, high in zip(some, cuts, cuts[1:]):
+                self.known[piece] = raw[low:high]
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_pieces or OTHER.search(text):
-            return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        parts = PIECES.findall(text)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of each text, in order. New pieces are gathered over texts of `GATHER` characters."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GATHER:
+                yield from self._encoded(group)
+                group, size = [], 0
+        yield from self._encoded(group)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
-        new = list({p for p in parts if p not in known})
+        split = [PIECES.findall(t) if self.by_pieces and not OTHER.search(t) else None for t in texts]
+        new = {p for parts in split if parts for p in parts if p not in known}
         if len(new) + len(known) > CACHE:
             known.clear()
-            new = list(set(parts))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = self.raw(found.ids)
-        return b"".join(map(known.__getitem__, parts))
+            new = {p for parts in split if parts for p in parts}
+        self.learn(list(new))
+        for text, parts in zip(texts, split, strict=True):
+            if parts is None:
+                yield self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            elif len(parts) > 1:
+                yield b"".join(itemgetter(*parts)(known))
+            else:
+                yield known[parts[0]] if parts else b""
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -110,7 +137,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         one = worker_encoder(path)
         end = one.raw([end_id])
         for part in parts:
-            ids = [one.encode(t) + end for t in part["text"]]
+            ids = [x + end for x in one.encode_all(part["text"])]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "width": one.width, "ids": ids})
 
     arrow_rows(docs.sparkSession)
