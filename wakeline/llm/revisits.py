@@ -18,8 +18,8 @@ Outcomes: resolved, no_response (none earlier), validator_mismatch, no_validator
 latest earlier response decides; one further back is not tried, as the page had changed.
 
 Records: record_id, url, at (long), kind (`response` or `revisit`), headers
-(map<string,string>), digest, body. Header names are taken in lower case. A response is
-full if its status is 200.
+(map<string,string>), digest, body. Header names are taken in lower case. Every record of
+kind `response` counts as a full one: select those of status 200 before.
 
 Defined results: records with a null URL or time are not resolved (no_response); at one
 time, a response counts as earlier if its record_id is less; a null header map is empty;
