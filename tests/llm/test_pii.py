@@ -55,6 +55,18 @@ def test_methods_spans_are_added_and_base_ones_stay(spark):
     assert "secret" in spans[1] and "secret" in spans[2] and spans[4] == ""
 
 
+def test_names_are_found_wherever_they_stand():
+    for text in ("(Mary Smith)", 'by "Mary Smith"', "Dear Mary Smith,", "Contact Mary Smith", "Mr Mary Smith", "Mary Smith"):
+        at = text.index("Mary")
+        assert P.candidates(text, []) == [("person", at, at + len("Mary Smith"))]
+    assert P.candidates("Rosemary Smith, xMary Smith, Mary Smith2 and Mary smith", []) == []
+
+
+def test_long_secrets_are_candidates():
+    key = "a1B2" * 300
+    assert P.candidates(f"key={key} end", []) == [("secret", 4, 4 + len(key))]
+
+
 def test_reliabilities_follow_agreement():
     p = P.expectation_maximisation({"11-": 80, "10-": 20, "00-": 90, "-1-": 5})
     assert p["11-"] > 0.9 > p["00-"] and p["00-"] < 0.1

@@ -49,7 +49,9 @@ DIGIT = re.compile(r"[0-9]")
 HANDLE = re.compile(r"\b[A-Za-z0-9_.-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,40} ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z]{2,10}\b")
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])")
+# The rest is looked at, not consumed: each capitalised word may start a name.
+PERSON = re.compile(r"[A-Z](?<!\w[A-Z])(?=([a-z]+)( [A-Z][a-z]+)\b)")
 NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z.-])")
 
 # Gazetteers: common given names, and top-level names of addresses.
@@ -131,10 +133,9 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             if DIGIT.search(m.group()) and re.search(r"[A-Za-z]", m.group()):
                 rough.append(("secret", *m.span()))
         rough += [("number", *m.span()) for m in NUMBER.finditer(text) if len(DIGIT.findall(m.group())) >= 7]
-    if not NAMES.isdisjoint(text.split()):
-        for m in re.finditer(r"\b([A-Z][a-z]+) [A-Z][a-z]+\b", text):
-            if m.group(1) in NAMES:
-                rough.append(("person", *m.span()))
+    for m in PERSON.finditer(text):
+        if m.group() + m.group(1) in NAMES:
+            rough.append(("person", m.start(), m.end(2)))
     taken = sorted((a, b) for _, a, b in base)
     # Rules are listed from strict to loose: the first that claims a place has it.
     out: list[tuple[str, int, int]] = []
