@@ -69,6 +69,18 @@ def test_spans_point_into_the_original(spark):
     assert [DOCS[1][1][s["start"] : s["end"]] for s in row["spans"]] == ["short item", "SHORT, item"]
 
 
+def test_parts_keep_a_row_each_of_repeated_and_null_ids(spark):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = [*DOCS, (2, DOCS[1][1]), (2, "another text, a short item"), (None, DOCS[0][1]), (None, "no hit here"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    whole = D.decontaminate(df, items).collect()
+    parts = D.decontaminate(df, items, part_bytes=200).collect()
+    assert len(whole) == len(docs)
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+    assert D.decontaminate(frame(spark), items, part_bytes=200).count() == len(rows())
+    assert D.decontaminate(empty(spark), items, part_bytes=200).count() == 0
+
+
 def test_edges(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

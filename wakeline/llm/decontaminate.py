@@ -7,8 +7,9 @@ each text is scanned once, and hits are mapped back to word ranges and to charac
 offsets of the original text.
 
 The automaton is sent to tasks, so its size is checked first: windows are dealt by hash
-into as many parts as keep each under `PART_BYTES`, and each part scans the texts on its
-own; hits of all parts are then merged per document. No window is left out.
+into as many parts as keep each under `PART_BYTES`, and written so; each part in turn is
+read, scans the texts on its own and is dropped before the next. Hits of all parts are then
+merged by row of a written copy of the documents. No window is left out.
 
 Defined results: null and empty texts have no words and no hits; an item without words
 has no window and is never found; equal windows of several items count for each of
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, new_path, staged
 
 WINDOW = 10
 PART_BYTES = 32 << 20
@@ -112,9 +113,12 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
 HITS = "doc_id long, n_words long, words array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, items array<long>"
 
 
-def _scan_part(docs: DataFrame, patterns: list[tuple[str, list[int]]]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)
+def _sent(windows: DataFrame):
+    """Broadcast of (window, sorted item ids)."""
+    return windows.sparkSession.sparkContext.broadcast([(r["window"], sorted(r["item_ids"])) for r in windows.collect()])
 
+
+def _scan_part(docs: DataFrame, sent) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = automaton(sent.value)
         for part in parts:
@@ -141,31 +145,34 @@ def _merge(spans: str) -> F.Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Per document: n_words, hit word ranges, hit character spans, ids of items found.
-
-    A doc_id must name one text when the benchmark needs more than one part, as parts
-    are merged by it.
-    """
+    """Per document: n_words, hit word ranges, hit character spans, ids of items found."""
     windows = item_windows(benchmark, width)
     total = windows.agg(F.sum(F.length("window") + 16 + 8 * F.size("item_ids"))).first()[0] or 0
     n_parts = max(1, -(-int(total) // part_bytes))
     if n_parts == 1:
-        return _scan_part(docs, [(r["window"], sorted(r["item_ids"])) for r in windows.collect()])
-    dealt = windows.withColumn("_part", F.pmod(F.xxhash64("window"), F.lit(n_parts)))
-    each = [
-        _scan_part(docs, [(r["window"], sorted(r["item_ids"])) for r in dealt.where(F.col("_part") == k).collect()])
-        for k in range(n_parts)
-    ]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.unionByName(more)
-    found = rows.groupBy("doc_id").agg(
+        return _scan_part(docs, _sent(windows))
+    spark = docs.sparkSession
+    parts, hits = new_path(spark, "benchmark-windows"), new_path(spark, "benchmark-hits")
+    part = F.pmod(F.xxhash64("window"), F.lit(n_parts)).cast("int").alias("part")
+    windows.select("*", part).repartition(n_parts, "part").write.partitionBy("part").parquet(parts)
+    # Written, so that every part sees the same row ids: a doc_id may repeat or be null.
+    rows, _ = staged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "benchmark-documents")
+    texts = rows.select(F.col("row").alias("doc_id"), "text")
+    dealt = spark.read.schema("window string, item_ids array<long>, part int").parquet(parts)
+    for k in range(n_parts):
+        sent = _sent(dealt.where(F.col("part") == k))
+        found = _scan_part(texts, sent)
+        # The first part keeps every row, for its words.
+        (found.where("size(words) > 0") if k else found).write.mode("append").parquet(hits)
+        sent.destroy()
+    found = spark.read.schema(HITS).parquet(hits).withColumnRenamed("doc_id", "row").groupBy("row").agg(
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("words")).alias("words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return found.withColumns({"words": _merge("words"), "spans": _merge("spans")})
+    merged_rows = rows.select("row", "doc_id").join(found.withColumns({"words": _merge("words"), "spans": _merge("spans")}), "row")
+    return merged_rows.select("doc_id", "n_words", "words", "spans", "items")
 
 
 def digest(found: DataFrame) -> DataFrame:
