@@ -50,6 +50,19 @@ def test_round_trip_against_whole_texts(spark, block, shard):
         start += len(ids)
 
 
+def test_added_tokens_are_the_tokenizers_own():
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(T.tokenizer_path())
+    one = T.Encoder(T.tokenizer_path())
+    added = [t.content for t in fresh.get_added_tokens_decoder().values()]
+    assert added
+    for a in added:
+        texts = [a, f"some words{a}more words", f"x {a} {a}{a}\n", a[:-1], f"no token here, {a[1:]}", "plain words"]
+        for text, raw in zip(texts, one.encode_all(texts), strict=True):
+            assert raw == one.raw(fresh.encode(text, add_special_tokens=False).ids)
+
+
 def test_edges(spark):
     assert T.round_trip(frame(spark)).count() == len(rows())
     assert T.round_trip(empty(spark)).count() == 0

@@ -42,6 +42,7 @@ GATHER = 1 << 16
 
 # Characters on whose classes every Unicode version agrees: a text of these is split into
 # the pieces of the tokenizer's own pre-tokenizer here, any other goes to the tokenizer whole.
+# So does a text that holds an added token, which the tokenizer takes out before it splits.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7E¡-¬®-ɏ–-…]")
 PIECES = re.compile(
@@ -65,9 +66,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", 4)
         self.by_pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         self.known: dict[str, bytes] = {}
 
     def raw(self, ids: list[int]) -> bytes:
@@ -101,7 +103,7 @@ class Encoder:
 
     def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
-        split = [PIECES.findall(t) if self.by_pieces and not OTHER.search(t) else None for t in texts]
+        split = [PIECES.findall(t) if self.by_pieces and not OTHER.search(t) and not self.added.search(t) else None for t in texts]
         new = {p for parts in split if parts for p in parts if p not in known}
         if len(new) + len(known) > CACHE:
             known.clear()
