@@ -1,7 +1,8 @@
 """Token-ID output with frequency-ranked, byte-aligned variable-length codes (operator 5).
 
 Documents are encoded in parallel and their ids staged; ids are counted over all of them;
-documents are then range-partitioned into ascending doc_id order and written as shards.
+documents are then range-partitioned into ascending doc_id order and written as shards of
+some 8 million ids, or as `MAX_SHARDS` larger ones.
 The commonest id has rank 0. A rank takes one to four bytes, low byte first; its length
 less one is two bits of a control byte, four ranks to a byte, lowest bits first. Control
 bytes and data bytes are kept apart, so that a 256-row table of lengths and a running sum
@@ -15,7 +16,7 @@ write and read it in any store. A document is never split over blocks.
 Only the vocabulary's counts reach the driver, as many as the tokenizer has ids.
 
 Defined results: a null or empty text is just the end id; documents of equal doc_id keep
-a row each, ordered by their ids' bytes; a null doc_id comes first; other columns are not
+a row each, ordered by a hash of their ids; a null doc_id comes first; other columns are not
 carried.
 """
 
@@ -24,8 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
-from operator import itemgetter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,8 @@ from .common import arrow_rows, new_path, remove, staged
 END_ID = 2
 BLOCK_IDS = 1 << 18
 SHARD_IDS = 1 << 23
+MAX_SHARDS = 10_000
 CACHE = 1_500_000
-GATHER = 1 << 16
 
 # Characters on whose classes every Unicode version agrees: a text of these is split into
 # the pieces of the tokenizer's own pre-tokenizer here, any other goes to the tokenizer whole.
@@ -58,9 +58,29 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others in order from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
+class Pieces(dict):
+    """Ids of pieces of text, each asked of the tokenizer's model once and remembered."""
+
+    def __init__(self, tokenizer, raw):
+        self.model, self.raw, self.letters = tokenizer.model, raw, _byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        found = self[piece] = self.raw([x.id for x in ids])
+        return found
+
+
 class Encoder:
     """Ids of texts as little-endian bytes, 2 or 4 per id as the vocabulary needs. Pieces
-    repeat, so theirs are remembered, up to `CACHE` of them at a time."""
+    repeat, so theirs are remembered, until there are more than `CACHE` of them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -70,52 +90,19 @@ class Encoder:
         self.by_pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.tokenizer, self.raw)
 
     def raw(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remember pieces, many to a call: the ids of one are those of its place in the call."""
-        for at in range(0, len(pieces), 1024):
-            some = pieces[at : at + 1024]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            raw = self.raw(found.ids)
-            first = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1))
-            cuts = (first * array(self.code).itemsize).tolist()
-            for piece, low, high in zip(some, cuts, cuts[1:]):
-                self.known[piece] = raw[low:high]
-
     def encode(self, text: str | None) -> bytes:
-        return next(self.encode_all([text]))
-
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text, in order. New pieces are gathered over texts of `GATHER` characters."""
-        group: list[str] = []
-        size = 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GATHER:
-                yield from self._encoded(group)
-                group, size = [], 0
-        yield from self._encoded(group)
-
-    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
-        known = self.known
-        split = [PIECES.findall(t) if self.by_pieces and not OTHER.search(t) and not self.added.search(t) else None for t in texts]
-        new = {p for parts in split if parts for p in parts if p not in known}
-        if len(new) + len(known) > CACHE:
-            known.clear()
-            new = {p for parts in split if parts for p in parts}
-        self.learn(list(new))
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
-                yield self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            elif len(parts) > 1:
-                yield b"".join(itemgetter(*parts)(known))
-            else:
-                yield known[parts[0]] if parts else b""
+        if not text:
+            return b""
+        if not self.by_pieces or OTHER.search(text) or self.added.search(text):
+            return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -139,7 +126,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         one = worker_encoder(path)
         end = one.raw([end_id])
         for part in parts:
-            ids = [x + end for x in one.encode_all(part["text"])]
+            ids = [one.encode(t) + end for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "width": one.width, "ids": ids})
 
     arrow_rows(docs.sparkSession)
@@ -197,7 +184,7 @@ def write(
     ranks = np.zeros(1 + max((r["id"] for r in counted), default=0), dtype=np.uint32)
     ranks[[r["id"] for r in counted]] = np.arange(len(counted), dtype=np.uint32)
     spark.createDataFrame([(k, r["id"], r["n"]) for k, r in enumerate(counted)], "rank int, id int, n long").coalesce(1).write.parquet(f"{out}/ranks")
-    shards = max(1, -(-sum(r["n"] for r in counted) // shard_ids))
+    shards = max(1, min(MAX_SHARDS, -(-sum(r["n"] for r in counted) // shard_ids)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -226,7 +213,9 @@ def write(
             yield close()
 
     arrow_rows(spark)
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows of one doc_id, or without one, may fill several shards: they are split by their ids.
+    tied = rows.withColumn("tie", F.xxhash64("ids"))
+    ordered = tied.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
     ordered.mapInPandas(run, BLOCKS).write.option("compression", "zstd").parquet(f"{out}/shards")
     remove(spark, temporary)
 
@@ -255,7 +244,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     totals = blocks.select("shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     # One row per shard.
     before = totals.selectExpr("shard", "sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
-    arrow_rows(spark, 16)
+    arrow_rows(spark)
     rows = blocks.mapInPandas(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(before, "shard").select("doc_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
