@@ -1,6 +1,8 @@
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.llm import mixing as M
 
@@ -40,6 +42,67 @@ def test_takes_come_near_targets(spark):
     assert out.sort_values(key)[key].values.tolist() == again.sort_values(key)[key].values.tolist()
 
 
+def slow_targets(sizes, weights, most=3.0):
+    out, open_, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n], float(sum(sizes))
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else unit * weights[i]
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full] if full else []
+    return out
+
+
+def test_targets_equal_resharing_round_by_round():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(1, 30)
+        sizes, weights = [rng.choice([0, 1, 5, rng.randrange(1000)]) for _ in range(n)], [1.0 + i % 3 for i in range(n)]
+        assert M.targets(sizes, weights) == pytest.approx(slow_targets(sizes, weights))
+
+
+@pytest.mark.parametrize("sizes", [[20, 4000], [30], [1, 2, 3, 100000], [0, 0, 5], [7] * 40])
+def test_small_sources_come_near_their_targets(spark, sizes):
+    docs = [(100 * s + k, "w " * (n // 5 + (n % 5 > k)), f"s{s:02}") for s, n in enumerate(sizes) for k in range(5)]
+    out = M.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).toPandas()
+    by = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by["taken"] - by["target"]).abs() <= 1 + 0.03 * by["target"]).all()
+    assert (out["taken"] <= 3 * out["size"]).all()
+
+
+def test_quotas_over_groups_of_shards_meet_the_house(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARDS_GROUP", 4)
+    rows = [("a", i, 50 + i * 13 % 90, 4, 333) for i in range(23)] + [(None, i, 640, 64, 12) for i in range(9)]
+    shards = spark.createDataFrame(rows, "source string, shard long, words long, block long, quota long")
+    got = {(r["source"], r["shard"]): r for r in M.shard_quotas(shards).collect()}
+    taken = {}
+    for s, k, words, block, _ in rows:
+        blocks, r = -(-words // block), got[s, k]
+        q = r["every"] * blocks + (0 if r["bar"] is None else len([1 for x in hashes(spark, s, k, blocks) if x <= r["bar"]]))
+        assert 0 <= q <= 3 * blocks
+        taken[s] = taken.get(s, 0) + q
+    assert taken == {"a": 333, None: 12}
+
+
+def hashes(spark, source, shard, blocks):
+    df = spark.range(blocks).selectExpr("id", f"{'NULL' if source is None else repr(source)} AS source", f"{shard}L AS shard")
+    return [r[0] for r in df.select(M._block_hash(F.col("id"), M.SEED)).collect()]
+
+
+def test_empty_texts_are_spread_over_shards(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'' AS text", "'a' AS source")
+    out = M.mix(docs, shard_rows=100)
+    assert out.agg({"taken": "sum"}).first()[0] == 0 and out.count() == 3000
+
+
+def test_chosen_blocks_are_scattered(spark):
+    docs = spark.range(4096).selectExpr("id AS doc_id", "repeat('w ', 64) AS text", "CASE WHEN id < 3000 THEN 'a' ELSE 'b' END AS source")
+    out = M.mix(docs).where("source = 'a'").orderBy(M.seeded("doc_id", F.lit(1), seed=M.SEED)).toPandas()
+    chosen = out["taken"].to_numpy() > 64 * out["every"].to_numpy()
+    assert 100 < chosen.sum() < 2900 and (chosen[1:] != chosen[:-1]).sum() > 0.5 * min(chosen.sum(), (~chosen).sum())
+
+
 def test_edges(spark):
     out = M.digest(M.mix(frame(spark))).toPandas()
     assert len(out) == len(rows())

@@ -6,9 +6,13 @@ which gives an integer quota per shard. Within a shard, documents lie end to end
 seeded order and are cut into blocks; a quota takes every block the same number of
 times and the rest of it takes seeded single blocks once more.
 
-A shard holds about `SHARD_WORDS` words, so a source with a third of all rows is many
-shards, and the running sums within a shard stay small. Only one row per source (its
-size) reaches the driver; shards' quotas are computed in Spark.
+Blocks have 64 words. Sources whose target is under a hundred of them are apportioned
+among themselves, in blocks of 16, 4 or 1 word, so that a block is about a hundredth of a
+target at most.
+
+A shard holds about `SHARD_WORDS` words and `SHARD_ROWS` documents, so a source with a third
+of all rows is many shards, and the running sums within a shard stay small; quotas go to
+groups of shards before shards. Only one row per source (its sizes) reaches the driver.
 
 Highest quotients are found without a heap: giving seats while votes / (2 * seats + 1)
 is largest equals rounding votes / d for the right divisor d; the few seats between the
@@ -29,32 +33,30 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, word_count
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = (64, 16, 4, 1)
+BLOCKS_LEAST = 100
 SHARD_WORDS = 1 << 18
+SHARD_ROWS = 1 << 16
+SHARDS_GROUP = 4096
 REPEATS = 3
 # One short row per source; beyond this many the plan is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 SEED = 7
-# A prime above any number of blocks in a shard: k * STEP mod n visits every block once.
-STEP = 2147483647
 
 
 def targets(sizes: list[int], weights: list[float], most: float = REPEATS) -> list[float]:
     """Share sum(sizes) by weight; none above `most` times its size, the excess reshared."""
-    out = [0.0] * len(sizes)
-    open_ = [i for i, n in enumerate(sizes) if n > 0]
-    left = float(sum(sizes))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
+    # In order of the share at which each is full, those that are full come first.
+    order = sorted((i for i, n in enumerate(sizes) if n > 0), key=lambda i: (sizes[i] / weights[i], i))
+    out, left, weight = [0.0] * len(sizes), float(sum(sizes)), math.fsum(weights[i] for i in order)
+    for k, i in enumerate(order):
+        if left * weights[i] <= most * sizes[i] * weight:
+            for j in order[k:]:
+                out[j] = left / weight * weights[j]
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        out[i] = float(most * sizes[i])
+        left -= out[i]
+        weight -= weights[i]
     return out
 
 
@@ -74,40 +76,62 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
-def source_plan(sizes: DataFrame, block: int) -> DataFrame:
-    """One row per source: its place, size, target and quota of blocks."""
+def block_of(target: float, blocks: tuple[int, ...] = BLOCK_WORDS) -> int:
+    """The longest block of which the target is a hundred; else the shortest."""
+    return next((b for b in blocks if target >= BLOCKS_LEAST * b), blocks[-1])
+
+
+def source_plan(sizes: DataFrame, blocks: tuple[int, ...] = BLOCK_WORDS) -> DataFrame:
+    """One row per source: its place, sizes, target, block and quota of blocks."""
     spark = sizes.sparkSession
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).collect()
     # Code points order as UTF-8 bytes do.
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     words = [int(r["source_size"]) for r in rows]
     goal = targets(words, [1.0 + i % 3 for i in range(len(rows))])
-    quota = sainte_lague(goal, round(sum(words) / block))
+    own, quota = [block_of(t, blocks) for t in goal], [0] * len(rows)
+    for block in blocks:
+        of = [i for i, b in enumerate(own) if b == block]
+        for i, q in zip(of, sainte_lague([goal[i] for i in of], round(math.fsum(goal[i] for i in of) / block)), strict=True):
+            quota[i] = q
     return spark.createDataFrame(
-        [(r["source"], n, t, q) for r, n, t, q in zip(rows, words, goal, quota, strict=True)],
-        "source string, source_size long, target double, quota long",
+        [(r["source"], n, r["rows"], t, b, q) for r, n, t, b, q in zip(rows, words, goal, own, quota, strict=True)],
+        "source string, source_size long, source_rows long, target double, block long, quota long",
     )
 
 
-def shard_quotas(shards: DataFrame, block: int) -> DataFrame:
-    """Sainte-Lague of each source's quota over its shards, votes being their words.
+def _apportioned(parts: DataFrame, whole: list[str], part: str) -> DataFrame:
+    """Sainte-Lague of `quota` over the parts of each whole, votes being their words; adds `got`.
 
-    Rounding at the fair divisor is at most half a shard off per shard; the house is met
-    by taking from, or giving to, the shards nearest to their next quotient.
+    Rounding at the fair divisor is at most half a seat off per part; the house is met by
+    taking from, or giving to, the parts nearest to their next quotient.
     """
-    by_source = Window.partitionBy("source")
-    ideal = F.col("quota") * F.col("words") / F.col("source_size")
-    low = shards.withColumn("_got", F.floor(ideal + 0.5)).withColumn("_over", F.sum("_got").over(by_source) - F.col("quota"))
+    each = Window.partitionBy(*whole)
+    ideal = F.col("quota") * F.col("words") / F.sum("words").over(each)
+    low = parts.withColumn("_got", F.floor(ideal + 0.5)).withColumn("_over", F.sum("_got").over(each) - F.col("quota"))
     quotient = F.when(
         F.col("_over") > 0, -(F.col("words") / (2 * F.col("_got") - 1))
     ).otherwise(F.col("words") / (2 * F.col("_got") + 1))
-    # With too many seats only shards that hold one may give it back.
-    order = by_source.orderBy(F.when((F.col("_over") > 0) & (F.col("_got") == 0), 1).otherwise(0), quotient.desc(), "shard")
+    # With too many seats only parts that hold one may give it back.
+    order = each.orderBy(F.when((F.col("_over") > 0) & (F.col("_got") == 0), 1).otherwise(0), quotient.desc(), part)
     moved = low.withColumn("_rank", F.row_number().over(order))
     step = F.when(F.col("_rank") > F.abs("_over"), 0).when(F.col("_over") > 0, -1).otherwise(1)
-    blocks = F.ceil(F.col("words") / block)
-    return moved.withColumn("_q", F.least(F.greatest(F.col("_got") + step, F.lit(0)), REPEATS * blocks)).select(
-        "source", "shard", blocks.alias("n_blocks"), F.floor(F.col("_q") / blocks).alias("every"), F.pmod(F.col("_q"), blocks).alias("extra")
+    return moved.withColumn("got", F.greatest(F.col("_got") + step, F.lit(0))).drop("_got", "_over", "_rank")
+
+
+def shard_quotas(shards: DataFrame, seed: int = SEED) -> DataFrame:
+    """How each shard's quota is taken: every block `every` times, and once more those whose
+    seeded hash is at most `bar`; shards: (source, shard, words, block, quota)."""
+    shards = shards.withColumn("_group", F.floor(F.col("shard") / SHARDS_GROUP))
+    groups = shards.groupBy("source", "_group").agg(F.sum("words").alias("words"), F.first("quota").alias("quota"))
+    given = _apportioned(groups, ["source"], "_group").select(F.col("source").alias("_s"), F.col("_group").alias("_g"), F.col("got").alias("quota"))
+    split = shards.drop("quota").join(given, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g"))).drop("_s", "_g")
+    blocks = F.ceil(F.col("words") / F.col("block"))
+    quota = _apportioned(split, ["source", "_group"], "shard").withColumn("_q", F.least("got", REPEATS * blocks))
+    extra = F.pmod("_q", blocks)
+    hashes = F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: _block_hash(k, seed)))
+    return quota.select(
+        "source", "shard", F.floor(F.col("_q") / blocks).alias("every"), F.when(extra > 0, F.element_at(hashes, extra.cast("int"))).alias("bar")
     )
 
 
@@ -115,41 +139,36 @@ def seeded(*cols, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def _block_hash(k: Column, seed: int) -> Column:
+    return seeded(k, F.col("source"), F.col("shard"), seed=seed)
+
+
 def mix(
     docs: DataFrame,
-    block: int = BLOCK_WORDS,
+    blocks: tuple[int, ...] = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    shard_rows: int = SHARD_ROWS,
     seed: int = SEED,
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and how it is taken:
     `every` times whole, and once more its words in the ranges `once` ([start, end))."""
     sizes = checkpoint(docs.select("doc_id", "source", word_count("text").alias("size")))
-    plan = source_plan(sizes, block)
+    plan = source_plan(sizes, blocks)
     plan = F.broadcast(plan.coalesce(1)) if plan.count() <= BROADCAST_SOURCES else plan
     placed = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    placed = placed.withColumn(
-        "shard",
-        F.pmod(seeded("doc_id", seed=seed), F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / shard_words)),
-    ).withColumn("_mix", seeded("doc_id", F.lit(1), seed=seed))
+    n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows))
+    placed = placed.withColumn("shard", F.pmod(seeded("doc_id", seed=seed), n_shards)).withColumn("_mix", seeded("doc_id", F.lit(1), seed=seed))
     key = ["source", "shard"]
     line = Window.partitionBy(*key).orderBy("_mix", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("_at", F.coalesce(F.sum("size").over(line), F.lit(0)))
-    shards = placed.groupBy(*key).agg(
-        F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("quota").alias("quota")
-    )
-    quotas = shard_quotas(shards.where("words > 0"), block).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard")
+    shards = placed.groupBy(*key).agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("quota").alias("quota"))
+    quotas = shard_quotas(shards.where("words > 0"), seed).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard")
     joined = laid.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
-    # Block k is taken once more if it falls among the first `extra` of the seeded order.
-    chosen = F.expr(
-        f"CASE WHEN size = 0 THEN cast(array() as array<bigint>) ELSE filter(sequence(_at DIV {block}, (_at + size - 1) DIV {block}), "
-        f"k -> pmod(k * {STEP} + pmod(xxhash64({seed}, source, shard), n_blocks), n_blocks) < extra) END"
-    )
-    ranges = joined.withColumn("_k", chosen).withColumn(
+    places = F.sequence(F.expr("_at DIV block"), F.expr("(_at + size - 1) DIV block"))
+    chosen = F.when((F.col("size") > 0) & F.col("bar").isNotNull(), F.filter(places, lambda k: _block_hash(k, seed) <= F.col("bar")))
+    ranges = joined.withColumn("_k", F.coalesce(chosen, F.array().cast("array<bigint>"))).withColumn(
         "once",
-        F.expr(
-            f"transform(_k, k -> named_struct('start', greatest(k * {block} - _at, 0L), "
-            f"'end', least((k + 1) * {block} - _at, size)))"
-        ),
+        F.expr("transform(_k, k -> named_struct('start', greatest(k * block - _at, 0L), 'end', least((k + 1) * block - _at, size)))"),
     )
     extra = F.aggregate("once", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     every = F.coalesce(F.col("every"), F.lit(0)).cast("long")
