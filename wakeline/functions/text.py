@@ -1,7 +1,8 @@
-"""Text functions over columns, all from built-in expressions."""
+"""Text functions over columns from built-in expressions, and gram hashes over numpy arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +50,50 @@ def portable_hash(text) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def rolling_hashes(codes: np.ndarray, width: int) -> np.ndarray:
+    """A 60-bit hash of every `width` consecutive code points: a polynomial modulo 2^64,
+    put together from stretches whose lengths are powers of two, and mixed."""
+    if len(codes) < width:
+        return np.zeros(0, dtype=np.int64)
+    base, part, size = np.uint64(0x9FB21C651E98DF25), codes.astype(np.uint64) + np.uint64(1), 1
+    out, done = np.zeros(len(codes) - width + 1, dtype=np.uint64), 0
+    with np.errstate(over="ignore"):
+        while True:
+            if width & size:
+                out = out * base + part[done : done + len(out)]
+                done += size
+            if done == width:
+                break
+            part, base, size = part[:-size] * base + part[size:], base * base, 2 * size
+        out ^= out >> np.uint64(32)
+        out *= np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return (out >> np.uint64(4)).astype(np.int64)
+
+
+def portable_hashes(text: str, places, width: int) -> np.ndarray:
+    """`portable_hash` of the grams that start at the places."""
+    from hashlib import md5
+
+    raw = [md5(text[i : i + width].encode("utf-8", "surrogatepass")).digest()[:8] for i in places]
+    return (np.frombuffer(b"".join(raw), dtype=">u8") >> np.uint64(4)).astype(np.int64)
+
+
+def winnow_places(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places of the rightmost least hash of every window, each once; fewer hashes than a
+    window are one window."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    window = min(window, len(hashes))
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
+    places = np.arange(len(views)) + window - 1 - views.argmin(axis=1)
+    return places[np.concatenate(([True], places[1:] != places[:-1]))]
+
+
 def tokens(text) -> Column:
     """Alphanumeric runs of at least four characters, or holding a digit."""
     runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

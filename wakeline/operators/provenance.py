@@ -2,41 +2,104 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.text import portable_hash, shingles
+from wakeline.functions.text import code_points, portable_hashes, rolling_hashes, winnow_places
 from wakeline.functions.vectors import rarity_bound
+from wakeline.sources.storage import checkpoint, spread_out
 
 GRAM = 32
 WINDOW = 16
 CUTOFF = 50
 HOLDERS = 4
 LONG_RUN = 64
+BATCH_GRAMS = 1 << 18
+#: Eight bytes each in every worker.
+BROADCAST_GRAMS = 4_000_000
+
+
+def _emitted(rows: DataFrame, key: str, text: str, find: Callable[[str], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(key, pos, fp) for the places and hashes that `find` gives of every text."""
+    kind = dict(rows.select(key).dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(part, owners, places, hashes):
+            columns = [part.column(0).take(pa.array(np.concatenate(owners))), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(hashes), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, [key, "pos", "fp"])
+
+        for part in parts:
+            owners, places, hashes, size = [], [], [], 0
+            for i, value in enumerate(part.column(1)):
+                at, fp = find(value.as_py() or "")
+                if len(at):
+                    owners.append(np.full(len(at), i, dtype=np.int64))
+                    places.append(at)
+                    hashes.append(fp)
+                    size += len(at)
+                if size >= BATCH_GRAMS:
+                    yield closed(part, owners, places, hashes)
+                    owners, places, hashes, size = [], [], [], 0
+            if size:
+                yield closed(part, owners, places, hashes)
+
+    return spread_out(rows.select(key, text)).mapInArrow(run, f"`{key}` {kind}, pos int, fp long")
+
+
+def grams(rows: DataFrame, key: str, text: str, width: int = GRAM, portable: bool = True) -> DataFrame:
+    """(key, pos, fp) of every gram of every text; fp is the portable hash or the rolling one."""
 
+    def find(value: str) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(max(0, len(value) - width + 1))
+        return at, portable_hashes(value, at, width) if portable else rolling_hashes(code_points(value), width)
 
-def grams(rows: DataFrame, key: str, text: str, width: int = GRAM, hashed: bool = True) -> DataFrame:
-    """(key, pos, fp) of every gram of every text."""
-    out = rows.select(key, F.explode(shingles(text, width)).alias("g")).select(key, "g.pos", "g.gram")
-    return out.select(key, "pos", portable_hash("gram").alias("fp")) if hashed else out
+    return _emitted(rows, key, text, find)
 
 
-def winnowed(rows: DataFrame, key: str, text: str, width: int = GRAM, window: int = WINDOW) -> DataFrame:
+def shared_grams(rows: DataFrame, key: str, text: str, origins: DataFrame, origin_text: str, width: int = GRAM, most: int = BROADCAST_GRAMS) -> DataFrame:
+    """(key, pos, fp) of the grams that some origin text has too, fp being portable.
+
+    If the origins have at most `most` different grams, their rolling hashes are broadcast
+    and only grams that meet them leave the row and are hashed again, so that each text is
+    read once and a gram that nobody shares is never shuffled. Beyond that all grams go
+    through the join below, with the same result.
+    """
+    own = grams(origins.withColumn("_o", F.lit(0)), "_o", origin_text, width).select("fp").distinct()
+    rolled = checkpoint(grams(origins.withColumn("_o", F.lit(0)), "_o", origin_text, width, portable=False).select("fp").distinct())
+    if rolled.count() > most:
+        return grams(rows, key, text, width).join(own, "fp", "left_semi").select(key, "pos", "fp")
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(rolled.toPandas()["fp"].to_numpy(dtype=np.int64)))
+
+    def find(value: str) -> tuple[np.ndarray, np.ndarray]:
+        known, hashes = sent.value, rolling_hashes(code_points(value), width)
+        if not len(known):
+            return hashes[:0], hashes[:0]
+        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        return at, portable_hashes(value, at, width)
+
+    return _emitted(rows, key, text, find).join(own, "fp", "left_semi").select(key, "pos", "fp")
+
+
+def winnowed(rows: DataFrame, key: str, text: str, width: int = GRAM, window: int = WINDOW, portable: bool = False) -> DataFrame:
     """(key, pos, fp) of the grams kept by winnowing: the rightmost least hash of every
     window of consecutive grams, each place once; a text with fewer grams than a window
     keeps the rightmost least of them all.
 
-    Everything happens inside the row, so no gram that is not kept is ever shuffled.
+    Everything happens inside the row, so no gram that is not kept is ever shuffled. The
+    rolling hash is some ten times cheaper than the portable one, which SQL can repeat.
     """
-    hashed = rows.select(
-        key,
-        F.transform(shingles(text, width), lambda g: F.struct(portable_hash(g["gram"]).alias("fp"), (-g["pos"]).alias("back"))).alias("g"),
-    ).where(F.size("g") > 0)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("g") - window, F.lit(0)))
-    least = hashed.select(key, F.transform(starts, lambda i: F.array_min(F.slice("g", i + 1, F.lit(window)))).alias("p"))
-    # Places never go back from one window to the next, so equal ones are neighbours.
-    new = F.filter("p", lambda x, i: (i == 0) | (F.get("p", i - 1)["back"] != x["back"]))
-    return least.select(key, F.explode(new).alias("p")).select(key, (-F.col("p.back")).alias("pos"), F.col("p.fp").alias("fp"))
+
+    def find(value: str) -> tuple[np.ndarray, np.ndarray]:
+        every = range(max(0, len(value) - width + 1))
+        hashes = portable_hashes(value, every, width) if portable else rolling_hashes(code_points(value), width)
+        at = winnow_places(hashes, window)
+        return at, hashes[at]
+
+    return _emitted(rows, key, text, find)
 
 
 def document_frequency(postings: DataFrame, text_key: str, since: Column | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wakeline.functions import text
 from wakeline.operators import extraction, precision, provenance
 from wakeline.sources import exchanges
-from wakeline.sources.storage import table
+from wakeline.sources.storage import checkpoint, table
 
 from .text_queries import COPIED_RUNS, GRAMS, copied_runs, _docs
 
@@ -25,13 +25,13 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grams of documents that some item has: (doc, fp, pos)."""
-    items = _items(spark, sf_dir).select("fp").distinct()
-    return provenance.grams(_docs(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "doc").join(items, "fp", "left_semi")
+    found = provenance.shared_grams(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
+    return checkpoint(found.withColumnRenamed("doc_id", "doc"))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """Hits (origin, doc, fp, reader, read_at, carrier, forwarded)."""
-    held = _held(spark, sf_dir).withColumnRenamed("doc", "reader")
+    held = (held or _held(spark, sf_dir)).withColumnRenamed("doc", "reader")
     found = provenance.matches(_items(spark, sf_dir), held, provenance.document_frequency(held, "reader"))
     return found.select(
         "origin", F.col("reader").alias("doc"), "fp", (F.col("reader") % AGENTS).alias("reader"), F.col("reader").alias("read_at"),
@@ -63,8 +63,9 @@ WHERE origin % {AGENTS} <> reader AND origin * 10 <= doc AND doc < origin * 10 +
 
 def own_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits left once grams that the reader had in an earlier document do not count."""
-    own = _held(spark, sf_dir).select((F.col("doc") % AGENTS).alias("reader"), "fp", F.col("doc").alias("at"))
-    return precision.without_replays(_hits(spark, sf_dir), own).groupBy("origin", "doc").agg(F.count("*").alias("hits"))
+    held = _held(spark, sf_dir)
+    own = held.select((F.col("doc") % AGENTS).alias("reader"), "fp", F.col("doc").alias("at"))
+    return precision.without_replays(_hits(spark, sf_dir, held), own).groupBy("origin", "doc").agg(F.count("*").alias("hits"))
 
 
 OWN_REPLAYS = HITS + f"""
@@ -77,8 +78,9 @@ def forward_direct_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits left once readers of an item's later part, which its forwarder left out, do not count."""
     items = _items(spark, sf_dir).withColumnRenamed("origin", "forward")
     only = precision.source_only(items, items.where("pos < 40"))
-    reads = _held(spark, sf_dir).where("doc % 3 = 0").select((F.col("doc") % AGENTS).alias("reader"), F.col("doc").alias("layer"), "fp")
-    hits = _hits(spark, sf_dir).withColumnRenamed("origin", "forward")
+    held = _held(spark, sf_dir)
+    reads = held.where("doc % 3 = 0").select((F.col("doc") % AGENTS).alias("reader"), F.col("doc").alias("layer"), "fp")
+    hits = _hits(spark, sf_dir, held).withColumnRenamed("origin", "forward")
     return precision.without_direct_reads(hits, reads, only).groupBy("forward", "doc").agg(F.count("*").alias("hits"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import decode, text, urls, vectors
 from wakeline.operators import paging, provenance, search, topics
-from wakeline.sources.storage import new_path, table
+from wakeline.sources.storage import checkpoint, new_path, table
 
 GRAM = provenance.GRAM
 
@@ -38,8 +38,7 @@ SELECT doc_id, len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda
 
 def shingle_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grams of benchmark items by the number of documents that hold them."""
-    items = provenance.grams(table(spark, sf_dir, "benchmark"), "item_id", "text").select("fp").distinct()
-    held = provenance.grams(_docs(spark, sf_dir), "doc_id", "text").join(items, "fp", "left_semi")
+    held = provenance.shared_grams(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
     return provenance.document_frequency(held, "doc_id")
 
 
@@ -53,7 +52,7 @@ SHINGLE_DF = f"WITH {GRAMS} SELECT fp, count(DISTINCT doc_id) AS texts FROM d WH
 
 
 def winnow_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance.winnowed(_docs(spark, sf_dir), "doc_id", "text").withColumn("pos", F.col("pos").cast("long"))
+    return provenance.winnowed(_docs(spark, sf_dir), "doc_id", "text", portable=True).withColumn("pos", F.col("pos").cast("long"))
 
 
 WINNOW_FINGERPRINTS = f"""
@@ -64,8 +63,7 @@ SELECT DISTINCT d.doc_id, d.pos, d.fp FROM w JOIN n USING (doc_id) JOIN d USING
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = provenance.grams(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("item_id", "origin")
-    held = provenance.grams(_docs(spark, sf_dir), "doc_id", "text").withColumnRenamed("doc_id", "reader")
-    held = held.join(items.select("fp").distinct(), "fp", "left_semi")
+    held = checkpoint(provenance.shared_grams(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text").withColumnRenamed("doc_id", "reader"))
     return provenance.matches(items, held, provenance.document_frequency(held, "reader"))
 
 
@@ -119,7 +117,7 @@ SELECT reader, min(p) AS start, max(p) + 1 AS "end" FROM i GROUP BY reader, g"""
 def spread_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints held by four sources or more."""
     d = _docs(spark, sf_dir)
-    kept = provenance.winnowed(d.select(F.struct("doc_id", "source").alias("key"), "text"), "key", "text")
+    kept = provenance.winnowed(d.select(F.struct("doc_id", "source").alias("key"), "text"), "key", "text", portable=True)
     return provenance.spread(kept.select("fp", F.col("key.source").alias("agent")))
 
 

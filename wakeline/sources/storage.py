@@ -9,10 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Inputs up to this size are shuffled once to use all cores.
+SPREAD_BYTES = 1 << 29
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wakeline-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,6 +32,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Before costly work on each row: deal a small input to all cores, as its file may be
+    a single row group. A large one has enough tasks and is left where it is."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in shared storage, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
