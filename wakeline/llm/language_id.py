@@ -91,6 +91,8 @@ def _flushed(held: dict[str, Counter], least: int) -> Iterator[pd.DataFrame]:
     """Send (lang, term, n) on once there are so many in this task."""
     if held and sum(map(len, held.values())) >= least:
         for lang, counts in held.items():
+            if not counts:
+                continue
             yield pd.DataFrame({"lang": lang, "term": list(counts), "n": list(counts.values())})
         held.clear()
 
@@ -190,8 +192,8 @@ def _table(rows: DataFrame, languages: int) -> tuple[dict[str, int], np.ndarray]
 PARTIAL = "_row long, _words long, _known array<long>, _rest array<struct<term: string, n: long>>"
 
 
-def _known_words(rows: DataFrame, columns: list[str], hot: tuple[dict[str, int], np.ndarray]) -> DataFrame:
-    """Per row its columns, its words, the sum over its frequent words, and its other words."""
+def _known_words(rows: DataFrame, key: str, hot: tuple[dict[str, int], np.ndarray]) -> DataFrame:
+    """Per row its key, its words, the sum over its frequent words, and its other words."""
     # Plain values: broadcasts are unpickled where this package may not be installed.
     sent = rows.sparkSession.sparkContext.broadcast(hot)
 
@@ -214,11 +216,11 @@ def _known_words(rows: DataFrame, columns: list[str], hot: tuple[dict[str, int],
                 part.column("_row"), pa.array(size, pa.int64()), pa.array(known, pa.list_(pa.int64())),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
             ]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *told], [*columns, "_row", "_words", "_known", "_rest"])
+            yield pa.RecordBatch.from_arrays([part.column(key), *told], [key, "_row", "_words", "_known", "_rest"])
 
     arrow_rows(rows.sparkSession)
-    schema = "".join(f"`{c}` {t}, " for c, t in rows.select(*columns).dtypes)
-    return rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, schema + PARTIAL)
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, {PARTIAL}"
+    return rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def _unseen_scores(terms: DataFrame, model: Model, hot_grams: int) -> DataFrame:
@@ -255,17 +257,13 @@ def _unseen_scores(terms: DataFrame, model: Model, hot_grams: int) -> DataFrame:
     return by_term.mapInPandas(covered, "term string, v array<long>")
 
 
-def predict(
-    docs: DataFrame, model: Model, key: str = "doc_id", carry: tuple[str, ...] = (), hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS
-) -> DataFrame:
-    """doc_id, lang_pred and score of every document, from its text alone; with `carry`,
-    those columns of the input instead of doc_id."""
-    columns = list(carry) or [key]
-    rows = docs.select(*dict.fromkeys([*columns, "text"]))
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS) -> DataFrame:
+    """The key, lang_pred and score of every document, from its text alone."""
+    rows = docs.select(key, "text")
     if not model.languages:
-        return rows.select(*columns, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(key, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     hot = _table(most_frequent(model.words, hot_words), len(model.languages))
-    read, read_at = staged(_known_words(rows, columns, hot), "language-rows")
+    read, read_at = staged(_known_words(rows, key, hot), "language-rows")
     rest = read.select("_row", F.explode("_rest").alias("r")).select("_row", "r.term", "r.n")
     terms = rest.select("term").distinct()
     seen = terms.join(model.words.select("term", "v"), "term")
@@ -280,10 +278,7 @@ def predict(
     told = read.drop("_rest").join(sums, "_row", "left").withColumn("_total", total)
     named = F.array(*[F.lit(x) for x in model.languages])
     lang = F.when(F.col("_words") > 0, F.element_at(named, F.array_position("_total", best).cast("int"))).otherwise(UNKNOWN)
-    out = told.select(*columns, lang.alias("lang_pred"), F.when(F.col("_words") > 0, 1 / odds).otherwise(F.lit(0.0)).alias("score"))
-    if carry:
-        return out
-    out = checkpoint(out)
+    out = checkpoint(told.select(key, lang.alias("lang_pred"), F.when(F.col("_words") > 0, 1 / odds).otherwise(F.lit(0.0)).alias("score")))
     for path in (read_at, found_at):
         remove(docs.sparkSession, path)
     return out
