@@ -52,6 +52,30 @@ def test_against_brute_force(spark, monkeypatch, hot, chunk):
     assert got == brute(docs)
 
 
+@pytest.mark.parametrize("size", [1, 3000])
+def test_chunks_are_bounded_in_bytes(spark, monkeypatch, size):
+    monkeypatch.setattr(D, "CHUNK_BYTES", size)
+    docs = documents(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sizes = D._chunked(df).selectExpr("chunk", "octet_length(text) AS n").groupBy("chunk").agg({"n": "sum", "*": "count"}).collect()
+    assert all(r[1] <= size or r[2] == 1 for r in sizes) and len(sizes) > 3
+    assert {r[0]: tuple(r[1:]) for r in D.remove_repeats(df).collect()} == brute(docs)
+
+
+def test_texts_larger_than_a_chunk(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefgh ", k=D.CHUNK_BYTES + 1000))
+    docs = [(1, long), (2, "-" * 3_000_000), (3, long[:-1] + "!"), (4, "x" + "-" * 2_000_000), (5, long[500:900])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in D.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(1)).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (len(long) - 1, 1), 4: (2_000_000, 1), 5: (400, 1)}
+
+
+def test_rulers_do_not_make_a_group_large(spark, monkeypatch):
+    monkeypatch.setattr(D, "HOT_DOCS", 20)
+    docs = [(i, "".join(f"{'-' * 40} row {i % 5} {k}\n" for k in range(40))) for i in range(12)]
+    assert {r[0]: tuple(r[1:]) for r in D.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == brute(docs)
+
+
 def test_pieces_of_long_texts_agree(monkeypatch):
     import numpy as np
 

@@ -17,11 +17,13 @@ that depth, from samples, and the rest is induced:
 4. Induction. The least doc_id of every window is carried back through its run to all the
    documents of the chunk, which mark and drop their bytes.
 
-Texts are written once, as a table bucketed by chunk, so that the three passes over them
-need no shuffle; only names, contents and answers move. Exchanges are dealt by hash of
-the name into groups whose number grows with the input. A name in more than `HOT_DOCS`
-documents would make its group large, so its windows are exchanged one by one instead,
-dealt by a hash of their own bytes; equal windows were merged within each chunk before.
+Texts are written once to shared storage, bucketed by chunk, so that the three passes over
+them need no shuffle; only names, contents and answers move. A chunk has at most
+`CHUNK_BYTES`, or one longer text. Exchanges are dealt by hash of the name into groups whose
+number grows with the input. A name in more than `HOT_DOCS` documents, or with as many runs
+where it repeats within texts, would make its group large, so its windows are exchanged one
+by one instead, dealt by a hash of their own bytes; equal windows were merged within each
+chunk before. Runs are cut after `RUN` windows, which only periodic text exceeds.
 
 Names only select candidates. Every match is decided by comparing bytes.
 
@@ -34,22 +36,29 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpoint, shared_dir
+from .common import arrow_rows, checkpoint, new_path, remove
 
 LENGTH = 50
 ANCHOR = 24
 CHUNK_DOCS = 4096
+CHUNK_BYTES = 16 << 20
 GROUP_NAMES = 400_000
-HOT_DOCS = 10_000
+HOT_DOCS = 5_000
+FEW_RUNS = 8
+RUN = 64
+SLICE = 1 << 21
 PIECE = 1 << 20
 NOBODY = np.iinfo(np.int64).max
-MAX_BUCKETS = 10_000
+MAX_BUCKETS = 100_000
 
 # Multiplier of the rolling hash, and of its mixing step: odd 64-bit numbers.
 ROLL = 0x9E3779B97F4A7C15
@@ -93,6 +102,10 @@ def runs(b: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.
         part = b[at : at + PIECE + length - 1]
         least = _sliding_least(_rolled(part, anchor), length - anchor + 1)
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        size = np.diff(np.append(first, len(least)))
+        if (size > RUN).any():
+            more = -(-size // RUN)
+            first = np.repeat(first - (np.cumsum(more) - more) * RUN, more) + np.arange(more.sum()) * RUN
         starts.append(first + at)
         counts.append(np.diff(np.append(first, len(least))))
         names.append(least[first])
@@ -124,7 +137,10 @@ class Chunk:
             per_doc.append(np.unique(k))
         self.run_doc, self.run_start = np.concatenate(docs), np.concatenate(starts)
         self.run_count, self.run_name = np.concatenate(counts), np.concatenate(names)
-        self.names, self.name_docs = np.unique(np.concatenate(per_doc), return_counts=True)
+        self.names, name_docs = np.unique(np.concatenate(per_doc), return_counts=True)
+        name_runs = np.unique(self.run_name, return_counts=True)[1]
+        # What a name weighs: its documents, or its runs where texts repeat it.
+        self.name_docs = np.where(name_runs > FEW_RUNS * name_docs, name_runs, name_docs)
 
     def entries(self, codes: np.ndarray, groups: int) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct contents under shared names as (key, start, bytes), the least doc_id of
@@ -293,18 +309,42 @@ def _by_group(keys: np.ndarray, groups: int) -> list[tuple[int, np.ndarray]]:
     return [(int(of[part[0]]), part) for part in np.split(order, first[1:]) if len(part)]
 
 
+def _chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, doc_id, text): rows of a task in turn, bounded in bytes and documents."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, held, rows = TaskContext.get().partitionId() << 32, 0, 0
+        for part in parts:
+            of = []
+            for size in pc.fill_null(pc.binary_length(part.column("text")), 0).to_pylist():
+                if rows and (held + size > CHUNK_BYTES or rows >= CHUNK_DOCS):
+                    chunk, held, rows = chunk + 1, 0, 0
+                held, rows = held + size, rows + 1
+                of.append(chunk)
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), part.column("doc_id"), part.column("text")], ["chunk", "doc_id", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, doc_id long, text string")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans and the digest of what is kept."""
     spark = docs.sparkSession
-    shared_dir(spark)
     arrow_rows(spark, 1_000)
-    name = f"wakeline_texts_{uuid.uuid4().hex}"
-    # Rows of one input split, CHUNK_DOCS at a time; each writer fills the buckets of its own
-    # chunks, so the table is bucketed without a shuffle.
-    chunked = docs.selectExpr(f"monotonically_increasing_id() DIV {CHUNK_DOCS} AS chunk", "doc_id", "text")
+    name, path = f"wakeline_texts_{uuid.uuid4().hex}", new_path(spark, "texts")
+    # Each writer fills the buckets of its own chunks, so the table is bucketed without a shuffle.
     buckets = min(MAX_BUCKETS, max(4, docs.rdd.getNumPartitions()))
-    chunked.write.option("compression", "zstd").bucketBy(buckets, "chunk").sortBy("chunk").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
+    writer = _chunked(docs).write.option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").sortBy("chunk")
+    try:
+        writer.format("parquet").saveAsTable(name)
+        return _without_repeats(spark.table(name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
+def _without_repeats(texts: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(16, int(total // 14 // GROUP_NAMES))
 
@@ -354,12 +394,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             got = {g: a for g, a, k in zip(answers["grp"], answers["answer"], answers["kind"], strict=True) if k == 1}
             for g, places in _by_group(np.array([k for k, _, _ in found], dtype=np.uint64), groups):
                 low[lengths(at[places], windows[places])] = _unpacked(got[g], "<i8")[0]
-            n = windows[entry]
-            hit = (low[lengths(at[entry], n)] < np.repeat(here.order[doc], n)) & np.repeat(here.order[doc] != NOBODY, n)
-            first = lengths(start, n)[hit]
-            gone += np.bincount(first, minlength=len(gone)).astype(np.int32)
-            gone -= np.bincount(first + LENGTH, minlength=len(gone)).astype(np.int32)
-        covered = np.cumsum(gone[:-1]) > 0
+            # Occurrences some windows at a time; a window starts once, so its mark is set, not added.
+            cuts = np.flatnonzero(np.diff(np.cumsum(windows[entry]) // SLICE)) + 1
+            for e, s, d in zip(np.split(entry, cuts), np.split(start, cuts), np.split(doc, cuts), strict=True):
+                n = windows[e]
+                hit = (low[lengths(at[e], n)] < np.repeat(here.order[d], n)) & np.repeat(here.order[d] != NOBODY, n)
+                first = lengths(s, n)[hit]
+                gone[first] += 1
+                gone[first + LENGTH] -= 1
+        covered = np.cumsum(gone[:-1], dtype=np.int32) > 0
         out = []
         for doc_id, a, size in zip(here.doc_ids, here.base.tolist(), here.size.tolist(), strict=True):
             mask = covered[a : a + size]
@@ -370,6 +413,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return frame.astype({"doc_id": "Int64"})
 
     both = codes.unionByName(least)
-    done = checkpoint(texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(finish, RESULT))
-    spark.sql(f"DROP TABLE {name}")
-    return done
+    return checkpoint(texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(finish, RESULT))
