@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wakeline.llm import substring_dedup as D
 
@@ -57,8 +58,8 @@ def test_chunks_are_bounded_in_bytes(spark, monkeypatch, size):
     monkeypatch.setattr(D, "CHUNK_BYTES", size)
     docs = documents(5)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    sizes = D._chunked(df).selectExpr("chunk", "octet_length(text) AS n").groupBy("chunk").agg({"n": "sum", "*": "count"}).collect()
-    assert all(r[1] <= size or r[2] == 1 for r in sizes) and len(sizes) > 3
+    sizes = D._chunked(df).selectExpr("chunk", "octet_length(text) AS n").groupBy("chunk").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).collect()
+    assert all(r["n"] <= size or r["docs"] == 1 for r in sizes) and len(sizes) > 3
     assert {r[0]: tuple(r[1:]) for r in D.remove_repeats(df).collect()} == brute(docs)
 
 
