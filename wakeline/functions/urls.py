@@ -111,6 +111,14 @@ def prefix_of_segments(value, prefix) -> Column:
     return (v == p) | (v.startswith(p) & (p.endswith("/") | (F.substring(v, F.length(p) + 1, F.lit(1)) == "/")))
 
 
+def segment_prefixes(value) -> Column:
+    """Every string that `prefix_of_segments` takes for a prefix of the value."""
+    parts = F.split(value, "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    ends = F.transform(F.slice(heads, F.lit(1), F.size(heads) - 1), lambda h: F.concat(h, F.lit("/")))
+    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(heads, ends)))
+
+
 def matches(kind: str, pattern, url) -> Column:
     """Whether a resource pattern (exact, host, url_prefix, path_prefix) holds a URL."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern

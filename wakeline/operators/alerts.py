@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.vectors import cosine
+from wakeline.sources.storage import small
 
 from .flow import policy_verdict
 
@@ -35,7 +36,7 @@ def suspected(transmissions: DataFrame) -> DataFrame:
 
 def watched_topic(transmissions: DataFrame, watched: DataFrame) -> DataFrame:
     """watched: (topic), chosen by users and so few."""
-    return _raised(transmissions.join(F.broadcast(watched), "topic", "left_semi"), "watched_topic", "transmission")
+    return _raised(transmissions.join(small(watched), "topic", "left_semi"), "watched_topic", "transmission")
 
 
 def semantic_query(docs: DataFrame, query: list[float], least: float) -> DataFrame:

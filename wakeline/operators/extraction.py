@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.jsons import first_of
 from wakeline.functions.urls import host, joined_path, locator, path, repository, with_scheme
 from wakeline.functions.text import wiki_title
+from wakeline.sources.storage import small
 
 # Fixed values: (tool, family, operation, argument keys in order of preference).
 CATALOGUE = (
@@ -109,7 +110,7 @@ def fetch_accesses(found: DataFrame) -> DataFrame:
 
 def mcp_accesses(found: DataFrame, rules: DataFrame) -> DataFrame:
     """(call, op, locator) by configured rules: (server, mcp_tool, op, key), few rows."""
-    rows = found.where("family = 'mcp'").join(F.broadcast(rules.withColumnRenamed("op", "_op")), ["server", "mcp_tool"])
+    rows = found.where("family = 'mcp'").join(small(rules.withColumnRenamed("op", "_op")), ["server", "mcp_tool"])
     values = F.from_json("args", "map<string,string>")
     target = F.element_at(values, F.col("key"))
     return rows.withColumn("_v", target).where("_v IS NOT NULL").select(

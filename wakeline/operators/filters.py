@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.text import id_prefix
 from wakeline.functions.times import in_window
+from wakeline.sources.storage import small
 
 
 def any_of(column, values) -> Column:
@@ -94,7 +95,7 @@ def agent_filter(states=(), families=(), parents=(), text: str | None = None) ->
 
 def alert_filter(alerts: DataFrame, aliases: DataFrame, states=(), channels=()) -> DataFrame:
     """Alerts by state and by channel, superseded channels standing for their successor."""
-    named = alerts.join(F.broadcast(aliases.select(F.col("id").alias("channel"), "canonical")), "channel", "left")
+    named = alerts.join(small(aliases.select(F.col("id").alias("channel"), "canonical")), "channel", "left")
     where = all_of(any_of("state", states), any_of(F.coalesce("canonical", "channel"), channels))
     return named.where(where).drop("canonical")
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.urls import matches, prefix_of_segments
+from wakeline.functions.urls import canonical, host, matches, path, prefix_of_segments, segment_prefixes
 
 MINUTE = 60_000_000
 DAY = 24 * 60 * MINUTE
@@ -83,9 +83,14 @@ def transmission_states(pairs: DataFrame, evidence: DataFrame, keys: list[str],
     window has too; else awaiting.
     """
     opened = pairs.groupBy(*keys).agg(F.min("read_at").alias("opened_at"), F.count("*").alias("co_accesses"))
-    linked = opened.join(evidence.select(*on, "at"), on, "left").groupBy(*keys, "opened_at", "co_accesses").agg(
-        F.min(F.when(F.col("at") >= F.col("opened_at"), F.col("at"))).alias("evidence_at")
+    # The first evidence from the opening on, in one pass over both in reverse order of time.
+    rest = [c for c in opened.columns if c not in on]
+    both = opened.select(*on, F.col("opened_at").alias("_at"), F.lit(0).alias("_kind"), F.struct(*rest).alias("_o")).unionByName(
+        evidence.select(*on, F.col("at").alias("_at"), F.lit(1).alias("_kind")), allowMissingColumns=True
     )
+    later = Window.partitionBy(*on).orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("evidence_at", F.last(F.when(F.col("_kind") == 1, F.col("_at")), ignorenulls=True).over(later))
+    linked = seen.where("_kind = 0").select(*on, "_o.*", "evidence_at").select(*keys, "opened_at", "co_accesses", "evidence_at")
     expiry = F.col("opened_at") + timing.evidence
     gone = expiry + timing.suspect
     state = (
@@ -130,14 +135,17 @@ def channels_discovered(transmissions: DataFrame, resource: str = "resource", at
 def channel_of(accesses: DataFrame, patterns: DataFrame, discovered: DataFrame) -> DataFrame:
     """Accesses with the channel of record: a declared pattern first, then a discovery.
 
-    patterns: (channel, kind, pattern), declared by operators and so few; accesses: (url).
+    patterns: (channel, kind, pattern); accesses: (url). A URL meets a pattern by one of the
+    values that could hold it, so patterns are never tried one after another.
     """
     url = F.col("url")
-    holds = F.lit(False)
-    for kind in ("exact", "host", "url_prefix", "path_prefix"):
-        holds = holds | ((F.col("kind") == kind) & matches(kind, F.col("pattern"), url))
-    urls = accesses.select("url").distinct()
-    declared = urls.join(F.broadcast(patterns), holds).groupBy("url").agg(F.min("channel").alias("_declared"))
+    tries = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("pattern")))
+    keys = F.concat(
+        tries("exact", F.array(canonical(url))), tries("host", F.array(host(url))),
+        tries("url_prefix", segment_prefixes(canonical(url))), tries("path_prefix", segment_prefixes(path(url))),
+    )
+    urls = accesses.select("url").distinct().select("url", F.explode(F.array_distinct(keys)).alias("k")).select("url", "k.kind", "k.pattern")
+    declared = urls.join(patterns.select("kind", "pattern", "channel"), ["kind", "pattern"]).groupBy("url").agg(F.min("channel").alias("_declared"))
     found = discovered.select("resource", F.col("channel").alias("_found"))
     return (
         accesses.join(declared, "url", "left")

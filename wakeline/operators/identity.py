@@ -161,13 +161,22 @@ def threading(found: DataFrame, requests: DataFrame) -> DataFrame:
 def seen_elsewhere(inputs: DataFrame, history: DataFrame, retention: int) -> DataFrame:
     """Inputs that the agent did not see in another conversation within retention before.
 
-    inputs: (agent, conversation, message, at); history the same. Each message's sightings
-    are first cut to one per (agent, message, conversation), so repeats do not multiply.
+    inputs: (agent, conversation, message, at); history the same. Both pass in order of time
+    once: the newest sighting before an input counts if it is of another conversation, else
+    the last one before the run of sightings that it ends, so a message seen very often is
+    not compared with itself.
     """
-    h = history.select("agent", "message", F.col("conversation").alias("_c"), F.col("at").alias("_at")).distinct()
-    same = (F.col("i.agent") == F.col("h.agent")) & (F.col("i.message") == F.col("h.message"))
-    elsewhere = (F.col("h._c") != F.col("i.conversation")) & F.col("h._at").between(F.col("i.at") - retention, F.col("i.at") - 1)
-    return inputs.alias("i").join(h.alias("h"), same & elsewhere, "left_anti")
+    key, columns = ["agent", "message"], inputs.columns
+    asked = inputs.select(*key, "conversation", "at", F.lit(0).alias("_kind"), F.struct(*columns).alias("_i"))
+    known = history.select(*key, "conversation", "at", F.lit(1).alias("_kind")).distinct()
+    before = Window.partitionBy(*key).orderBy("at", "_kind", "conversation").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col("_kind") == 1, F.struct("conversation", "at"))
+    rows = asked.unionByName(known, allowMissingColumns=True).withColumn("_last", F.last(seen, ignorenulls=True).over(before))
+    begins = (F.col("_kind") == 1) & ~F.col("_last.conversation").eqNullSafe(F.col("conversation"))
+    rows = rows.withColumn("_run", F.last(F.when(begins, F.struct(F.col("_last.at").alias("at"))), ignorenulls=True).over(before))
+    elsewhere = F.when(F.col("_last.conversation") != F.col("conversation"), F.col("_last.at")).otherwise(F.col("_run.at"))
+    kept = rows.where((F.col("_kind") == 0) & ~F.coalesce(elsewhere >= F.col("at") - retention, F.lit(False)))
+    return kept.select("_i.*").select(*columns)
 
 
 def turns(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.sources.storage import small
+
 MOST = 500
 
 
@@ -79,8 +81,8 @@ def seeded_sample(rows: DataFrame, key: str, seed: str, most: int) -> DataFrame:
 
 
 def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of a batch of ids, unknown ones absent; the batch is small by contract."""
-    return rows.join(F.broadcast(ids.select(key).distinct()), key, "left_semi")
+    """Rows of a batch of ids, unknown ones absent."""
+    return rows.join(small(ids.select(key).distinct()), key, "left_semi")
 
 
 def rules_order() -> list:

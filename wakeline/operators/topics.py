@@ -26,10 +26,12 @@ def fit(rows: DataFrame, k: int, seed: int = 0, least: int = 10, floor: float =
     Spherical k-means with members below `floor` similarity left as outliers (topic null).
     Topics are numbered by size, largest first, ties by least member.
     """
+    if k > MAX_TOPICS:
+        raise ValueError(f"at most {MAX_TOPICS} topics")
     data = rows.select("id", unit("vector").alias("vector")).where("vector IS NOT NULL")
     if data.limit(least).count() < least:
         raise ValueError("too few vectors to fit")
-    model = KMeans(k=min(k, MAX_TOPICS), seed=seed, featuresCol="x", predictionCol="c", distanceMeasure="cosine").fit(
+    model = KMeans(k=k, seed=seed, featuresCol="x", predictionCol="c", distanceMeasure="cosine").fit(
         data.withColumn("x", array_to_vector("vector"))
     )
     found = model.transform(data.withColumn("x", array_to_vector("vector"))).select("id", "vector", "c")
@@ -43,9 +45,11 @@ def fit(rows: DataFrame, k: int, seed: int = 0, least: int = 10, floor: float =
 
 def assign(rows: DataFrame, topics: DataFrame, floor: float = FLOOR) -> DataFrame:
     """(id, topic, similarity): the nearest centroid, ties to the least topic; null below the floor."""
-    near = rows.crossJoin(F.broadcast(topics)).select("id", "topic", cosine("vector", "centroid").alias("similarity"))
-    best = near.groupBy("id").agg(F.max_by(F.struct("topic", "similarity"), F.struct("similarity", -F.col("topic"))).alias("b"))
-    return best.select("id", F.when(F.col("b.similarity") >= floor, F.col("b.topic")).alias("topic"), "b.similarity")
+    # One row of all centroids, at most MAX_TOPICS: the best is found within each row, without a shuffle.
+    known = topics.agg(F.collect_list(F.struct("topic", "centroid")).alias("_t"))
+    near = F.transform("_t", lambda t: F.struct(cosine(F.col("vector"), t["centroid"]).alias("similarity"), (-t["topic"]).alias("back")))
+    best = rows.crossJoin(F.broadcast(known)).select("id", F.array_max(near).alias("b")).where("b IS NOT NULL")
+    return best.select("id", F.when(F.col("b.similarity") >= floor, -F.col("b.back")).alias("topic"), "b.similarity")
 
 
 def sizes(topics: DataFrame, assigned: DataFrame, stats: dict[str, Column]) -> DataFrame:

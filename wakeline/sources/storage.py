@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Inputs up to this size are shuffled once to use all cores.
@@ -39,6 +40,17 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
+#: One short row each: what operators enter, or a batch of ids.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast if its rows were counted and are few."""
+    if df.isStreaming or df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    return F.broadcast(df)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder in shared storage, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

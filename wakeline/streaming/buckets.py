@@ -42,9 +42,10 @@ def upsert(sums: DataFrame, more: DataFrame, keys: list[str], values: list[str])
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain what is there into a table in memory: for tests and small results."""
+    """Drain what is there into Parquet beside the checkpoint, and read it."""
+    out = f"{checkpoint}-{name}"
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").queryName(name).outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
