@@ -36,24 +36,29 @@ SELECT *, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept FROM bi
 
 OP8 = r"""
 WITH p AS (
-  SELECT page_id, url, html, '"' || md5(html) || '"' AS tag, 'day ' || (page_id % 9) AS day,
-         regexp_replace(url, '#.*$', '') AS u FROM pages),
+  SELECT a.page_id AS p, a.page_id // 4 AS g, h.url AS head, a.html, a.page_id // 4 * 20000 + a.page_id % 4 * 5000 AS t,
+    '"' || md5(h.url) || '"' AS tag, 'day ' || (a.page_id // 4 % 9) AS day, regexp_replace(h.url, '#.*$', '') AS u
+  FROM pages a JOIN pages h ON h.page_id = a.page_id // 4 * 4),
 c AS (
   SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1))
     || CASE WHEN regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) END
     || CASE WHEN regexp_extract(u, '\?(.*)$', 1) = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(regexp_extract(u, '\?(.*)$', 1), '&')), '&') END AS canonical
   FROM p),
-r AS (
-  -- Every page was fetched in full just before it was asked for again, so that is its latest response.
-  SELECT a.page_id * 2 + 1 AS record_id, a.canonical, a.page_id AS pid, a.html, a.day,
-    CASE WHEN a.page_id % 6 = 1 THEN 'validator_mismatch' WHEN a.page_id % 6 = 4 THEN 'no_validator' ELSE 'resolved' END AS outcome,
-    CASE WHEN a.page_id % 6 = 0 THEN 'W/' || a.tag WHEN a.page_id % 6 < 4 THEN a.tag END AS etag
-  FROM c a)
-SELECT record_id, canonical, CASE WHEN outcome = 'resolved' THEN pid * 2 ELSE -1 END AS response_id, outcome,
-  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || (pid * 10 + 5) || ';etag=' || coalesce(etag, '') || ';last-modified=' || day END AS headers,
-  CASE WHEN outcome = 'resolved' THEN md5(html) END AS body_md5,
-  CASE WHEN outcome = 'resolved' THEN strlen(html) ELSE 0 END AS body_bytes
-FROM r
+r AS (SELECT canonical, p * 2 AS id, t AS seen, CASE WHEN p % 5 <> 4 THEN tag END AS etag, day, html FROM c WHERE p % 4 <> 2),
+v AS (
+  SELECT canonical, p * 2 + 1 AS id, t + CASE p % 7 WHEN 0 THEN 5 WHEN 1 THEN 900 WHEN 2 THEN 4000 WHEN 3 THEN 9000 WHEN 4 THEN -300 WHEN 5 THEN 90000 ELSE 13 END AS seen,
+    CASE p % 6 WHEN 0 THEN 'W/' || tag WHEN 1 THEN '"other"' WHEN 2 THEN tag WHEN 3 THEN tag END AS etag, CASE WHEN p % 6 = 5 THEN day END AS day FROM c),
+-- The latest earlier response of each revisit's URL.
+found AS (SELECT v.id, arg_max(r.id, (r.seen, r.id)) AS rid FROM v JOIN r ON r.canonical = v.canonical AND (r.seen < v.seen OR (r.seen = v.seen AND r.id < v.id)) GROUP BY v.id),
+j AS (
+  SELECT v.id AS record_id, v.canonical, v.seen, v.etag AS own, r.id AS rid, r.etag AS theirs, r.day, r.html,
+    CASE WHEN r.id IS NULL THEN 'no_response' WHEN v.etag IS NOT NULL AND r.etag IS NOT NULL THEN CASE WHEN ltrim(v.etag, 'W/') = r.etag THEN 'resolved' ELSE 'validator_mismatch' END
+      WHEN v.day IS NOT NULL THEN CASE WHEN v.day = r.day THEN 'resolved' ELSE 'validator_mismatch' END ELSE 'no_validator' END AS outcome
+  FROM v LEFT JOIN found ON found.id = v.id LEFT JOIN r ON r.id = found.rid)
+SELECT record_id, canonical, CASE WHEN outcome = 'resolved' THEN rid ELSE -1 END AS response_id, outcome,
+  CASE WHEN outcome = 'resolved' THEN 'content-type=text/html;date=' || seen || ';etag=' || coalesce(own, theirs, '') || ';last-modified=' || day END AS headers,
+  CASE WHEN outcome = 'resolved' THEN md5(html) END AS body_md5, CASE WHEN outcome = 'resolved' THEN strlen(html) ELSE 0 END AS body_bytes
+FROM j
 """
 
 OP9 = r"""

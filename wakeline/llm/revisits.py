@@ -120,24 +120,31 @@ def resolve(records: DataFrame, slot: int = SLOT) -> DataFrame:
 
 
 def archive_of(pages: DataFrame) -> DataFrame:
-    """Archive records of pages: each fetched in full and asked for again five seconds later.
+    """Archive records of pages: four pages are captures of the first one's URL.
 
-    The tables hold no headers, so validators are made from the pages: most revisits repeat
-    the entity tag, some weakly; some have another tag, some only a date, some none.
+    Each but the third was fetched in full, and each was asked for again at another time:
+    seconds or slots later, after later fetches, or before any. The tables hold no headers,
+    so validators are made from the URL: most revisits repeat the entity tag, some weakly;
+    some have another tag, some only a date, some none, as have some responses.
     """
-    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
-    date = F.concat(F.lit("day "), (F.col("page_id") % 9).cast("string"))
-    p = F.col("page_id")
-    full = pages.select(
-        (p * 2).alias("record_id"), "url", (p * 10).alias("at"), F.lit("response").alias("kind"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.when(p % 6 != 5, tag), F.lit("Last-Modified"), date,
-                     F.lit("Date"), (p * 10).cast("string")).alias("headers"),
+    heads = pages.where("page_id % 4 = 0").select(F.expr("page_id DIV 4").alias("g"), F.col("url").alias("head"))
+    rows = pages.withColumn("g", F.expr("page_id DIV 4")).join(heads, "g").selectExpr(
+        "page_id AS p", "g", "head", "html", "g * 20000 + page_id % 4 * 5000 AS at",
+        "g * 20000 + page_id % 4 * 5000 + CASE page_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 900 WHEN 2 THEN 4000 WHEN 3 THEN 9000 WHEN 4 THEN -300 WHEN 5 THEN 90000 ELSE 13 END AS again",
+    )
+    tag = F.concat(F.lit('"'), F.md5("head"), F.lit('"'))
+    date = F.concat(F.lit("day "), (F.col("g") % 9).cast("string"))
+    p = F.col("p")
+    full = rows.where("p % 4 <> 2").select(
+        (p * 2).alias("record_id"), F.col("head").alias("url"), "at", F.lit("response").alias("kind"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), F.when(p % 5 != 4, tag), F.lit("Last-Modified"), date,
+                     F.lit("Date"), F.col("at").cast("string")).alias("headers"),
         F.md5("html").alias("digest"), F.col("html").alias("body"),
     )
-    again = F.when(p % 6 == 0, F.concat(F.lit("W/"), tag)).when(p % 6 == 1, F.lit('"other"')).when(p % 6 < 4, tag)
-    asked = pages.select(
-        (p * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), (p * 10 + 5).alias("at"), F.lit("revisit").alias("kind"),
-        F.create_map(F.lit("etag"), again, F.lit("Last-Modified"), F.when(p % 6 == 5, date), F.lit("Date"), (p * 10 + 5).cast("string"),
+    own = F.when(p % 6 == 0, F.concat(F.lit("W/"), tag)).when(p % 6 == 1, F.lit('"other"')).when(p % 6 < 4, tag)
+    asked = rows.select(
+        (p * 2 + 1).alias("record_id"), F.concat("head", F.lit("#again")).alias("url"), F.col("again").alias("at"), F.lit("revisit").alias("kind"),
+        F.create_map(F.lit("etag"), own, F.lit("Last-Modified"), F.when(p % 6 == 5, date), F.lit("Date"), F.col("again").cast("string"),
                      F.lit("Content-Type"), F.lit("text/plain")).alias("headers"),
         F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("body"),
     )
