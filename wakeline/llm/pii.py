@@ -2,7 +2,7 @@
 
 One scan of each whole text finds the base spans (e-mail, IP, card, phone; exact rules,
 always kept) and further candidates: secrets, IBANs, national ids, bare numbers, spelled
-out e-mail addresses, and names. Labelers of three sorts vote on every candidate, base
+out e-mail addresses, and pairs of capitalised words, which may be names. Labelers of three sorts vote on every candidate, base
 spans included: format rules, gazetteers and context words; each says yes (1), no (0) or
 nothing (-). Expectation-maximisation over the counts of vote patterns estimates every
 labeler's reliability in both classes and so a probability for each pattern. A logistic
@@ -75,8 +75,12 @@ CUES = {
     "secret": "password passwd pwd token secret key apikey api_key auth bearer",
 }
 CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
+# Words that often open a sentence or a title.
+OPENERS = frozenset("the a an this that these those and but or if when on in at for from to by we you he she it they our your his her its dear new".split())
 AGAINST = frozenset("version page isbn chapter figure sha md5 commit checksum build http https www".split())
 LEFT = re.compile(r"[A-Za-z_-]+")
+#: Least rate at which a labeler is taken to be right.
+BETTER = 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -133,10 +137,15 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             if DIGIT.search(m.group()) and re.search(r"[A-Za-z]", m.group()):
                 rough.append(("secret", *m.span()))
         rough += [("number", *m.span()) for m in NUMBER.finditer(text) if len(DIGIT.findall(m.group())) >= 7]
-    for m in PERSON.finditer(text):
-        if m.group() + m.group(1) in NAMES:
-            rough.append(("person", m.start(), m.end(2)))
-    taken = sorted((a, b) for _, a, b in base)
+    pairs = [(m.group() + m.group(1) in NAMES, m.start(), m.end(2)) for m in PERSON.finditer(text)]
+    rough += [("person", a, b) for known in (True, False) for of, a, b in pairs if of is known]
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in base):
+        # Base spans of different kinds may overlap; what they cover is kept as places apart.
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     # Rules are listed from strict to loose: the first that claims a place has it.
     out: list[tuple[str, int, int]] = []
     for kind, a, b in rough:
@@ -153,9 +162,9 @@ def _place(spans: list[tuple[int, int]], at: int) -> int:
 
 
 def _overlaps(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    """spans: sorted; a base span may lie within another, so look back as far as one can reach."""
+    """spans: sorted and apart, so the last that starts before b reaches furthest."""
     k = _place(spans, b)
-    return any(spans[i][1] > a for i in range(max(0, k - 8), k))
+    return k > 0 and spans[k - 1][1] > a
 
 
 def entropy(value: str) -> float:
@@ -163,15 +172,23 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def listed(kind: str, value: str) -> bool | None:
+    """Whether a gazetteer has the span's name or ending; None where there is none for the kind."""
+    if kind in ("email", "handle"):
+        return re.split(r"[^A-Za-z]+", value)[-1].lower() in TOP_LEVEL
+    return value.split()[0] in NAMES if kind == "person" else None
+
+
 def votes(kind: str, value: str, left: str) -> str:
     """One character per labeler: 1 yes, 0 no, - nothing."""
     cue_words = {w.lower() for w in LEFT.findall(left)}
     digits = DIGIT.findall(value)
     bare = value.replace(" ", "")
     shape = {
-        "email": True, "ip": True, "phone": True, "handle": True, "card": True, "national_id": True,
-        "iban": 15 <= len(bare) <= 34, "number": 8 <= len(digits) <= 15, "person": None,
-        "secret": len(digits) * 5 >= len(value),
+        "email": value.rpartition(".")[2].isalpha(), "ip": not re.search(r"\b0[0-9]", value), "phone": 10 <= len(digits) <= 13,
+        "handle": None, "card": value[0] in "3456", "national_id": value[4:6] != "00" and value[7:] != "0000",
+        "iban": 15 <= len(bare) <= 34, "number": 8 <= len(digits) <= 15, "secret": len(digits) * 5 >= len(value),
+        "person": False if value.split()[0].lower() in OPENERS else None,
     }[kind]
     check = None
     if kind == "card" or kind == "number" and len(digits) >= 16:
@@ -182,11 +199,7 @@ def votes(kind: str, value: str, left: str) -> str:
         check = value.split(".")[0] not in ("0", "127", "255")
     elif kind == "national_id":
         check = value[:3] not in ("000", "666") and value[0] != "9"
-    gazetteer = None
-    if kind in ("email", "handle"):
-        gazetteer = re.split(r"[^A-Za-z]+", value)[-1].lower() in TOP_LEVEL
-    elif kind == "person":
-        gazetteer = value.split()[0] in NAMES
+    gazetteer = listed(kind, value)
     cue = True if cue_words & CUES[kind] else None
     against = False if cue_words & AGAINST else None
     e = entropy(value) if kind == "secret" else None
@@ -199,7 +212,7 @@ def features(kind: str, value: str, left: str) -> str:
     n = len(value)
     digits = 4 * len(DIGIT.findall(value)) // max(1, n)
     words = {w.lower() for w in LEFT.findall(left)}
-    return f"{kind}|{min(7, n.bit_length())}{digits}{int(bool(words & CUES[kind]))}{int(bool(words & AGAINST))}"
+    return f"{kind}|{min(7, n.bit_length())}{digits}{int(bool(words & CUES[kind]))}{int(bool(words & AGAINST))}{int(listed(kind, value) is not False)}{int(kind != 'secret' or entropy(value) >= 3)}"
 
 
 SCAN = "doc_id long, base array<struct<kind:string,start:long,end:long>>, more array<struct<kind:string,start:long,end:long,votes:string,features:string>>, seen array<struct<votes:string,features:string>>"
@@ -228,35 +241,39 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
-    """Probability of each vote pattern, from its count. Every labeler has an own rate of
-    yes among its votes in either class; the majority of votes starts it off."""
+    """Probability of each pattern, kind|votes, from its count. Every labeler has an own rate of
+    yes among its votes in either class, better than chance, and every kind an own share of
+    positives; the majority of votes starts it off."""
     if not patterns:
         return {}
     names = sorted(patterns)
+    kinds = sorted({p.rpartition("|")[0] for p in names})
+    of = np.array([[p.rpartition("|")[0] == k for k in kinds] for p in names], dtype=np.float64)
+    cast = [p.rpartition("|")[2] for p in names]
     n = np.array([patterns[p] for p in names], dtype=np.float64)
-    yes = np.array([[c == "1" for c in p] for p in names], dtype=np.float64)
-    no = np.array([[c == "0" for c in p] for p in names], dtype=np.float64)
+    yes = np.array([[c == "1" for c in v] for v in cast], dtype=np.float64)
+    no = np.array([[c == "0" for c in v] for v in cast], dtype=np.float64)
     p = (yes.sum(1) + 0.5) / (yes.sum(1) + no.sum(1) + 1)
     for _ in range(rounds):
         w1, w0 = n * p, n * (1 - p)
         # Four pseudo-votes to each side hold the classes to the sense of the votes.
-        r1 = (w1 @ yes + 3) / (w1 @ (yes + no) + 4)
-        r0 = (w0 @ yes + 1) / (w0 @ (yes + no) + 4)
-        prior = (w1.sum() + 1) / (n.sum() + 2)
-        log1 = math.log(prior) + yes @ np.log(r1) + no @ np.log(1 - r1)
-        log0 = math.log(1 - prior) + yes @ np.log(r0) + no @ np.log(1 - r0)
+        r1 = np.maximum((w1 @ yes + 3) / (w1 @ (yes + no) + 4), BETTER)
+        r0 = np.minimum((w0 @ yes + 1) / (w0 @ (yes + no) + 4), 1 - BETTER)
+        prior = of @ ((w1 @ of + 1) / (n @ of + 2))
+        log1 = np.log(prior) + yes @ np.log(r1) + no @ np.log(1 - r1)
+        log0 = np.log(1 - prior) + yes @ np.log(r0) + no @ np.log(1 - r0)
         p = 1 / (1 + np.exp(np.clip(log0 - log1, -50, 50)))
     return dict(zip(names, p.tolist(), strict=True))
 
 
 def _vector(feature: str) -> np.ndarray:
     kind, rest = feature.split("|")
-    x = np.zeros(1 + len(KINDS) + 8 + 5 + 2)
+    x = np.zeros(1 + len(KINDS) + 8 + 5 + 4)
     x[0] = 1
     x[1 + KINDS.index(kind)] = 1
     x[1 + len(KINDS) + int(rest[0])] = 1
     x[9 + len(KINDS) + int(rest[1])] = 1
-    x[14 + len(KINDS) + np.arange(2)] = [int(rest[2]), int(rest[3])]
+    x[14 + len(KINDS) + np.arange(4)] = [int(c) for c in rest[2:]]
     return x
 
 
@@ -264,8 +281,8 @@ def train(counts: list[tuple[str, str, int]]) -> dict[str, float]:
     """Probability of personal data for each feature value seen, by ridge logistic regression
     on the votes' probabilities. counts: (votes, features, spans)."""
     patterns: Counter = Counter()
-    for v, _, n in counts:
-        patterns[v] += n
+    for v, f, n in counts:
+        patterns[f"{f.split('|')[0]}|{v}"] += n
     label = expectation_maximisation(patterns)
     names = sorted({f for _, f, _ in counts})
     if not names:
@@ -274,7 +291,7 @@ def train(counts: list[tuple[str, str, int]]) -> dict[str, float]:
     at = {f: i for i, f in enumerate(names)}
     positive, total = np.zeros(len(names)), np.zeros(len(names))
     for v, f, n in sorted(counts):
-        positive[at[f]] += n * label[v]
+        positive[at[f]] += n * label[f"{f.split('|')[0]}|{v}"]
         total[at[f]] += n
     w = np.zeros(x.shape[1])
     for _ in range(30):
