@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, new_path, staged
 
 WINDOW = 10
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 
 # Bytes of words keep their value, lower-cased; all other bytes become spaces. Bytes from
 # 0x80 on only occur in non-ASCII characters, so words of bytes are words of characters.
