@@ -15,9 +15,9 @@ LAYERS = 32
 RUN = 16
 
 # Letters of other scripts that look like Latin ones, and zero-width characters.
-CONFUSABLE = "аеорсхуіјѕԁԛԝһАВЕКМНОРСТХαορνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
-LATIN = "aeopcxyijsdqwhABEKMHOPCTXaopvABEZHIKMNOPTYX"
-ZERO_WIDTH = "[\\u200B\\u200C\\u200D\\u2060\\uFEFF\\u00AD]"
+CONFUSABLE = "аеорсхуіјѕԁԛԝһӏɡАВЕКМНОРСТХУІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
+LATIN = "aeopcxyijsdqwhlgABEKMHOPCTXYIJSaopvikABEZHIKMNOPTYX"
+ZERO_WIDTH = "[\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180E\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u2064\\u2066-\\u206F\\uFEFF]"
 
 
 def _text(raw: Column) -> Column:

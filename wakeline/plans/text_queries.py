@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import decode, text, urls, vectors
@@ -260,20 +260,53 @@ WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1
 SELECT page_id, p = '/en' OR p LIKE '/en/%' AS english, p = '/en/1' OR p LIKE '/en/1/%' AS first FROM p"""
 
 
+ENCODE = {"base64": lambda c: F.regexp_replace(F.base64(F.encode(c, "utf-8")), r"\s", ""), "hex": lambda c: F.hex(F.encode(c, "utf-8")), "url": F.url_encode}
+HIDDEN = (("base64",), ("hex",), ("url",), ("base64", "hex"), ("hex", "base64"), ("base64", "url"), ("hex", "url"), ("hex", "base64", "hex"), ("base64", "hex", "url"))
+
+
 def decode_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items hidden in three encodings, and found again under each."""
-    raw = F.encode("text", "utf-8")
-    hidden = {"base64": F.regexp_replace(F.base64(raw), r"\s", ""), "hex": F.hex(raw), "url": F.url_encode("text")}
-    b = table(spark, sf_dir, "benchmark")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("codec"), F.concat(F.lit("see "), v, F.lit(" there")).alias("text")) for k, v in hidden.items()]))
-    rows = b.select("item_id", F.col("text").alias("plain"), each.alias("h")).select(F.struct("item_id", "h.codec", "plain").alias("key"), "h.text")
-    found = decode.layers(rows, "key", "text", depth=1).where((F.size("chain") == 1) & (F.col("text") == F.col("key.plain")))
-    return found.select("key.item_id", "key.codec", F.col("chain")[0].alias("found_by"), F.length("text").alias("length"))
+    """Benchmark items hidden under one to three encodings, and found again under each."""
+
+    def hidden(chain: tuple[str, ...]) -> Column:
+        c = F.col("text")
+        for name in reversed(chain):
+            c = ENCODE[name](c)
+        return F.struct(F.lit(">".join(chain)).alias("codec"), F.concat(F.lit("see "), c, F.lit(" there")).alias("text"))
+
+    each = F.explode(F.array(*map(hidden, HIDDEN)))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("plain"), each.alias("h")).select(F.struct("item_id", "h.codec", "plain").alias("key"), "h.text")
+    found = decode.layers(rows, "key", "text").where((F.size("chain") > 0) & (F.col("text") == F.col("key.plain")))
+    return found.select("key.item_id", "key.codec", F.array_join("chain", ">").alias("found_by"), F.length("text").alias("length"))
+
+
+def _round_trip(chain: tuple[str, ...]) -> str:
+    """SQL that encodes the text along a chain and decodes it again."""
+    up = {"base64": "base64(encode({}))", "hex": "hex(encode({}))", "url": "url_encode({})"}
+    down = {"base64": "decode(from_base64({}))", "hex": "decode(unhex({}))", "url": "url_decode({})"}
+    s = "text"
+    for name in reversed(chain):
+        s = up[name].format(s)
+    for name in chain:
+        s = down[name].format(s)
+    return s
+
+
+DECODE_LAYERS = "\nUNION ALL ".join(
+    f"SELECT item_id, '{'>'.join(chain)}' AS codec, '{'>'.join(chain)}' AS found_by, length({_round_trip(chain)})::INT AS length FROM benchmark"
+    + (" WHERE regexp_matches(text, '[^A-Za-z0-9 .*_-]')" if "url" in chain else "")
+    for chain in HIDDEN
+)
+
+
+def unicode_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose Latin letters were replaced by look-alikes, with unseen characters, folded back."""
+    hidden = F.regexp_replace(F.translate("text", decode.LATIN[:20], decode.CONFUSABLE[:20]), "(?<=t)(?=h)", "\u200b\u2061")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(decode.fold_unicode(hidden)).alias("folded"), (F.md5(hidden) != F.md5("text")).alias("changed"))
 
 
-DECODE_LAYERS = """
-SELECT item_id, codec, codec AS found_by, length(text)::INT AS length FROM benchmark, (VALUES ('base64'), ('hex'), ('url')) c(codec)
-WHERE codec <> 'url' OR regexp_matches(text, '[^A-Za-z0-9 .*_-]')"""
+UNICODE_FOLD = f"""
+SELECT doc_id, md5(translate(text, '{decode.CONFUSABLE}', '{decode.LATIN}')) AS folded,
+  regexp_matches(text, '[{decode.LATIN[:20]}]') OR contains(text, 'th') AS changed FROM documents"""
 
 
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +354,7 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = (
     "text_normalize", "text_tokens", "shingle_df", "winnow_fingerprints", "fingerprint_matches", "copied_runs",
     "copied_extent", "copied_gaps", "spread_boilerplate", "text_search", "semantic_search", "hybrid_search", "centroids",
-    "topic_assign", "topic_sizes", "topic_lineage", "ctfidf_terms", "url_canonical", "resource_pattern", "decode_layers",
+    "topic_assign", "topic_sizes", "topic_lineage", "ctfidf_terms", "url_canonical", "resource_pattern", "decode_layers", "unicode_fold",
     "seeded_sample", "export_digest",
 )
 QUERIES = {n: globals()[n] for n in (*NAMES, "topic_fit", "projection_2d", "stream_buckets")}
