@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import jsons, text, times, urls
-from wakeline.operators import alerts, filters, flow, governance, paging, provenance, quality, topology
+from wakeline.operators import alerts, filters, flow, governance, identity, paging, provenance, quality, topology
 from wakeline.sources import logs
 from wakeline.sources.storage import table
 
@@ -263,6 +263,33 @@ WITH {CHANNELS}, u AS (SELECT DISTINCT url FROM channels), k AS (
 SELECT kind, covered, count(*) AS resources, kind = 'path_prefix' AS overlaps FROM k GROUP BY ALL"""
 
 
+PATTERNS = (("a", "host", "h3"), ("b", "url_prefix", "https://h1/docs/1"), ("c", "path_prefix", "/docs/12"), ("d", "exact", "https://h0/docs/11/0"), ("e", "path_prefix", "/docs/13/"), ("f", "host", "h5"))
+
+
+def channel_of_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accesses of URLs with their channel: a declared pattern first, then a discovery."""
+    rows = _channels(spark, sf_dir).select("url", F.col("channel").alias("resource"))
+    found = _channels(spark, sf_dir).where("origin = 'discovered'").selectExpr("channel AS resource", "concat('found-', channel) AS channel")
+    patterns = spark.createDataFrame(PATTERNS, "channel string, kind string, pattern string")
+    return flow.channel_of(rows, patterns, found).select("resource", "channel")
+
+
+CHANNEL_OF_RECORD = f"""
+WITH {CHANNELS} SELECT channel AS resource, CASE WHEN url LIKE 'https://h3/%' THEN 'a' WHEN url LIKE 'https://h1/docs/1/%' THEN 'b' WHEN url LIKE 'https://h_/docs/12/%' THEN 'c'
+  WHEN url = 'https://h0/docs/11/0' THEN 'd' WHEN url LIKE 'https://h_/docs/13/%' THEN 'e' WHEN url LIKE 'https://h5/%' THEN 'f'
+  WHEN origin = 'discovered' THEN 'found-' || channel END AS channel FROM channels"""
+
+
+def turn_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turn numbers of conversations whose turns arrive in any order."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id AS conversation", "turn AS exchange", "(turn * 7) % 5 * 1000 + turn AS ended_at")
+    return identity.turns(rows).select("conversation", "exchange", F.col("turn").cast("long").alias("turn"))
+
+
+TURN_ORDER = """
+SELECT conv_id AS conversation, turn AS exchange, row_number() OVER (PARTITION BY conv_id ORDER BY (turn * 7) % 5 * 1000 + turn, turn) - 1 AS turn FROM conversations"""
+
+
 def json_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values by pointer, the first present key, string pairs, and the canonical form."""
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"b": [1.50, {"x/y": "'), "event_type", F.lit('"}], "a": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("args"))
@@ -454,7 +481,7 @@ WHERE length(text) >= 40 AND NOT regexp_matches(text, '[^\x20-\x7E]') AND regexp
 NAMES = (
     "filtered_transmissions", "filtered_accesses", "filtered_channels", "filtered_agents", "filtered_alerts", "crossing_transmissions",
     "audit_trail", "filtered_conversations", "alert_findings", "alert_suppression", "verdict_appends", "channel_promotion",
-    "pattern_coverage", "json_arguments", "match_precision", "shadowed_matches", "skeleton_matches", "match_layers", "span_lifecycle",
+    "pattern_coverage", "channel_of_record", "turn_order", "json_arguments", "match_precision", "shadowed_matches", "skeleton_matches", "match_layers", "span_lifecycle",
     "evidence_rows", "review_queue", "kept_topic_versions", "heaviest_edges", "delivery_log", "text_parts",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
