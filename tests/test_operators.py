@@ -226,22 +226,79 @@ def test_governance_and_alerts(spark):
     assert tuple(quality.strongest_match(m).first()) == ("t", 1, "y", 18)
 
 
+MINUTE = 60_000_000
+START = 1_704_067_200_000_000
+
+
+def _stream(spark, rows, bounds, path):
+    """Rows as a stream whose batches are cut at the bounds (minutes), in order of time."""
+    rows = rows.withColumn("ts", F.timestamp_micros("at"))
+    for low, high in bounds:
+        rows.where((F.col("at") >= START + low * MINUTE) & (F.col("at") < START + high * MINUTE)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_correlator_decides_at_its_windows(spark):
+    """Evidence window 2 minutes, suspect window 30 more."""
+    cases = {
+        "confirmed": ([0, 1, 2], [("opened", 0, 0, 0), ("confirmed", 2, 0, 3)]),
+        "late": ([10], [("opened", 0, 0, 0), ("suspected", 2, 0, 0), ("confirmed", 10, 0, 1)]),
+        "last moment": ([32, 32, 40], [("opened", 0, 0, 0), ("suspected", 2, 0, 0), ("confirmed", 32, 0, 2), ("extended", 40, 0, 1)]),
+        "silent": ([], [("opened", 0, 0, 0), ("suspected", 2, 0, 0), ("discarded", 32, 0, 0)]),
+        "reopened": ([33, 50], [("opened", 0, 0, 0), ("suspected", 2, 0, 0), ("discarded", 32, 0, 0), ("opened", 33, 1, 0), ("confirmed", 33, 1, 1), ("extended", 50, 1, 1)]),
+        "forgotten": ([31 * 1440], [("opened", 0, 0, 0), ("suspected", 2, 0, 0), ("discarded", 32, 0, 0)]),
+    }
+    opened = spark.createDataFrame([(k, START) for k in cases], "k string, at long")
+    evidence = spark.createDataFrame([(k, START + m * MINUTE) for k, (at, _) in cases.items() for m in at], "k string, at long")
+    got = flow.correlations(opened, evidence, ["k"], F.lit(START + 60 * 1440 * MINUTE), flow.Timing()).collect()
+    for k, (_, want) in cases.items():
+        assert sorted((r["update"], (r["at"] - START) // MINUTE, r["generation"], r["matches"]) for r in got if r["k"] == k) == sorted(want), k
+
+
 def test_streaming_correlator_agrees_with_batch(spark, tmp_path):
+    """Any evidence, in batches of any cut: the updates of the batch form before the watermark."""
+    import random
+
     from wakeline.streaming import buckets, correlator
 
-    minute = 60_000_000
-    start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC).timestamp()) * 1_000_000
-    events = [("r1", "x", "read", 0), ("r1", "x", "evidence", 1), ("r2", "x", "read", 0), ("r2", "x", "evidence", 10), ("r3", "x", "read", 0), ("z", "z", "read", 200), ("z", "z", "evidence", 400)]
-    rows = spark.createDataFrame([(a, b, k, start + m * minute) for a, b, k, m in events], "reader string, resource string, kind string, at long")
-    rows = rows.withColumn("ts", F.timestamp_micros("at"))
-    for i, (low, high) in enumerate(((0, 5), (5, 100), (100, 300), (300, 500))):
-        rows.where((F.col("at") >= start + low * minute) & (F.col("at") < start + high * minute)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = buckets.run_once(correlator.correlated(stream, flow.Timing()), "correlated", str(tmp_path / "check"))
-    last = {r["reader"]: r["state"] for r in got.orderBy("at").collect()}
-    batch = flow.transmission_states(
-        rows.where("kind = 'read'").withColumn("read_at", F.col("at")), rows.where("kind = 'evidence'"), ["reader", "resource"], ["reader", "resource"], F.lit(start + 400 * minute), flow.Timing()
-    )
-    want = {r["reader"]: r["state"] for r in batch.collect()}
-    assert {k: want[k] for k in ("r1", "r2", "r3")} == {k: last[k] for k in ("r1", "r2", "r3")}
+    rng = random.Random(5)
+    events = []
+    for k in range(40):
+        at = rng.randrange(0, 200)
+        events.append((k, "read", at))
+        events += [(k, "evidence", at + rng.choice((0, 1, 2, 3, 20, 32, 33, 60, 90))) for _ in range(rng.randrange(4))]
+    events.append((99, "read", 400))
+    rows = spark.createDataFrame([(k, kind, START + m * MINUTE) for k, kind, m in events], "k long, kind string, at long")
+    stream = _stream(spark, rows, ((0, 30), (30, 35), (35, 120), (120, 401)), str(tmp_path / "in"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = buckets.run_once(correlator.correlated(stream, ["k"], flow.Timing()), "updates", str(tmp_path / "check"))
+    finally:
+        spark.conf.set(name, before)
+    batch = flow.correlations(rows.where("kind = 'read'").drop("kind"), rows.where("kind = 'evidence'").drop("kind"), ["k"], F.lit(START + 399 * MINUTE), flow.Timing())
+    want = sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    assert {r[2] for r in want} == {"opened", "confirmed", "suspected", "discarded", "extended"} and any(r[1] == 1 for r in want)
+
+
+def test_held_writes_agree_with_batch(spark, tmp_path):
+    """Writes wait for their result on a stream as in batch; without one they settle as unknown."""
+    from wakeline.streaming import buckets, correlator
+
+    writes = spark.createDataFrame([(1, START), (2, START), (3, START + 5 * MINUTE), (4, START), (5, START + 300 * MINUTE)], "call long, at long")
+    results = spark.createDataFrame([(1, "delivered", START + MINUTE), (2, "rejected", START + MINUTE), (4, "delivered", START + 33 * MINUTE), (6, "delivered", START + 300 * MINUTE)], "call long, outcome string, at long")
+    timing = flow.Timing()
+    batch = flow.settled_writes(writes.withColumnRenamed("at", "write_at"), results.withColumnRenamed("at", "result_at"), F.lit(START + 299 * MINUTE), timing)
+    want = {(r["call"], r["outcome"], (r["released_at"] - START) // MINUTE) for r in batch.collect()}
+    assert want == {(1, "delivered", 1), (3, "unknown", 37), (4, "unknown", 32)}
+    cuts = ((0, 3), (3, 299), (299, 301))
+    w = _stream(spark, writes, cuts, str(tmp_path / "w")).select("call", F.col("ts").alias("write_ts"))
+    r = _stream(spark, results, cuts, str(tmp_path / "r")).select("call", "outcome", F.col("ts").alias("result_ts"))
+    got = buckets.run_once(correlator.held(w, r, timing), "released", str(tmp_path / "check"))
+    assert {(x["call"], x["outcome"], (F_us(x["released_ts"]) - START) // MINUTE) for x in got.collect()} == want
+
+
+def F_us(at):
+    return int(at.replace(tzinfo=datetime.UTC).timestamp() * 1_000_000)

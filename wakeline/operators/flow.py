@@ -102,6 +102,68 @@ def transmission_states(pairs: DataFrame, evidence: DataFrame, keys: list[str],
     return linked.withColumn("state", state)
 
 
+#: Columns of the correlator's updates, after the keys.
+UPDATES = ("generation", "update", "at", "matches")
+UPDATE_LIST = "array<struct<generation:int,update:string,at:bigint,matches:bigint>>"
+
+
+def correlations(opened: DataFrame, evidence: DataFrame, keys: list[str], now: Column, timing: Timing) -> DataFrame:
+    """Every update of every transmission before `now`: (keys, generation, update, at, matches).
+
+    A transmission's identity (keys) is a reading exchange, a writer and a resource. opened:
+    (keys, at), one row an identity; evidence: (keys, at), matches of content that the exchange
+    carries, which may arrive long after. It is opened at its read; when the evidence window
+    closes it is confirmed by the matches so far, or suspected. A suspected one is confirmed by
+    the next match, or discarded when the suspect window has passed. A match after that reopens
+    it as the next generation, confirmed at once. Matches after a confirmation extend it; after
+    `retention` they no longer count. Matches of one time are one update. As a generation after
+    the first is always confirmed, three sums over the identity decide each row's updates.
+    """
+    row = lambda g, u, at, n: F.struct(F.lit(g).alias("generation"), F.lit(u).alias("update"), at.alias("at"), n.cast("long").alias("matches"))
+    matched = evidence.groupBy(*keys, "at").agg(F.count("*").alias("n"))
+    rows = opened.select(*keys, "at", F.lit(0).alias("n"), F.lit(True).alias("_read")).unionByName(matched.withColumn("_read", F.lit(False)))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("_opened", F.min(F.when(F.col("_read"), F.col("at"))).over(whole)).where(
+        F.col("_read") | F.col("at").between(F.col("_opened"), F.col("_opened") + timing.retention)
+    )
+    at, n, none = F.col("at"), F.col("n"), F.lit(0)
+    closes = F.col("_opened") + timing.evidence
+    gone = closes + timing.suspect
+    rows = rows.withColumns(
+        {"_held": F.sum(F.when(at <= closes, n).otherwise(0)).over(whole), "_next": F.min(F.when(~F.col("_read") & (at > closes), at)).over(whole)}
+    )
+    held, following = F.col("_held"), F.col("_next")
+    kept = following <= gone
+    read = F.array(
+        row(0, "opened", at, none),
+        F.when(held > 0, row(0, "confirmed", closes, held)).otherwise(row(0, "suspected", closes, none)),
+        F.when((held == 0) & ~F.coalesce(kept, F.lit(False)), row(0, "discarded", gone, none)),
+    )
+    match = (
+        F.when(at <= closes, F.array().cast(UPDATE_LIST))
+        .when(held > 0, F.array(row(0, "extended", at, n)))
+        .when((at == following) & kept, F.array(row(0, "confirmed", at, n)))
+        .when(at == following, F.array(row(1, "opened", at, none), row(1, "confirmed", at, n)))
+        .when(kept, F.array(row(0, "extended", at, n)))
+        .otherwise(F.array(row(1, "extended", at, n)))
+    )
+    made = F.when(F.col("_read"), read.cast(UPDATE_LIST)).otherwise(match)
+    return rows.select(*keys, F.explode(made).alias("u")).where(F.col("u").isNotNull() & (F.col("u.at") < now)).select(*keys, *[f"u.{c}" for c in UPDATES])
+
+
+def settled_writes(writes: DataFrame, results: DataFrame, now: Column, timing: Timing) -> DataFrame:
+    """Writes that no longer wait for their result: (write columns, outcome, released_at).
+
+    writes: (call, write_at, ...); results: (call, outcome, result_at), one a call. A write is
+    held until its result, or until it settles as unknown; the rejected ones are kept out.
+    """
+    settles = F.col("write_at") + timing.settle_after
+    in_time = F.col("result_at").between(F.col("write_at"), settles)
+    found = writes.join(results.withColumnRenamed("call", "_call"), (F.col("call") == F.col("_call")) & in_time, "left")
+    released = found.withColumns({"outcome": F.coalesce("outcome", F.lit("unknown")), "released_at": F.coalesce("result_at", settles)})
+    return released.where((F.col("outcome") != "rejected") & (F.col("released_at") < now)).drop("_call", "result_at")
+
+
 def generations(openings: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Number of each reopening of the same identity, from 1."""
     return openings.withColumn("generation", F.row_number().over(Window.partitionBy(*keys).orderBy(at)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import times
 from wakeline.operators import alerts, flow, identity, paging, quality, topology
-from wakeline.sources.storage import table
+from wakeline.sources.storage import new_path, staged, table
+from wakeline.streaming import buckets, correlator
 
 from .standins import ACCESSES, ALIASES, CONTRIBUTIONS, DAY, accesses, aliases, contributions
 
@@ -160,6 +161,91 @@ SELECT * REPLACE (coalesce(evidence_at, 0) AS evidence_at), CASE WHEN evidence_a
   ELSE 'awaiting' END AS state FROM linked"""
 
 
+IDENTITY = ["read", "writer", "resource"]
+DELAY = 60_000_000
+
+
+def _correlator_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read, writer, resource, kind, at): each read with each writer before it, and the
+    reader's clicks on the resource as matches that the latest read carries."""
+    pairs = _pairs(spark, sf_dir).groupBy(*IDENTITY).agg(F.min(F.col("write_at") + F.col("lag")).alias("at"))
+    a = accesses(spark, sf_dir)
+    before = Window.partitionBy("agent", "resource").orderBy("at", "access").rowsBetween(Window.unboundedPreceding, -1)
+    carried = a.where("op <> 'write'").withColumn("read", F.last(F.when(F.col("op") == "read", F.col("access")), ignorenulls=True).over(before))
+    matches = carried.where("op = 'evidence' AND read IS NOT NULL").select("read", "at").join(pairs.drop("at"), "read")
+    kind = lambda k: F.lit(k).alias("kind")
+    return pairs.select(*IDENTITY, kind("read"), "at").unionByName(matches.select(*IDENTITY, kind("evidence"), "at"))
+
+
+def correlator_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every update of the correlator until the time that a stream's watermark reaches."""
+    events = _correlator_events(spark, sf_dir)
+    last = events.agg(F.max("at")).first()[0] or 0
+    now = F.lit(last // 1000 * 1000 - DELAY)
+    return flow.correlations(events.where("kind = 'read'").drop("kind"), events.where("kind = 'evidence'").drop("kind"), IDENTITY, now, TIMING)
+
+
+def stream_correlator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same updates from the same events, read as a stream with state and timers."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    rows, path = staged(_correlator_events(spark, sf_dir).withColumn("ts", F.timestamp_micros("at")), "correlator-events")
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    # State variables need the store that spills to disk; a query keeps the one it starts with.
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return buckets.run_once(correlator.correlated(stream, IDENTITY, TIMING), "updates", new_path(spark, "correlator"))
+    finally:
+        spark.conf.set(name, before)
+
+
+CORRELATOR_UPDATES = PAIRS + f"""
+, ids AS (SELECT read, writer, resource, min(read_at) AS opened FROM pairs GROUP BY ALL),
+carried AS (
+  SELECT e."at", max_by(r.access, (r."at", r.access)) AS read FROM accesses e JOIN accesses r
+    ON e.op = 'evidence' AND r.op = 'read' AND e.agent = r.agent AND e.resource = r.resource AND (r."at", r.access) < (e."at", e.access)
+  GROUP BY e.access, e."at"),
+m AS (SELECT read, writer, resource, opened, "at", count(*) AS n FROM carried JOIN ids USING (read) WHERE "at" <= opened + {TIMING.retention} GROUP BY ALL),
+clock AS (SELECT max("at") // 1000 * 1000 - {DELAY} AS now FROM (SELECT opened AS "at" FROM ids UNION ALL SELECT "at" FROM carried JOIN ids USING (read))),
+i AS (
+  SELECT ids.*, opened + {TIMING.evidence} AS closes, opened + {TIMING.settle_after} AS gone,
+    (SELECT coalesce(sum(n), 0) FROM m WHERE m.read = ids.read AND m.writer = ids.writer AND m.resource = ids.resource AND m."at" <= ids.opened + {TIMING.evidence}) AS held,
+    (SELECT min("at") FROM m WHERE m.read = ids.read AND m.writer = ids.writer AND m.resource = ids.resource AND m."at" > ids.opened + {TIMING.evidence}) AS following FROM ids),
+late AS (
+  SELECT m.read, m.writer, m.resource, m."at", m.n, CASE WHEN held = 0 AND following > gone THEN 1 ELSE 0 END AS generation,
+    CASE WHEN held = 0 AND m."at" = following THEN 'confirmed' ELSE 'extended' END AS kind FROM m JOIN i USING (read, writer, resource) WHERE m."at" > closes),
+u AS (
+  SELECT read, writer, resource, 0 AS generation, 'opened' AS "update", opened AS "at", 0 AS matches FROM i
+  UNION ALL SELECT read, writer, resource, 0, CASE WHEN held > 0 THEN 'confirmed' ELSE 'suspected' END, closes, held FROM i
+  UNION ALL SELECT read, writer, resource, 0, 'discarded', gone, 0 FROM i WHERE held = 0 AND (following IS NULL OR following > gone)
+  UNION ALL SELECT read, writer, resource, 1, 'opened', following, 0 FROM i WHERE held = 0 AND following > gone
+  UNION ALL SELECT read, writer, resource, generation, kind, "at", n FROM late)
+SELECT read, writer, resource, generation::INTEGER AS generation, "update", "at", matches::BIGINT AS matches FROM u, clock WHERE "at" < now"""
+STREAM_CORRELATOR = CORRELATOR_UPDATES
+
+
+def _write_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Writes, and as their results what the next event of the log says, if it comes in time."""
+    writes = accesses(spark, sf_dir).where("op = 'write'").select(F.col("access").alias("call"), "agent", "resource", F.col("at").alias("write_at"))
+    e = table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')")
+    outcome = F.when(F.col("event_type") == "error", "rejected").otherwise("delivered")
+    return writes, e.select((F.col("event_id") - 1).alias("call"), outcome.alias("outcome"), F.unix_micros(F.col("ts").cast("timestamp")).alias("result_at"))
+
+
+def settled_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.settled_writes(*_write_results(spark, sf_dir), F.lit(NOW), TIMING)
+
+
+SETTLED_WRITES = f"""
+WITH {ACCESSES}, r AS (
+  SELECT event_id - 1 AS call, CASE event_type WHEN 'error' THEN 'rejected' ELSE 'delivered' END AS outcome, epoch_us(ts) AS result_at
+  FROM events WHERE event_type IN ('signup', 'error'))
+SELECT w.access AS call, w.agent, w.resource, w."at" AS write_at, coalesce(r.outcome, 'unknown') AS outcome,
+       coalesce(result_at, w."at" + {TIMING.settle_after}) AS released_at
+FROM accesses w LEFT JOIN r ON w.access = r.call AND r.result_at BETWEEN w."at" AND w."at" + {TIMING.settle_after}
+WHERE w.op = 'write' AND coalesce(r.outcome, 'unknown') <> 'rejected' AND coalesce(result_at, w."at" + {TIMING.settle_after}) < {NOW}"""
+
+
 def first_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = flow.first_deliveries(_pairs(spark, sf_dir), ["write", "reader"], "read_at", "read")
     return found.where("first").select("write", "reader", "read", "read_at")
@@ -426,6 +512,7 @@ NAMES = (
     "channel_counts", "channel_listing", "channel_detection", "resource_use", "detection_quality", "detection_scores",
     "latest_verdict", "role_runs", "thread_prefix", "seen_elsewhere", "alert_triage", "agent_alias_fold", "alias_closure",
     "identity_clusters", "policy_now", "access_capped", "bucket_watermark", "generations",
+    "correlator_updates", "stream_correlator", "settled_writes",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES}

@@ -351,11 +351,16 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buckets.run_once(sums, f"wakeline_{uuid.uuid4().hex}", new_path(spark, "stream"))
 
 
+STREAM_BUCKETS = """
+SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS events FROM events
+GROUP BY ALL HAVING bucket + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"""
+
+
 NAMES = (
     "text_normalize", "text_tokens", "shingle_df", "winnow_fingerprints", "fingerprint_matches", "copied_runs",
     "copied_extent", "copied_gaps", "spread_boilerplate", "text_search", "semantic_search", "hybrid_search", "centroids",
     "topic_assign", "topic_sizes", "topic_lineage", "ctfidf_terms", "url_canonical", "resource_pattern", "decode_layers", "unicode_fold",
-    "seeded_sample", "export_digest",
+    "seeded_sample", "export_digest", "stream_buckets",
 )
-QUERIES = {n: globals()[n] for n in (*NAMES, "topic_fit", "projection_2d", "stream_buckets")}
+QUERIES = {n: globals()[n] for n in (*NAMES, "topic_fit", "projection_2d")}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES}

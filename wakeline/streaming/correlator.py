@@ -1,81 +1,154 @@
-"""Transmissions opened, suspected, confirmed and discarded on a stream.
-
-State is kept per (reader, resource): what was written there, and reads waiting for
-evidence. Timers fire on the watermark. The batch form is `operators.flow`; both give the
-same states for the same inputs.
+"""Transmissions opened, suspected, confirmed, discarded, extended and reopened on a stream.
+
+State is kept per identity (a reading exchange, a writer, a resource), so a resource that
+everyone uses is spread over its readers. Writes reach it as co-accesses: `held` keeps them
+until their result is known, `paired` joins them to later reads. All rows wait in state until
+the watermark has passed them and are then taken in order of time, so the updates are those
+of `operators.flow.correlations` whatever the order of arrival. What retention has passed
+is dropped from state.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wakeline.operators.flow import Timing
+from wakeline.operators.flow import UPDATES, Timing
+
+UPDATE_TYPES = "generation int, update string, at long, matches long"
+
+
+class Identity:
+    """What is known of one identity; `deadline` is when it next changes by itself."""
+
+    def __init__(self, timing: Timing, opened: int, generation: int = 0, phase: str = "awaiting", held: int = 0):
+        self.timing, self.opened, self.generation, self.phase, self.held = timing, opened, generation, phase, held
+
+    @property
+    def stored(self) -> tuple:
+        return (self.opened, self.generation, self.phase, self.held)
+
+    @property
+    def deadline(self) -> int:
+        t = self.timing
+        return self.opened + {"awaiting": t.evidence, "suspected": t.settle_after}.get(self.phase, t.retention)
 
-OUT = "reader string, resource string, opened_at long, state string, at long"
+    def expire(self) -> Iterator[tuple]:
+        """The change at the deadline; after retention the phase is `past`."""
+        at = self.deadline
+        if self.phase == "awaiting" and self.held:
+            self.phase = "confirmed"
+            yield self.generation, "confirmed", at, self.held
+        elif self.phase in ("awaiting", "suspected"):
+            self.phase = "suspected" if self.phase == "awaiting" else "discarded"
+            yield self.generation, self.phase, at, 0
+        else:
+            self.phase = "past"
+
+    def match(self, at: int, n: int) -> Iterator[tuple]:
+        if self.phase == "awaiting":
+            self.held += n
+        elif self.phase == "confirmed":
+            yield self.generation, "extended", at, n
+        else:
+            if self.phase == "discarded":
+                self.generation += 1
+                yield self.generation, "opened", at, 0
+            self.phase = "confirmed"
+            yield self.generation, "confirmed", at, n
 
 
 class Correlator(StatefulProcessor):
-    """Input rows: (reader, resource, kind, at) with kind `read` or `evidence`, at in microseconds."""
+    """Input rows: keys, kind `read` or `evidence`, at in microseconds."""
 
-    def __init__(self, timing: Timing):
-        self.timing = timing
+    def __init__(self, timing: Timing, keys: list[str]):
+        self.timing, self.keys = timing, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "opened_at long, state string")
+        self.known = handle.getValueState("known", "opened long, generation int, phase string, held long")
+        self.waiting = handle.getListState("waiting", "at long, kind string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = sorted((int(at), kind) for part in rows for at, kind in zip(part["at"], part["kind"], strict=True))
-        out = []
-        for at, kind in events:
-            opened, state = self.open.get() if self.open.exists() else (None, None)
-            if kind == "read" and opened is None:
-                self.open.update((at, "awaiting"))
-                self._timer(at + self.timing.evidence)
-            elif kind == "evidence" and opened is not None and state in ("awaiting", "suspected") and opened <= at <= opened + self.timing.settle_after:
-                self.open.update((opened, "confirmed"))
-                out.append((key[0], key[1], opened, "confirmed", at))
-        yield pd.DataFrame(out, columns=["reader", "resource", "opened_at", "state", "at"])
+        new = [(int(at), kind) for part in rows for at, kind in zip(part["at"], part["kind"], strict=True)]
+        self.waiting.appendList(new)
+        for at in {at // 1000 for at, _ in new}:
+            self._wake(at * 1000)
+        yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        opened, state = self.open.get() if self.open.exists() else (None, None)
-        if state == "awaiting":
-            self.open.update((opened, "suspected"))
-            self._timer(opened + self.timing.settle_after)
-            out.append((key[0], key[1], opened, "suspected", opened + self.timing.evidence))
-        elif state == "suspected":
-            self.open.update((opened, "discarded"))
-            out.append((key[0], key[1], opened, "discarded", opened + self.timing.settle_after))
-        yield pd.DataFrame(out, columns=["reader", "resource", "opened_at", "state", "at"])
-
-    def _timer(self, us: int) -> None:
+        # All that the watermark has passed is decided at the first timer of a batch.
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
+        one = Identity(self.timing, *self.known.get()) if self.known.exists() else None
+        out: list[tuple] = []
+        # Reads before evidence of the same time; matches of one time are one update.
+        for (at, is_match), n in sorted(Counter((at, kind == "evidence") for at, kind in due).items()):
+            while one and one.phase != "past" and one.deadline < at:
+                out += one.expire()
+            if one is None and not is_match:
+                one = Identity(self.timing, at)
+                out.append((0, "opened", at, 0))
+            elif one and is_match and one.phase != "past":
+                out += one.match(at, n)
+        while one and one.phase != "past" and one.deadline < until:
+            out += one.expire()
+        self.waiting.put(later) if later else self.waiting.clear()
+        if one is None or one.phase == "past":
+            self.known.clear()
+        else:
+            self.known.update(one.stored)
+            self._wake(one.deadline)
+        yield self._frame(key, out)
+
+    def _wake(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
 
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *u) for u in out], columns=[*self.keys, *UPDATES])
+
     def close(self) -> None:
         pass
 
 
-def correlated(events: DataFrame, timing: Timing, delay: str = "1 minute") -> DataFrame:
-    """events: (reader, resource, kind, at, ts), ts being `at` as a timestamp."""
+def correlated(events: DataFrame, keys: list[str], timing: Timing, delay: str = "1 minute") -> DataFrame:
+    """Updates (keys, generation, update, at, matches) of events (keys, kind, at, ts), ts being `at` as a timestamp."""
+    types = dict(events.dtypes)
     return (
         events.withWatermark("ts", delay)
-        .groupBy("reader", "resource")
-        .transformWithStateInPandas(Correlator(timing), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+        .groupBy(*keys)
+        .transformWithStateInPandas(
+            Correlator(timing, keys), outputStructType=", ".join(f"{k} {types[k]}" for k in keys) + ", " + UPDATE_TYPES, outputMode="Append", timeMode="EventTime"
+        )
     )
 
 
+def held(writes: DataFrame, results: DataFrame, timing: Timing, delay: str = "1 minute") -> DataFrame:
+    """`flow.settled_writes` on two streams: a write waits in state for its result, and comes
+    out as unknown once the watermark shows that it has settled.
+
+    writes: (call, write_ts, ...); results: (call, outcome, result_ts), one a call.
+    """
+    w = writes.withWatermark("write_ts", delay)
+    r = results.withColumnRenamed("call", "_call").withWatermark("result_ts", delay)
+    seconds = timing.settle_after // 1_000_000
+    settles = F.col("write_ts") + F.expr(f"INTERVAL {seconds} SECONDS")
+    found = w.join(r, F.expr("call = _call AND result_ts >= write_ts") & (F.col("result_ts") <= settles), "leftOuter")
+    released = found.withColumns({"outcome": F.coalesce("outcome", F.lit("unknown")), "released_ts": F.coalesce("result_ts", settles)})
+    return released.where("outcome <> 'rejected'").drop("_call", "result_ts")
+
+
 def paired(writes: DataFrame, reads: DataFrame, timing: Timing, delay: str = "1 minute") -> DataFrame:
     """Co-access on two streams: an interval join with watermarks on both sides.
 
     writes: (resource, writer, write_ts); reads: (resource, reader, read_ts).
     """
-    from pyspark.sql import functions as F
-
     w = writes.withWatermark("write_ts", delay).withColumnRenamed("resource", "_resource")
     r = reads.withWatermark("read_ts", delay)
     seconds = timing.co_access // 1_000_000
