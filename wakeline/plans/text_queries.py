@@ -352,8 +352,8 @@ def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STREAM_BUCKETS = """
-SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS events FROM events
-GROUP BY ALL HAVING bucket + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"""
+WITH b AS (SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, event_type, count(*) AS events FROM events GROUP BY 1, 2)
+SELECT * FROM b WHERE bucket + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES"""
 
 
 NAMES = (
