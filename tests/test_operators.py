@@ -180,7 +180,7 @@ def test_extraction(spark):
     rules = spark.createDataFrame([("wiki", "edit", "write", "title")], "server string, mcp_tool string, op string, key string")
     assert [tuple(r) for r in extraction.mcp_accesses(found, rules).collect()] == [(5, "write", "mcp:wiki:Main page")]
     steps = {(r["op"], r["kind"], r["target"]) for r in extraction.shell_accesses(found).collect()}
-    assert steps == {("write", "file", "b.txt"), ("read", "file", "a.txt"), ("write", "url", "https://h/q"), ("write", "repository", "origin")}
+    assert steps == {("write", "file", "b.txt"), ("write", "url", "https://h/q")}
     said = spark.createDataFrame(
         [("success", "git_push", "error: failed to push"), ("success", "http", "HTTP/1.1 404"), ("error", None, ""), (None, None, None), ("success", None, "ok")],
         "status string, command string, text string",

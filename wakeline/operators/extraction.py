@@ -1,18 +1,16 @@
 """Resources that tool calls read and write.
 
 Calls are rows (call, tool, args, at, ...) with arguments as JSON text. Tools are found in
-a catalogue joined as a small table; only shell commands need a procedure, which is a
-Python table function over the few rows that hold one.
+a catalogue joined as a small table; only shell commands need a procedure (`shell`), which
+runs over the few rows that hold one.
 """
 
 from __future__ import annotations
 
-import re
-import shlex
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions.jsons import first_of
@@ -20,6 +18,8 @@ from wakeline.functions.urls import host, joined_path, locator, path, repository
 from wakeline.functions.text import wiki_title
 from wakeline.sources.storage import small
 
+from . import shell
+
 # Fixed values: (tool, family, operation, argument keys in order of preference).
 CATALOGUE = (
     ("Read", "file", "read", "file_path"),
@@ -47,11 +47,9 @@ CATALOGUE = (
     ("shell", "shell", "shell", "command"),
     ("exec_command", "shell", "shell", "cmd"),
 )
-# Editor commands and request methods by what they do.
+# Editor commands by what they do.
 EDITOR_READS = ("view",)
 EDITOR_WRITES = ("create", "str_replace", "insert", "undo_edit")
-READING = ("GET", "HEAD")
-WRITING = ("POST", "PUT", "PATCH", "DELETE")
 KEYS = ("file_path", "filePath", "path", "absolute_path", "notebook_path", "url", "prompt", "command", "cmd")
 
 
@@ -83,7 +81,7 @@ def identified(calls: DataFrame) -> DataFrame:
 def operation_of(method="method") -> Column:
     """What a request method does; others neither read nor write."""
     m = F.upper(F.col(method) if isinstance(method, str) else method)
-    return F.when(m.isin(*READING), "read").when(m.isin(*WRITING), "write")
+    return F.when(m.isin(*shell.READING), "read").when(m.isin(*shell.WRITING), "write")
 
 
 def file_accesses(found: DataFrame) -> DataFrame:
@@ -164,85 +162,33 @@ def carried_spans(writes: DataFrame, spans: DataFrame) -> DataFrame:
     return writes.join(spans, ["message", "part"]).where(inside).select("write", "span")
 
 
-REDIRECT = re.compile(r"^[0-9&]?>>?$")
-READERS = ("cat", "head", "tail", "less", "sed", "grep", "wc")
-
-
-def shell_steps(command: str) -> Iterator[tuple[str, str, str]]:
-    """(op, kind, target) of a shell command line: files read and written by redirects and
-    usual tools, URLs fetched or sent to, repositories, and changes of folder."""
-    try:
-        lexer = shlex.shlex(command, posix=True, punctuation_chars="();<>|&")
-        lexer.whitespace_split = True
-        words = list(lexer)
-    except ValueError:
-        return
-    part: list[str] = []
-    for word in [*words, ";"]:
-        if word and set(word) <= set(";|&()"):
-            yield from _simple(part)
-            part = []
-        else:
-            part.append(word)
-
-
-def _simple(words: list[str]) -> Iterator[tuple[str, str, str]]:
-    plain, at = [], 0
-    while at < len(words):
-        if REDIRECT.match(words[at]) and at + 1 < len(words):
-            yield "write", "file", words[at + 1]
-            at += 2
-        elif words[at] == "<" and at + 1 < len(words):
-            yield "read", "file", words[at + 1]
-            at += 2
-        else:
-            plain.append(words[at])
-            at += 1
-    while plain and re.match(r"^\w+=", plain[0]):
-        plain.pop(0)
-    if not plain:
-        return
-    name, rest = plain[0], plain[1:]
-    given = [w for w in rest if not w.startswith("-")]
-    if name == "cd":
-        yield "cd", "file", given[0] if given else "~"
-    elif name == "tee":
-        yield from (("write", "file", w) for w in given)
-    elif name in READERS:
-        in_place = name == "sed" and any(w.startswith("-i") for w in rest)
-        yield from (("write" if in_place else "read", "file", w) for w in (given[1:] if name in ("sed", "grep") else given))
-    elif name in ("cp", "mv") and len(given) >= 2:
-        yield from (("read", "file", w) for w in given[:-1])
-        yield "write", "file", given[-1]
-    elif name in ("curl", "wget"):
-        sends = any(w in ("-d", "--data", "--data-binary", "-F", "-T", "--upload-file") for w in rest)
-        method = next((rest[i + 1].upper() for i, w in enumerate(rest[:-1]) if w in ("-X", "--request")), "POST" if sends else "GET")
-        op = "write" if method in WRITING else "read"
-        yield from ((op, "url", w) for w in given if re.match(r"^https?://", w))
-    elif name == "git" and given:
-        verb, target = given[0], given[1] if len(given) > 1 else "origin"
-        if verb in ("push", "pull", "fetch", "clone"):
-            yield "write" if verb == "push" else "read", "repository", target
-
-
-def shell_accesses(found: DataFrame) -> DataFrame:
-    """(call, step, op, kind, target) of shell tools."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(c, i, *s) for c, a in zip(part["call"], part["argument"], strict=True) for i, s in enumerate(shell_steps(a))]
-            yield pd.DataFrame(rows, columns=["call", "step", "op", "kind", "target"])
-
-    calls = found.where("family = 'shell' AND argument IS NOT NULL").select(F.col("call").cast("string").alias("call"), "argument")
-    return calls.mapInPandas(run, "call string, step int, op string, kind string, target string")
+def shell_accesses(found: DataFrame, keys: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """(call, step, op, kind, target) of shell tools.
 
+    With keys and an order, calls of one conversation run in one shell: folders and clones
+    go from each to the next. Rows are sorted by them and pass one at a time with the state
+    of one shell, so a conversation of any length needs no memory. A call that names its
+    folder (column cwd) starts there.
+    """
+    keys = keys or []
 
-def working_folders(calls: DataFrame, steps: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Calls with the folder they start in: the last absolute change before, else home.
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = None, shell.Shell()
+        for part in parts:
+            rows = []
+            for r in part.to_dict("records"):
+                who = tuple(r[k] for k in keys) if keys else r["call"]
+                if who != last:
+                    last, at = who, shell.Shell()
+                if isinstance(r["cwd"], str):
+                    at.cwd = r["cwd"]
+                rows += [(r["call"], i, *a) for i, a in enumerate(shell.accesses(r["argument"], at))]
+            yield pd.DataFrame(rows, columns=["call", "step", "op", "kind", "target"])
 
-    The change is carried forward along each conversation by a window.
-    """
-    moved = steps.where("op = 'cd'").groupBy("call").agg(F.max_by("target", "step").alias("_to"))
-    by = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    absolute = F.when(F.col("_to").startswith("/"), F.col("_to"))
-    return calls.join(moved, "call", "left").withColumn("cwd", F.coalesce(F.last(absolute, ignorenulls=True).over(by), F.lit("~"))).drop("_to")
+    start = F.col("cwd") if "cwd" in found.columns else F.lit(None)
+    calls = found.where("family = 'shell' AND argument IS NOT NULL").select(
+        F.col("call").cast("string").alias("call"), "argument", start.cast("string").alias("cwd"), *keys, *([order] if order else [])
+    )
+    if keys:
+        calls = calls.repartition(*keys).sortWithinPartitions(*keys, *([order] if order else []))
+    return calls.mapInPandas(go, "call string, step int, op string, kind string, target string")

@@ -182,6 +182,36 @@ UNION ALL SELECT call, op, what || CASE WHEN op = 'read' THEN '' WHEN what = 'ur
 FROM p, (VALUES ('read', 'file:in.txt'), ('write', 'file:out_'), ('write', 'url:https://host/')) s(op, what) WHERE kind = 5"""
 
 
+def shell_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shell calls of four pages to a conversation: the second starts where the first went,
+    the third pushes the clone of the second, the fourth reads a file beside it."""
+    k, conversation = F.col("page_id"), F.floor(F.col("page_id") / 4)
+    text = lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in c])
+    line = (
+        F.when(k % 4 == 0, text("mkdir -p /srv/", conversation, " && cd /srv/", conversation))
+        .when(k % 4 == 1, text("git clone https://git.example/team/r", conversation, ".git repo; cat notes.md | wc -l"))
+        .when(k % 4 == 2, text("cd repo && cat <<END > out.md\ncat ", k, "\nEND\ngit push"))
+        .otherwise(text("(cd /tmp; cat t) ; cat ../notes.md; gh pr comment ", k, " -R team/r -b done"))
+    )
+    calls = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("call"), conversation.alias("conversation"), F.lit("Bash").alias("tool"), F.to_json(F.struct(line.alias("command"))).alias("args"))
+    found = extraction.shell_accesses(extraction.identified(calls), ["conversation"], "page_id")
+    return found.select(F.col("call").cast("long").alias("call"), "op", "kind", "target")
+
+
+SHELL_SESSIONS = """
+WITH p AS (SELECT page_id AS call, page_id // 4 AS c, page_id % 4 AS k FROM pages),
+base AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.c = p.c AND q.k = 0) THEN '/srv/' || c || '/' ELSE '' END AS home,
+  EXISTS (SELECT 1 FROM p q WHERE q.c = p.c AND q.k = 0) AND EXISTS (SELECT 1 FROM p q WHERE q.c = p.c AND q.k = 1) AS cloned,
+  EXISTS (SELECT 1 FROM p q WHERE q.c = p.c AND q.k = 2) AS moved FROM p)
+SELECT call, 'read' AS op, 'repository' AS kind, 'git.example/team/r' || c AS target FROM base WHERE k = 1
+UNION ALL SELECT call, 'read', 'file', home || 'notes.md' FROM base WHERE k = 1
+UNION ALL SELECT call, 'write', 'file', CASE WHEN home = '' THEN 'out.md' ELSE home || 'repo/out.md' END FROM base WHERE k = 2
+UNION ALL SELECT call, 'write', 'repository', 'git.example/team/r' || c FROM base WHERE k = 2 AND cloned
+UNION ALL SELECT call, 'read', 'file', '/tmp/t' FROM base WHERE k = 3
+UNION ALL SELECT call, 'read', 'file', CASE WHEN home = '' THEN '../notes.md' WHEN moved THEN home || 'notes.md' ELSE '/srv/notes.md' END FROM base WHERE k = 3
+UNION ALL SELECT call, 'write', 'url', 'https://github.com/team/r/issues/' || call FROM base WHERE k = 3"""
+
+
 def stream_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns sent as server-sent events in pieces of seven characters, and put together again
     with their usage."""
@@ -207,7 +237,7 @@ SELECT conv_id, turn, md5(text) AS text_md5, turn + 5 AS input, ((length(text) +
 
 
 NAMES = (
-    "live_hits", "own_replays", "forward_direct_reads", "inherited_fragments", "reader_outputs", "tool_accesses", "stream_reassembly",
+    "live_hits", "own_replays", "forward_direct_reads", "inherited_fragments", "reader_outputs", "tool_accesses", "shell_sessions", "stream_reassembly",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES}
