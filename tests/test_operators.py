@@ -201,6 +201,23 @@ def test_streams_of_events_and_messages(spark):
     assert [p["type"] for p in parts[0]] == ["text", "tool_call", "unknown"] and parts[0][1]["arguments"] == '{"a":1}' and parts[1][0]["text"] == "plain"
 
 
+def test_ranges_of_argument_strings(spark):
+    """Byte ranges between the quotes; keys, empty strings and other values are left out."""
+    from wakeline.functions import jsons
+
+    cases = ['{"é" : "ü\\"x", "n": 1, "l": ["a", "", {"in": "b"}], "m": "c"}', '"bare"', "[]", "{no", None]
+    got = one(spark, jsons.string_ranges("v"), *cases)
+    raw = cases[0].encode()
+    assert [(r["key"], raw[r["start"] : r["end"]].decode()) for r in got[0]] == [("é", 'ü\\"x'), ("l", "a"), ("in", "b"), ("m", "c")]
+    assert [tuple(r) for r in got[1]] == [(None, 1, 5)] and got[2] == [] and got[3] is None and got[4] is None
+
+
+def test_blocks_lacking_what_they_need_stay_verbatim(spark):
+    content = '[{"type":"text","cache_control":{"type":"e"}},{"type":"redacted_thinking","data":"zz"},{"cache_control":{"type":"e"},"type":"odd"},{"type":"mcp_tool_use","id":"1","name":"n","input":{}}]'
+    parts = one(spark, exchanges.canonical_parts("v"), content)[0]
+    assert [(p["type"], p["text"]) for p in parts] == [("unknown", '{"type":"text"}'), ("reasoning", "zz"), ("unknown", '{"type":"odd"}'), ("server_call", None)]
+
+
 def test_logs(spark, tmp_path):
     failures = spark.createDataFrame([("g", "a", 10, "x"), ("g", "a", 20, "y"), ("g", "b", 5, "z")], "group string, id string, at long, reason string")
     retry, dead = logs.attempts(failures, 2)

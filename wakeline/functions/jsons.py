@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def pointer(arguments, path: str) -> Column:
@@ -66,3 +67,33 @@ def canonical_text(text: str | None) -> str | None:
 @F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text)
+
+
+STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+
+
+RANGES = ArrayType(StructType([StructField("key", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
+
+
+@F.pandas_udf(RANGES)
+def string_ranges(arguments: pd.Series) -> pd.Series:
+    """Where the string values of JSON text lie: byte ranges between their quotes, escapes
+    included, in order, with the nearest key before each (null for a bare string). Keys,
+    empty strings and other values are left out; null if the text is not JSON."""
+
+    def one(text):
+        try:
+            json.loads(text)
+        except (ValueError, TypeError):
+            return None
+        key, found, at, seen = None, [], 0, 0
+        for m in STRING.finditer(text):
+            if m[2]:
+                key = json.loads(f'"{m[1]}"')
+            elif m[1]:
+                start = seen + len(text[at : m.start(1)].encode())
+                at, seen = m.end(1), start + len(m[1].encode())
+                found.append({"key": key, "start": start, "end": seen})
+        return found
+
+    return arguments.map(one)

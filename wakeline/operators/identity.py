@@ -115,31 +115,27 @@ def prompt_fingerprint(roles, texts) -> Column:
     return F.when(first > 0, F.sha2(F.array_join(F.transform(taken, lambda m: m["text"]), "\u001f"), 256))
 
 
-def prefix_hashes(history) -> Column:
-    """Chained digest of every prefix of an ordered history, as structs (length, hash)."""
-    h = F.col(history) if isinstance(history, str) else history
-    zero = F.array().cast("array<struct<length:int,hash:string>>")
-    step = lambda a, x: F.array_append(
-        a,
-        F.struct(
-            (F.size(a) + 1).alias("length"),
-            F.md5(F.concat_ws("|", F.when(F.size(a) > 0, F.element_at(a, -1)["hash"]).otherwise(""), x)).alias("hash"),
-        ),
-    )
-    return F.aggregate(h, zero, step)
+def prefixes(rows: DataFrame, key: str) -> DataFrame:
+    """Every prefix of each history: (key, size, length, hash), hash being two 64-bit sums
+    modulo 2 (exclusive or) of the digests of each message with its place.
+
+    A running sum takes as many steps as a history has messages; chaining digests in an
+    array would copy the array at each. Histories differ in 128 bits unless they are equal.
+    """
+    each = rows.select(key, F.size("history").alias("size"), F.posexplode("history").alias("i", "m"))
+    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    half = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "i", "m")).over(before)
+    return each.select(key, "size", (F.col("i") + 1).alias("length"), F.struct(half("a").alias("a"), half("b").alias("b")).alias("hash"))
 
 
 def longest_prefix(requests: DataFrame, stored: DataFrame) -> DataFrame:
     """For each request the stored conversation with the longest shared prefix.
 
-    requests: (request, history); stored: (conversation, history). Equality of chained
-    hashes is equality of prefixes, so the search is an equi-join; `whole` tells whether
-    the conversation's entire history is that prefix.
+    requests: (request, history); stored: (conversation, history). Equal hashes mean equal
+    prefixes, so the search is an equi-join; `whole` tells whether the conversation's entire
+    history is that prefix.
     """
-    r = requests.select("request", F.explode(prefix_hashes("history")).alias("p")).select("request", "p.hash", "p.length")
-    s = stored.select("conversation", F.size("history").alias("size"), F.explode(prefix_hashes("history")).alias("p")).select(
-        "conversation", "size", "p.hash", "p.length"
-    )
+    r, s = prefixes(requests, "request").drop("size"), prefixes(stored, "conversation")
     # One conversation for each prefix is enough: one that ends there before any other, then the least.
     best = s.groupBy("hash", "length").agg(F.min_by(F.struct("conversation", "size"), F.struct(F.col("size"), F.col("conversation"))).alias("c"))
     hit = r.join(best, ["hash", "length"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions import jsons, text, times, urls
 from wakeline.operators import alerts, filters, flow, governance, identity, paging, provenance, quality, topology
-from wakeline.sources import logs
+from wakeline.sources import exchanges, logs
 from wakeline.sources.storage import table
 
 from .standins import ACCESSES, ALIASES, CONTRIBUTIONS, accesses, aliases, contributions
@@ -304,6 +304,51 @@ SELECT event_id, event_type AS kind, props->>'$.k' AS first, 2 AS pairs, '{"a":'
 FROM events WHERE props->>'$.k' IS NOT NULL"""
 
 
+def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a provider's content, one kind of block for each seventh turn, and their canonical parts."""
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    mark = F.struct(F.lit("ephemeral").alias("type")).alias("cache_control")
+    block = lambda kind, *cs: F.to_json(F.struct(F.lit(kind).alias("type"), *cs))
+    ident = F.col("conv_id").cast("string")
+    body = (
+        F.when(k == 0, block("text", F.col("text"), mark))
+        .when(k == 1, block("thinking", F.col("text").alias("thinking"), F.lit("s").alias("signature")))
+        .when(k == 2, block("tool_use", ident.alias("id"), F.lit("Read").alias("name"), F.struct(F.col("turn").alias("a")).alias("input")))
+        .when(k == 3, block("tool_result", ident.alias("tool_use_id"), F.col("role").alias("content"), (F.col("turn") % 2 == 1).alias("is_error"), mark))
+        .when(k == 4, block("server_tool_use", ident.alias("id"), F.lit("search").alias("name"), F.struct(F.col("role").alias("q")).alias("input")))
+        .when(k == 5, block("text", F.col("turn"), mark))
+        .otherwise(block("search_tool_result", ident.alias("tool_use_id"), F.col("role").alias("content")))
+    )
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
+    parts = exchanges.canonical_parts(F.concat(F.lit("["), body, F.lit("]")))
+    found = turns.select("conv_id", "turn", F.explode(parts).alias("p")).select("conv_id", "turn", F.col("p.type").alias("kind"), "p.call_id", "p.name", "p.arguments", "p.outcome", F.md5("p.text").alias("text_md5"))
+    return found.fillna("-")
+
+
+CANONICAL_BLOCKS = """
+WITH t AS (SELECT *, (conv_id + turn) % 7 AS k FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+SELECT conv_id, turn, ['text', 'reasoning', 'tool_call', 'tool_result', 'server_call', 'unknown', 'server_result'][k + 1] AS kind,
+  CASE WHEN k IN (2, 3, 4, 6) THEN conv_id::VARCHAR ELSE '-' END AS call_id, CASE k WHEN 2 THEN 'Read' WHEN 4 THEN 'search' ELSE '-' END AS name,
+  CASE k WHEN 2 THEN '{"a":' || turn || '}' WHEN 4 THEN '{"q":"' || role || '"}' ELSE '-' END AS arguments,
+  CASE WHEN k = 6 OR (k = 3 AND turn % 2 = 0) THEN 'success' WHEN k = 3 THEN 'error' ELSE '-' END AS outcome,
+  coalesce(md5(CASE WHEN k < 2 THEN text WHEN k IN (3, 6) THEN role WHEN k = 5 THEN '{"type":"text","turn":' || turn || '}' END), '-') AS text_md5
+FROM t"""
+
+
+def argument_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges of the strings in a call's arguments, with the key each is under."""
+    c = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND role IS NOT NULL")
+    first = F.regexp_replace(F.col("text"), r'[\x00-\x1F"\\]', " ")
+    args = F.concat(F.lit('{"é": "'), first, F.lit('", "n": 1, "list": ["'), F.col("role"), F.lit('", "\\"x", ""], "o": {"in" : "y"}}'))
+    return c.select("conv_id", "turn", F.explode(jsons.string_ranges(args)).alias("r")).select("conv_id", "turn", "r.key", F.col("r.start").alias("first"), F.col("r.end").alias("last"))
+
+
+ARGUMENT_RANGES = """
+WITH t AS (SELECT conv_id, turn, strlen(regexp_replace(text, '[\\x00-\\x1F"\\\\]', ' ', 'g')) AS n, strlen(role) AS r FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL)
+SELECT conv_id, turn, key, (a)::INT AS first, (a + w)::INT AS last FROM (
+  SELECT conv_id, turn, unnest(['é', 'list', 'list', 'in']) AS key, unnest([8, 29 + n, 33 + n + r, 58 + n + r]) AS a, unnest([n, r, 3, 1]) AS w FROM t) WHERE w > 0"""
+
+
 def match_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongest class, carrier and bytes of each transmission's matches."""
     found = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS transmission", "l_partkey % 4 AS class_rank", "l_returnflag AS carrier", f"{REVISION} AS ordinal", "cast(l_quantity AS bigint) AS matched_bytes")
@@ -481,7 +526,7 @@ WHERE length(text) >= 40 AND NOT regexp_matches(text, '[^\x20-\x7E]') AND regexp
 NAMES = (
     "filtered_transmissions", "filtered_accesses", "filtered_channels", "filtered_agents", "filtered_alerts", "crossing_transmissions",
     "audit_trail", "filtered_conversations", "alert_findings", "alert_suppression", "verdict_appends", "channel_promotion",
-    "pattern_coverage", "channel_of_record", "turn_order", "json_arguments", "match_precision", "shadowed_matches", "skeleton_matches", "match_layers", "span_lifecycle",
+    "pattern_coverage", "channel_of_record", "turn_order", "json_arguments", "canonical_blocks", "argument_ranges", "match_precision", "shadowed_matches", "skeleton_matches", "match_layers", "span_lifecycle",
     "evidence_rows", "review_queue", "kept_topic_versions", "heaviest_edges", "delivery_log", "text_parts",
 )
 QUERIES = {n: globals()[n] for n in NAMES}

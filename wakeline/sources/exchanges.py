@@ -27,7 +27,7 @@ BLOCK = StructType(
     [
         StructField("type", StringType()), StructField("text", StringType()), StructField("thinking", StringType()),
         StructField("id", StringType()), StructField("name", StringType()), StructField("input", StringType()),
-        StructField("tool_use_id", StringType()), StructField("content", StringType()), StructField("is_error", StringType()),
+        StructField("tool_use_id", StringType()), StructField("content", StringType()), StructField("is_error", StringType()), StructField("data", StringType()),
     ]
 )
 
@@ -97,7 +97,9 @@ def merged_usage(events: DataFrame, key: str, seq: str, usage: str) -> DataFrame
 def canonical_parts(content) -> Column:
     """Canonical parts of a message's content, which is JSON text: a string or blocks.
 
-    Kinds: text, reasoning, tool_call, tool_result; any other block is kept verbatim as unknown.
+    Kinds: text, reasoning (opaque if redacted), tool_call, server_call, tool_result,
+    server_result; any other block, or one that lacks what its kind needs, is kept verbatim as
+    unknown but for its cache marker, which moves between turns.
     """
     c = F.col(content) if isinstance(content, str) else content
     blocks = F.from_json(c, ArrayType(BLOCK))
@@ -106,15 +108,19 @@ def canonical_parts(content) -> Column:
         F.lit(kind).alias("type"),
         *[v.get(n, F.lit(None).cast("string")).alias(n) for n in ("text", "call_id", "name", "arguments", "outcome")],
     )
+    # A marker object is flat; quotes inside a string are escaped, so only a key matches.
+    marker = r',\s*"cache_control"\s*:\s*(\{[^{}]*\}|null)|"cache_control"\s*:\s*(\{[^{}]*\}|null)\s*,?\s*'
+    failed = lambda b: F.when(b["is_error"] == "true", "error").otherwise("success")
+    call = lambda b: b["id"].isNotNull() & b["name"].isNotNull() & b["input"].isNotNull()
     part = lambda b, i: (
-        F.when(b["type"] == "text", as_part("text", text=b["text"]))
-        .when(b["type"] == "thinking", as_part("reasoning", text=b["thinking"]))
-        .when(b["type"] == "tool_use", as_part("tool_call", call_id=b["id"], name=b["name"], arguments=b["input"]))
-        .when(
-            b["type"] == "tool_result",
-            as_part("tool_result", call_id=b["tool_use_id"], text=b["content"], outcome=F.when(b["is_error"] == "true", "error").otherwise("success")),
-        )
-        .otherwise(as_part("unknown", text=F.get(raw, i)))
+        F.when((b["type"] == "text") & b["text"].isNotNull(), as_part("text", text=b["text"]))
+        .when((b["type"] == "thinking") & b["thinking"].isNotNull(), as_part("reasoning", text=b["thinking"]))
+        .when((b["type"] == "redacted_thinking") & b["data"].isNotNull(), as_part("reasoning", text=b["data"], outcome=F.lit("opaque")))
+        .when((b["type"] == "tool_use") & call(b), as_part("tool_call", call_id=b["id"], name=b["name"], arguments=b["input"]))
+        .when(b["type"].isin("server_tool_use", "mcp_tool_use") & call(b), as_part("server_call", call_id=b["id"], name=b["name"], arguments=b["input"]))
+        .when((b["type"] == "tool_result") & b["tool_use_id"].isNotNull(), as_part("tool_result", call_id=b["tool_use_id"], text=b["content"], outcome=failed(b)))
+        .when(b["type"].endswith("_tool_result") & b["tool_use_id"].isNotNull(), as_part("server_result", call_id=b["tool_use_id"], text=b["content"], outcome=failed(b)))
+        .otherwise(as_part("unknown", text=F.regexp_replace(F.get(raw, i), marker, "")))
     )
     return F.when(c.startswith("["), F.transform(blocks, part)).otherwise(F.array(as_part("text", text=F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v"), c))))
 
