@@ -180,6 +180,25 @@ def turns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy("conversation").orderBy("ended_at", "exchange")) - 1)
 
 
+def rethreaded(stored: DataFrame, late: DataFrame) -> DataFrame:
+    """Stored turns with late ones put where they belong: (conversation, exchange, ended_at, turn).
+
+    stored: what `turns` gave; late: (conversation, exchange, ended_at), of which those already
+    stored are left out. Only turns from a conversation's earliest late one on are numbered
+    again, after the turns before it, so old history is not sorted.
+    """
+    key = F.struct("ended_at", "exchange")
+    new = late.select("conversation", "exchange", "ended_at").distinct().join(stored.select("conversation", "exchange"), ["conversation", "exchange"], "left_anti")
+    first = new.groupBy("conversation").agg(F.min(key).alias("_first"))
+    marked = stored.join(first, "conversation", "left").withColumn("_moved", F.coalesce(key >= F.col("_first"), F.lit(False)))
+    kept = marked.where("NOT _moved")
+    moved = marked.where("_moved").select("conversation", "exchange", "ended_at").unionByName(new)
+    base = kept.groupBy("conversation").agg((F.max("turn") + 1).alias("_base"))
+    again = turns(moved).join(base, "conversation", "left")
+    columns = ("conversation", "exchange", "ended_at")
+    return kept.select(*columns, "turn").unionByName(again.select(*columns, (F.col("turn") + F.coalesce("_base", F.lit(0))).alias("turn")))
+
+
 def role_runs(rows: DataFrame, key: str, order: str, role: str) -> DataFrame:
     """Maximal runs of one role: (key, run, role, first, last, messages)."""
     by = Window.partitionBy(key).orderBy(order)

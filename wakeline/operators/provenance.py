@@ -189,11 +189,16 @@ def classified_spans(output: DataFrame, runs: DataFrame, length: DataFrame, boil
     return relayed.select("text", F.col("input").cast("string").alias("input"), "start", "end", F.lit("relayed").alias("kind")).unionByName(gap_kinds)
 
 
-def match_kind(chain="chain", read_text="read_text", origin_text="origin_text") -> Column:
-    """exact, normalized or decoded."""
+def match_kind(chain="chain", read_text="read_text", origin_text="origin_text", fold="unicode") -> Column:
+    """exact, normalized or decoded with its codecs; a fold of letters is no codec. Without a
+    chain, text is exact if either side holds the other; semantic where there is no text."""
+    c, read, origin = (F.col(x) if isinstance(x, str) else x for x in (chain, read_text, origin_text))
+    codecs = F.filter(c, lambda x: x != fold)
+    within = (F.contains(origin, read) | F.contains(read, origin)) & (read != "") & (origin != "")
     return (
-        F.when(F.size(chain) > 0, F.concat(F.lit("decoded:"), F.array_join(chain, ">")))
-        .when(F.contains(origin_text, read_text), "exact")
+        F.when(c.isNull(), "semantic")
+        .when(F.size(codecs) > 0, F.concat(F.lit("decoded:"), F.array_join(codecs, ">")))
+        .when((F.size(c) == 0) & F.coalesce(within, F.lit(False)), "exact")
         .otherwise("normalized")
     )
 

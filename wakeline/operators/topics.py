@@ -114,3 +114,20 @@ def layout(rows: DataFrame) -> DataFrame:
 def ready(processed: DataFrame, wanted: int) -> bool:
     """Whether every re-classification of a fit is done, so that it may be activated."""
     return processed.count() >= wanted
+
+
+#: What a version is after each action of its log.
+AFTER = {"begin": "fitting", "complete": "ready", "fail": "failed", "activate": "active", "drop": "dropped"}
+
+
+def version_states(log: DataFrame) -> DataFrame:
+    """The catalogue of topic versions from its log of actions (version, action, at, id):
+    (version, state, since). What was done last counts, ties by id; of all versions that are
+    active only the one activated last is, and the others are superseded.
+    """
+    state = F.element_at(F.create_map(*[F.lit(x) for pair in AFTER.items() for x in pair]), F.col("action"))
+    rows = log.select("version", state.alias("state"), "at", "id")
+    last = rows.groupBy("version").agg(F.max_by(F.struct("state", "at", "id"), F.struct("at", "id")).alias("s")).select("version", "s.*")
+    newest = last.where("state = 'active'").agg(F.max_by("version", F.struct("at", "id")).alias("_newest"))
+    told = F.when((F.col("state") == "active") & (F.col("version") != F.col("_newest")), "superseded").otherwise(F.col("state"))
+    return last.crossJoin(F.broadcast(newest)).select("version", told.alias("state"), F.col("at").alias("since"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import jsons, text, times, urls
-from wakeline.operators import alerts, filters, flow, governance, identity, paging, provenance, quality, topology
+from wakeline.operators import alerts, filters, flow, governance, identity, paging, provenance, quality, topics, topology
 from wakeline.sources import exchanges, logs
 from wakeline.sources.storage import table
 
@@ -304,6 +304,36 @@ SELECT event_id, event_type AS kind, props->>'$.k' AS first, 2 AS pairs, '{"a":'
 FROM events WHERE props->>'$.k' IS NOT NULL"""
 
 
+VERSION_ACTIONS = {"1-URGENT": "begin", "2-HIGH": "complete", "3-MEDIUM": "fail", "4-NOT SPECIFIED": "activate", "5-LOW": "drop"}
+
+
+def version_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of topic versions from a log of what was done to them."""
+    action = F.element_at(F.create_map(*[F.lit(x) for pair in VERSION_ACTIONS.items() for x in pair]), F.col("o_orderpriority"))
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin(*VERSION_ACTIONS))
+    log = o.select((F.col("o_orderkey") % 101).alias("version"), action.alias("action"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
+    return topics.version_states(log)
+
+
+VERSION_CATALOGUE = """
+WITH o AS (SELECT o_orderkey % 101 AS version, o_orderdate AS since, o_orderkey AS id,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'fitting' WHEN '2-HIGH' THEN 'ready' WHEN '3-MEDIUM' THEN 'failed' WHEN '5-LOW' THEN 'dropped' ELSE 'active' END AS state FROM orders),
+l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY version ORDER BY since DESC, id DESC) = 1)
+SELECT version, since, CASE WHEN state = 'active' AND (since, id) < (SELECT max((since, id)) FROM l WHERE state = 'active') THEN 'superseded' ELSE state END AS state FROM l"""
+
+
+def late_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of customers' orders, every seventh of which arrives late, some twice."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conversation"), F.col("o_orderkey").alias("exchange"), F.col("o_orderdate").alias("ended_at"))
+    on_time, late = o.where("exchange % 7 <> 0"), o.where("exchange % 7 = 0 OR exchange % 11 = 0")
+    return identity.rethreaded(identity.turns(on_time), late)
+
+
+LATE_TURNS = """
+SELECT o_custkey AS conversation, o_orderkey AS exchange, o_orderdate AS ended_at,
+       (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS turn FROM orders"""
+
+
 def canonical_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as a provider's content, one kind of block for each seventh turn, and their canonical parts."""
     k = (F.col("conv_id") + F.col("turn")) % 7
@@ -526,7 +556,7 @@ WHERE length(text) >= 40 AND NOT regexp_matches(text, '[^\x20-\x7E]') AND regexp
 NAMES = (
     "filtered_transmissions", "filtered_accesses", "filtered_channels", "filtered_agents", "filtered_alerts", "crossing_transmissions",
     "audit_trail", "filtered_conversations", "alert_findings", "alert_suppression", "verdict_appends", "channel_promotion",
-    "pattern_coverage", "channel_of_record", "turn_order", "json_arguments", "canonical_blocks", "argument_ranges", "match_precision", "shadowed_matches", "skeleton_matches", "match_layers", "span_lifecycle",
+    "pattern_coverage", "channel_of_record", "turn_order", "version_catalogue", "late_turns", "json_arguments", "canonical_blocks", "argument_ranges", "match_precision", "shadowed_matches", "skeleton_matches", "match_layers", "span_lifecycle",
     "evidence_rows", "review_queue", "kept_topic_versions", "heaviest_edges", "delivery_log", "text_parts",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
