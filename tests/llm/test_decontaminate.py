@@ -87,3 +87,15 @@ def test_edges(spark):
     assert D.digest(D.decontaminate(frame(spark), items)).count() == len(rows())
     assert D.digest(D.decontaminate(frame(spark), none)).where("contaminated").count() == 0
     assert D.digest(D.decontaminate(empty(spark), items)).count() == 0
+
+
+@pytest.mark.parametrize("part_bytes", [D.PART_BYTES, 60])
+def test_items_and_documents_without_an_id(spark, part_bytes):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    docs = spark.createDataFrame([(i, f"{w} stands here") for i, w in zip(ids, ("red fox", "blue fox", "no"), strict=True)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "red fox"), (2**53 + 5, "fox stands"), (None, "blue")], "item_id long, text string")
+    found = D.decontaminate(docs.coalesce(1), items.coalesce(1), part_bytes=part_bytes)
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == {ids[0]: [2**53 + 5, None], None: [2**53 + 5, None], ids[2]: []}
+    got = {r["doc_id"]: r for r in D.digest(found).collect()}
+    assert got[ids[0]]["n_items"] == 2 and got[ids[0]]["n_hit"] == 3 and not got[ids[2]]["contaminated"]
+    assert got[None]["items_sha256"] == hashlib.sha256(str(2**53 + 5).encode()).hexdigest()

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,48 @@ def test_divisor_rounding_is_highest_quotients(votes, seats):
     assert M.sainte_lague([float(v) for v in votes], seats) == naive(votes, seats)
 
 
+def test_many_parties_equal_the_naive_rule_and_stay_fast():
+    rng = random.Random(5)
+    for _ in range(60):
+        votes = [rng.choice([0.5, 1.0, 7.0, 300.0]) for _ in range(rng.randrange(1, 25))]
+        seats = rng.randrange(1, 200)
+        assert M.sainte_lague(votes, seats) == naive(votes, seats)
+    began = time.perf_counter()
+    assert sum(M.sainte_lague([1.0 + i % 997 for i in range(100_000)], 3_333_333)) == 3_333_333
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("key", ["id % 5", "CASE WHEN id % 2 = 0 THEN id END", "CAST(NULL AS bigint)"])
+def test_reruns_agree_where_ids_repeat_or_lack(spark, key):
+    docs = spark.range(600).selectExpr(f"{key} AS doc_id", "concat(repeat('w ', int(1 + id * 7 % 90)), id) AS text", "concat('s', id % 2) AS source")
+    runs = [M.mix(docs.repartition(n), shard_words=4000).select("doc_id", "size", "taken").toPandas() for n in (1, 3, 7)]
+    first, *rest = [sorted(r.fillna(-1).values.tolist()) for r in runs]
+    assert all(r == first for r in rest)
+
+
+def test_taken_equals_a_slow_version(spark):
+    """Blocks laid out and chosen one by one, from the same seeded hashes."""
+    docs = [(i % 40 if i % 9 else None, "w " * (1 + i * 37 % 300) + str(i), "ab"[i % 5 == 0]) for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    hashed = df.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("size"), F.xxhash64("text").alias("t"),
+                       M.seeded("doc_id", F.xxhash64("text"), F.lit(1), seed=M.SEED).alias("m")).collect()
+    want, sizes = [], {s: sum(r["size"] for r in hashed if r["source"] == s) for s in "ab"}
+    goal = dict(zip("ab", M.targets([sizes["a"], sizes["b"]], [1.0, 2.0]), strict=True))
+    quota = dict(zip("ab", naive([goal["a"], goal["b"]], round(sum(goal.values()) / 16)), strict=True))
+    for s in "ab":
+        line = [(r["doc_id"], r["size"]) for r in sorted((r for r in hashed if r["source"] == s), key=lambda r: (r["m"], r["t"])) for _ in range(r["size"])]
+        blocks = -(-len(line) // 16)
+        order = sorted(range(blocks), key=lambda k, h=hashes(spark, s, 0, blocks): h[k])
+        every, more = divmod(min(quota[s], 3 * blocks), blocks)
+        times = [every + (k in order[:more]) for k in range(blocks)]
+        at = 0
+        for r in sorted((r for r in hashed if r["source"] == s), key=lambda r: (r["m"], r["t"])):
+            want.append((r["doc_id"] or -1, r["size"], sum(times[(at + k) // 16] for k in range(r["size"]))))
+            at += r["size"]
+    got = [(r["doc_id"] or -1, r["size"], r["taken"]) for r in M.mix(df.repartition(3), blocks=(16,)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_takes_come_near_targets(spark):
     docs = [(i, "w " * (1 + i * 7 % 400), "s%d" % (i % 3 if i % 10 else 3)) for i in range(600)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
@@ -98,7 +141,8 @@ def test_empty_texts_are_spread_over_shards(spark):
 
 def test_chosen_blocks_are_scattered(spark):
     docs = spark.range(4096).selectExpr("id AS doc_id", "repeat('w ', 64) AS text", "CASE WHEN id < 3000 THEN 'a' ELSE 'b' END AS source")
-    out = M.mix(docs).where("source = 'a'").orderBy(M.seeded("doc_id", F.lit(1), seed=M.SEED)).toPandas()
+    order = M.seeded("doc_id", F.xxhash64(F.lit("w " * 64)), F.lit(1), seed=M.SEED)
+    out = M.mix(docs).where("source = 'a'").orderBy(order).toPandas()
     chosen = out["taken"].to_numpy() > 64 * out["every"].to_numpy()
     assert 100 < chosen.sum() < 2900 and (chosen[1:] != chosen[:-1]).sum() > 0.5 * min(chosen.sum(), (~chosen).sum())
 

@@ -57,9 +57,11 @@ def test_methods_spans_are_added_and_base_ones_stay(spark):
 
 
 def test_names_are_found_wherever_they_stand():
-    for text in ("(Mary Smith)", 'by "Mary Smith"', "Dear Mary Smith,", "Contact Mary Smith", "Mr Mary Smith", "Mary Smith"):
-        at = text.index("Mary")
-        assert P.candidates(text, []) == [("person", at, at + len("Mary Smith"))]
+    for name in ("Mary Smith", "Priya Raman", "José García", "Jürgen Müller", "Mary O'Brien", "Anne-Marie McDonald", "Łukasz Żak"):
+        for text in (f"({name})", f'by "{name}"', f"Dear {name},", f"Contact {name}", f"Herr {name}", name):
+            at = text.index(name)
+            assert ("person", at, at + len(name)) in P.candidates(text, [])
+    assert P.likeliest([(0.9, 5, 16), (0.9, 11, 20), (0.5, 0, 10)]) == [(5, 16)]
     # A name inside a word is none: the pair it stands in is a candidate that the gazetteer denies.
     assert P.candidates("Rosemary Smith, xMary Smith, Mary Smith2 and Mary smith", []) == [("person", 0, 14)]
     assert P.listed("person", "Rosemary Smith") is False
@@ -75,11 +77,21 @@ def test_reliabilities_follow_agreement():
     assert p["11-"] > 0.9 > p["00-"] and p["00-"] < 0.1
 
 
+def test_ids_beside_a_null(spark):
+    ids = [2**53 + 1, None, 2**53 + 3]
+    got = P.find(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").coalesce(1))
+    assert {r["doc_id"] for r in got.collect()} == set(ids)
+
+
 def test_edges(spark):
     assert P.find(frame(spark)).count() == len(rows())
     assert P.find(empty(spark)).count() == 0
 
 
+#: Names that no gazetteer has.
+FAR = ("Priya Raman", "Ahmed Khan", "José García", "Jürgen Müller", "Siobhan O'Brien", "Łukasz Żak", "Anne-Marie McDonald", "Ngozi Okafor")
+
+
 def planted(seed):
     """Texts with spans that are personal, and others of the same looks that are not."""
     rng = random.Random(seed)
@@ -95,6 +107,7 @@ def planted(seed):
         (True, "person", lambda: rng.choice(sorted(P.NAMES)) + " " + word().capitalize(), ["Contact ", "signed by ", "", "Mrs "]),
         (False, "person", lambda: rng.choice(["The", "This", "Our", "On"]) + " " + word().capitalize(), ["", "and so. "]),
         (False, "person", lambda: word().capitalize() + " " + word().capitalize(), ["", "near "]),
+        (True, "person", lambda: rng.choice(FAR), ["Dear ", "Herr ", "contact ", "signed by "]),
         (True, "secret", lambda: code(rng.randint(20, 40)), ["password: ", "api_key=", "token "]),
         (False, "secret", lambda: rng.choice("ab") * 14 + "111", ["", "row "]),
         (True, "iban", lambda: iban(True), ["account ", "IBAN: ", ""]),

@@ -13,7 +13,7 @@ merged by row of a written copy of the documents. No window is left out.
 
 Defined results: null and empty texts have no words and no hits; an item without words
 has no window and is never found; equal windows of several items count for each of
-them; repeated documents are judged alike; other input columns are not carried.
+them; items without an id mark words as hit and count as one item, listed as null; repeated documents are judged alike; other input columns are not carried.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, new_path, staged
+from .common import arrow_rows, as_longs, as_texts, new_path, staged
 
 WINDOW = 10
 PART_BYTES = 8 << 20
@@ -51,18 +51,20 @@ def windows_of(text: str | None, width: int = WINDOW) -> list[str]:
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Rows (window, item_ids): every distinct window with the items that hold it."""
+    """Rows (window, item_ids): every distinct window with the items that hold it, ids as
+    text, that of items without an id being empty."""
 
     def explode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             pairs = [(w, i) for i, t in zip(part["item_id"], part["text"], strict=True) for w in windows_of(t, width)]
             yield pd.DataFrame(pairs, columns=["window", "item_id"])
 
-    rows = benchmark.select("item_id", "text").mapInPandas(explode, "window string, item_id long")
+    ids = F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id")
+    rows = benchmark.select(ids, "text").mapInPandas(explode, "window string, item_id string")
     return rows.groupBy("window").agg(F.collect_set("item_id").alias("item_ids"))
 
 
-def automaton(patterns: list[tuple[str, list[int]]]):
+def automaton(patterns: list[tuple[str, list[str]]]):
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -73,14 +75,14 @@ def automaton(patterns: list[tuple[str, list[int]]]):
     return found
 
 
-def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int]], set[int]]:
+def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of the text, merged word ranges [start, end) of hits, items found."""
     words = fold(text)
     if not words or not len(machine):
         return len(words), [], set()
     line = f" {b' '.join(words).decode('latin-1')} "
     ranges: list[tuple[int, int]] = []
-    items: set[int] = set()
+    items: set[str] = set()
     seen: set[int] = set()
     at = last = 0
     for end, (n, k, ids) in machine.iter(line):
@@ -110,7 +112,7 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-HITS = "doc_id long, n_words long, words array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, items array<long>"
+HITS = "doc_id string, n_words long, words array<struct<start:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def _sent(windows: DataFrame):
@@ -131,7 +133,7 @@ def _scan_part(docs: DataFrame, sent) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "words", "spans", "items"])
 
     arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, HITS)
+    return as_texts(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, HITS)
 
 
 def _merge(spans: str) -> F.Column:
@@ -144,13 +146,18 @@ def _merge(spans: str) -> F.Column:
     )
 
 
+def _with_longs(found: DataFrame) -> DataFrame:
+    """Ids back as numbers; that of items without an id is null and comes last."""
+    return as_longs(found, "doc_id").withColumn("items", F.array_sort(F.transform("items", lambda x: F.when(x != "", x).cast("long"))))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per document: n_words, hit word ranges, hit character spans, ids of items found."""
     windows = item_windows(benchmark, width)
     total = windows.agg(F.sum(F.length("window") + 16 + 8 * F.size("item_ids"))).first()[0] or 0
     n_parts = max(1, -(-int(total) // part_bytes))
     if n_parts == 1:
-        return _scan_part(docs, _sent(windows))
+        return _with_longs(_scan_part(docs, _sent(windows)))
     spark = docs.sparkSession
     parts, hits = new_path(spark, "benchmark-windows"), new_path(spark, "benchmark-hits")
     part = F.pmod(F.xxhash64("window"), F.lit(n_parts)).cast("int").alias("part")
@@ -158,21 +165,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, pa
     # Written, so that every part sees the same row ids: a doc_id may repeat or be null.
     rows, _ = staged(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "benchmark-documents")
     texts = rows.select(F.col("row").alias("doc_id"), "text")
-    dealt = spark.read.schema("window string, item_ids array<long>, part int").parquet(parts)
+    dealt = spark.read.schema("window string, item_ids array<string>, part int").parquet(parts)
     for k in range(n_parts):
         sent = _sent(dealt.where(F.col("part") == k))
         found = _scan_part(texts, sent)
         # The first part keeps every row, for its words.
         (found.where("size(words) > 0") if k else found).write.mode("append").parquet(hits)
         sent.destroy()
-    found = spark.read.schema(HITS).parquet(hits).withColumnRenamed("doc_id", "row").groupBy("row").agg(
+    found = as_longs(spark.read.schema(HITS).parquet(hits).withColumnRenamed("doc_id", "row"), "row").groupBy("row").agg(
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("words")).alias("words"),
         F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
     merged_rows = rows.select("row", "doc_id").join(found.withColumns({"words": _merge("words"), "spans": _merge("spans")}), "row")
-    return merged_rows.select("doc_id", "n_words", "words", "spans", "items")
+    return _with_longs(merged_rows.select("doc_id", "n_words", "words", "spans", "items"))
 
 
 def digest(found: DataFrame) -> DataFrame:

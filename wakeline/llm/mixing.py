@@ -14,18 +14,20 @@ A shard holds about `SHARD_WORDS` words and `SHARD_ROWS` documents, so a source
 of all rows is many shards, and the running sums within a shard stay small; quotas go to
 groups of shards before shards. Only one row per source (its sizes) reaches the driver.
 
-Highest quotients are found without a heap: giving seats while votes / (2 * seats + 1)
-is largest equals rounding votes / d for the right divisor d; the few seats between the
-rounding at a close divisor and the exact house are settled by their quotients, ties by
-source order.
+Giving seats while votes / (2 * seats + 1) is largest equals rounding votes / d for the right
+divisor d; the seats between the rounding at a close divisor, half a seat a source at most,
+and the exact house are settled by their quotients from a heap, ties by source order.
 
 Defined results: null and empty texts have size 0 and take 0; a null source is a source
 of its own, ordered last; sources without words have target 0; repeated rows are
-documents of their own and must differ in doc_id only for the seeded order to be total.
+documents of their own. The seeded order is by doc_id and a digest of the text, so rows that
+share a doc_id or have none are told apart, and reruns agree; rows alike in both are alike in
+all that is taken, whichever of them lies first.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,13 +68,18 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     if total <= 0 or seats <= 0:
         return [0] * len(votes)
     got = [max(0, math.floor(v * seats / total + 0.5)) for v in votes]
-    while sum(got) != seats:
-        if sum(got) < seats:
-            i = max(range(len(votes)), key=lambda k: (votes[k] / (2 * got[k] + 1), -k))
-            got[i] += 1
+    step = 1 if sum(got) < seats else -1
+    # The next quotient to gain, or the last one gained, of each party, best first.
+    bid = (lambda k: (-votes[k] / (2 * got[k] + 1), k)) if step > 0 else (lambda k: (votes[k] / (2 * got[k] - 1), -k))
+    queue = [bid(k) for k in range(len(votes)) if step > 0 or got[k]]
+    heapq.heapify(queue)
+    for _ in range(abs(seats - sum(got))):
+        k = abs(queue[0][1])
+        got[k] += step
+        if step > 0 or got[k]:
+            heapq.heapreplace(queue, bid(k))
         else:
-            i = min((k for k in range(len(votes)) if got[k]), key=lambda k: (votes[k] / (2 * got[k] - 1), -k))
-            got[i] -= 1
+            heapq.heappop(queue)
     return got
 
 
@@ -152,14 +159,16 @@ def mix(
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and how it is taken:
     `every` times whole, and once more its words in the ranges `once` ([start, end))."""
-    sizes = checkpoint(docs.select("doc_id", "source", word_count("text").alias("size")))
+    sizes = checkpoint(docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("_text")))
     plan = source_plan(sizes, blocks)
     plan = F.broadcast(plan.coalesce(1)) if plan.count() <= BROADCAST_SOURCES else plan
     placed = sizes.join(plan, sizes["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     n_shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("source_rows") / shard_rows))
-    placed = placed.withColumn("shard", F.pmod(seeded("doc_id", seed=seed), n_shards)).withColumn("_mix", seeded("doc_id", F.lit(1), seed=seed))
+    # A document without words takes nothing wherever it lies.
+    place = F.when(F.col("size") > 0, seeded("doc_id", "_text", seed=seed)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    placed = placed.withColumn("shard", F.pmod(place, n_shards)).withColumn("_mix", seeded("doc_id", "_text", F.lit(1), seed=seed))
     key = ["source", "shard"]
-    line = Window.partitionBy(*key).orderBy("_mix", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*key).orderBy("_mix", "doc_id", "_text", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("_at", F.coalesce(F.sum("size").over(line), F.lit(0)))
     shards = placed.groupBy(*key).agg(F.sum("size").alias("words"), F.first("block").alias("block"), F.first("quota").alias("quota"))
     quotas = shard_quotas(shards.where("words > 0"), seed).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard")

@@ -2,7 +2,7 @@
 
 One scan of each whole text finds the base spans (e-mail, IP, card, phone; exact rules,
 always kept) and further candidates: secrets, IBANs, national ids, bare numbers, spelled
-out e-mail addresses, and pairs of capitalised words, which may be names. Labelers of three sorts vote on every candidate, base
+out e-mail addresses, and every pair of neighbouring capitalised words, which may be names. Labelers of three sorts vote on every candidate, base
 spans included: format rules, gazetteers and context words; each says yes (1), no (0) or
 nothing (-). Expectation-maximisation over the counts of vote patterns estimates every
 labeler's reliability in both classes and so a probability for each pattern. A logistic
@@ -12,8 +12,9 @@ decides which further candidates are personal data.
 Both fits need only counts per (votes, features), both from small fixed sets of values,
 so the corpus is aggregated in Spark and a table of bounded size is fitted on the driver.
 
-Positions are code points, end exclusive. Candidates that overlap a base span, or an
-earlier candidate, are left out. Defined results: a null or empty text has no spans and
+Positions are code points, end exclusive. Candidates that overlap a base span, or one of a
+stricter rule, are left out; names may overlap, and of those that do the likeliest stays, the
+first of equals. Defined results: a null or empty text has no spans and
 the digest of the empty string; repeated rows are judged alike; other columns are not carried.
 """
 
@@ -27,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpoint
+from .common import arrow_rows, as_longs, as_texts, checkpoint
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("handle", "iban", "national_id", "number", "person", "secret")
@@ -50,8 +52,9 @@ HANDLE = re.compile(r"\b[A-Za-z0-9_.-]{2,40} ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{2,
 IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b")
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])")
-# The rest is looked at, not consumed: each capitalised word may start a name.
-PERSON = re.compile(r"[A-Z](?<!\w[A-Z])(?=([a-z]+)( [A-Z][a-z]+)\b)")
+# The second word is looked at, not consumed: each capitalised word may start a name.
+PART = r"\p{Lu}(?:['\u2019]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?"
+PERSON = regex.compile(rf"(?<![\w'\u2019-])({PART})(?=( {PART})(?![\w-]))")
 NUMBER = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9][0-9 ().-]{5,22}[0-9](?![0-9A-Za-z.-])")
 
 # Gazetteers: common given names, and top-level names of addresses.
@@ -137,8 +140,6 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             if DIGIT.search(m.group()) and re.search(r"[A-Za-z]", m.group()):
                 rough.append(("secret", *m.span()))
         rough += [("number", *m.span()) for m in NUMBER.finditer(text) if len(DIGIT.findall(m.group())) >= 7]
-    pairs = [(m.group() + m.group(1) in NAMES, m.start(), m.end(2)) for m in PERSON.finditer(text)]
-    rough += [("person", a, b) for known in (True, False) for of, a, b in pairs if of is known]
     taken: list[tuple[int, int]] = []
     for a, b in sorted((a, b) for _, a, b in base):
         # Base spans of different kinds may overlap; what they cover is kept as places apart.
@@ -152,6 +153,16 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         if not _overlaps(taken, a, b):
             taken.insert(_place(taken, a), (a, b))
             out.append((kind, a, b))
+    pairs = [("person", m.start(), m.end(2)) for m in PERSON.finditer(text)]
+    return out + [p for p in pairs if not _overlaps(taken, p[1], p[2])]
+
+
+def likeliest(names: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Of names (chance, start, end) that overlap the likeliest, the first of equals, in order."""
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(names, key=lambda n: (-n[0], n[1])):
+        if not _overlaps(out, a, b):
+            out.insert(_place(out, a), (a, b))
     return out
 
 
@@ -179,16 +190,28 @@ def listed(kind: str, value: str) -> bool | None:
     return value.split()[0] in NAMES if kind == "person" else None
 
 
+def cues_of(kind: str, left: str) -> set[str]:
+    """Lower-cased words before a span; before a name only the last two, as names stand at their cue."""
+    words = [w.lower() for w in LEFT.findall(left)]
+    return set(words[-2:] if kind == "person" else words)
+
+
+def opens(value: str) -> bool:
+    """Whether a pair of words starts as a sentence or with a form of address, not with a name."""
+    first = value.split()[0].lower()
+    return first in OPENERS or first in CUES["person"]
+
+
 def votes(kind: str, value: str, left: str) -> str:
     """One character per labeler: 1 yes, 0 no, - nothing."""
-    cue_words = {w.lower() for w in LEFT.findall(left)}
+    cue_words = cues_of(kind, left)
     digits = DIGIT.findall(value)
     bare = value.replace(" ", "")
     shape = {
         "email": value.rpartition(".")[2].isalpha(), "ip": not re.search(r"\b0[0-9]", value), "phone": 10 <= len(digits) <= 13,
         "handle": None, "card": value[0] in "3456", "national_id": value[4:6] != "00" and value[7:] != "0000",
         "iban": 15 <= len(bare) <= 34, "number": 8 <= len(digits) <= 15, "secret": len(digits) * 5 >= len(value),
-        "person": False if value.split()[0].lower() in OPENERS else None,
+        "person": False if opens(value) else None,
     }[kind]
     check = None
     if kind == "card" or kind == "number" and len(digits) >= 16:
@@ -201,6 +224,8 @@ def votes(kind: str, value: str, left: str) -> str:
         check = value[:3] not in ("000", "666") and value[0] != "9"
     gazetteer = listed(kind, value)
     cue = True if cue_words & CUES[kind] else None
+    if kind == "person" and not gazetteer and cue:
+        gazetteer = None  # no list has all names: it denies only pairs that nothing speaks for
     against = False if cue_words & AGAINST else None
     e = entropy(value) if kind == "secret" else None
     spread = None if e is None else True if e >= 3.2 else False if e < 2.5 else None
@@ -211,11 +236,12 @@ def features(kind: str, value: str, left: str) -> str:
     """Discrete features of a span, one character each after the kind."""
     n = len(value)
     digits = 4 * len(DIGIT.findall(value)) // max(1, n)
-    words = {w.lower() for w in LEFT.findall(left)}
-    return f"{kind}|{min(7, n.bit_length())}{digits}{int(bool(words & CUES[kind]))}{int(bool(words & AGAINST))}{int(listed(kind, value) is not False)}{int(kind != 'secret' or entropy(value) >= 3)}"
+    words = cues_of(kind, left)
+    sound = not opens(value) if kind == "person" else kind != "secret" or entropy(value) >= 3
+    return f"{kind}|{min(7, n.bit_length())}{digits}{int(bool(words & CUES[kind]))}{int(bool(words & AGAINST))}{int(listed(kind, value) is not False)}{int(sound)}"
 
 
-SCAN = "doc_id long, base array<struct<kind:string,start:long,end:long>>, more array<struct<kind:string,start:long,end:long,votes:string,features:string>>, seen array<struct<votes:string,features:string>>"
+SCAN = "doc_id string, base array<struct<kind:string,start:long,end:long>>, more array<struct<kind:string,start:long,end:long,votes:string,features:string>>, seen array<struct<votes:string,features:string>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -224,7 +250,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for doc_id, text in zip(part["doc_id"].astype("Int64"), part["text"], strict=True):
+            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                 text = text or ""
                 base = base_spans(text)
                 about = lambda k, a, b, t=text: (k, t[a:b], t[max(0, a - 40) : a])
@@ -234,10 +260,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 ]
                 seen = [{"votes": votes(*about(*s)), "features": features(*about(*s))} for s in base]
                 rows.append((doc_id, [{"kind": k, "start": a, "end": b} for k, a, b in base], more, seen))
-            yield pd.DataFrame(rows, columns=["doc_id", "base", "more", "seen"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "base", "more", "seen"])
 
     arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, SCAN)
+    return as_longs(as_texts(docs.select("doc_id", "text"), "doc_id").mapInPandas(run, SCAN), "doc_id")
 
 
 def expectation_maximisation(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
@@ -307,7 +333,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (order[s[0]], s[1], s[2])))
 
 
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
 def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -320,12 +346,14 @@ def find(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for doc_id, base, more in zip(part["doc_id"].astype("Int64"), part["base"], part["more"], strict=True):
+            for doc_id, base, more in zip(part["doc_id"], part["base"], part["more"], strict=True):
                 kept = [(s["kind"], s["start"], s["end"]) for s in base]
-                added = [(s["kind"], s["start"], s["end"]) for s in more if chance.get(s["features"], 0.0) >= least]
+                likely = [(chance.get(s["features"], 0.0), s["kind"], s["start"], s["end"]) for s in more]
+                added = [(k, a, b) for p, k, a, b in likely if p >= least and k != "person"]
+                added += [("person", a, b) for a, b in likeliest([(p, a, b) for p, k, a, b in likely if p >= least and k == "person"])]
                 n = Counter(k for k, _, _ in kept)
                 rows.append((doc_id, *(n[k] for k in BASE), hashlib.sha256(joined(kept).encode()).hexdigest(), joined(kept + added)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     arrow_rows(docs.sparkSession, 2_000)
-    return scanned.select("doc_id", "base", "more").mapInPandas(run, OUT)
+    return as_longs(as_texts(scanned.select("doc_id", "base", "more"), "doc_id").mapInPandas(run, OUT), "doc_id")

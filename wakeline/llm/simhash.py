@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators.components import components
 
-from .common import arrow_rows, checkpoint
+from .common import arrow_rows, as_longs, as_texts, checkpoint
 
 SHINGLE = 3
 SEED = 42
@@ -112,10 +112,11 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "fp": [fingerprint(t, width) for t in part["text"]]})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": [fingerprint(t, width) for t in part["text"]]})
 
     arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    rows = as_texts(docs.select("doc_id", "text"), "doc_id")
+    return as_longs(rows.mapInPandas(run, "doc_id string, fp long"), "doc_id")
 
 
 def _keys(prints: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpoint, new_path, remove
+from .common import arrow_rows, as_longs, as_texts, checkpoint, new_path, remove
 
 LENGTH = 50
 ANCHOR = 24
@@ -119,14 +119,16 @@ class Chunk:
     """Documents of one chunk, in a fixed order, end to end in one buffer."""
 
     def __init__(self, rows: pd.DataFrame):
-        rows = rows.assign(text=rows["text"].fillna("")).sort_values(["doc_id", "text"], kind="stable", na_position="last")
-        self.doc_ids = rows["doc_id"].astype("Int64").tolist()
-        texts = [t.encode("utf-8", "surrogatepass") for t in rows["text"]]
+        # Ids come as text, as pandas would make floats of them beside a null.
+        mine = [(x is None, int(x or 0), t or "") for x, t in zip(rows["doc_id"], rows["text"], strict=True)]
+        mine.sort()
+        self.doc_ids = [None if none else x for none, x, _ in mine]
+        texts = [t.encode("utf-8", "surrogatepass") for _, _, t in mine]
         self.size = np.array([len(t) for t in texts], dtype=np.int64)
         self.base = np.cumsum(self.size) - self.size
         self.bytes = b"".join(texts)
         self.buffer = np.frombuffer(self.bytes, dtype=np.uint8)
-        self.order = np.array([NOBODY if x is pd.NA else int(x) for x in self.doc_ids], dtype=np.int64)
+        self.order = np.array([NOBODY if x is None else x for x in self.doc_ids], dtype=np.int64)
         docs, starts, counts, names, per_doc = [], [], [], [], []
         for i, (a, n) in enumerate(zip(self.base, self.size, strict=True)):
             s, c, k = runs(self.buffer[a : a + n])
@@ -209,7 +211,7 @@ def _long(raw: bytes) -> np.ndarray:
 NAMES = "grp long, chunk long, names binary, docs binary"
 CODES = "chunk long, kind int, grp long, answer binary"
 CONTENTS = "grp long, chunk long, content binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def name_answers(names: DataFrame) -> DataFrame:
@@ -346,6 +348,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def _without_repeats(texts: DataFrame) -> DataFrame:
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = as_texts(texts, "doc_id")
     groups = max(16, int(total // 14 // GROUP_NAMES))
 
     def send_names(rows: pd.DataFrame) -> pd.DataFrame:
@@ -408,9 +411,8 @@ def _without_repeats(texts: DataFrame) -> DataFrame:
             mask = covered[a : a + size]
             spans = int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])) if size else 0
             kept = here.buffer[a : a + size][~mask].tobytes() if spans else here.bytes[a : a + size]
-            out.append((doc_id, size, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-        return frame.astype({"doc_id": "Int64"})
+            out.append((None if doc_id is None else str(doc_id), size, int(mask.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     both = codes.unionByName(least)
-    return checkpoint(texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(finish, RESULT))
+    return as_longs(checkpoint(texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInPandas(finish, RESULT)), "doc_id")

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, new_path, remove, staged
+from .common import arrow_rows, as_longs, as_texts, new_path, remove, staged
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
@@ -127,10 +127,11 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         end = one.raw([end_id])
         for part in parts:
             ids = [one.encode(t) + end for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "width": one.width, "ids": ids})
+            yield pd.DataFrame({"doc_id": part["doc_id"], "width": one.width, "ids": ids})
 
     arrow_rows(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, width int, ids binary")
+    rows = as_texts(docs.select("doc_id", "text"), "doc_id")
+    return as_longs(rows.mapInPandas(run, "doc_id string, width int, ids binary"), "doc_id")
 
 
 def count_ids(rows: DataFrame) -> DataFrame:
@@ -202,7 +203,7 @@ def write(
         for part in parts:
             for doc_id, width, ids in zip(part["doc_id"], part["width"], part["ids"], strict=True):
                 held.append(ranks[np.frombuffer(ids, dtype=f"<u{width}")])
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                doc_ids.append(None if doc_id is None else int(doc_id))
                 size += len(held[-1])
                 if size >= block_ids:
                     yield close()
@@ -216,7 +217,7 @@ def write(
     # Rows of one doc_id, or without one, may fill several shards: they are split by their ids.
     tied = rows.withColumn("tie", F.xxhash64("ids"))
     ordered = tied.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids").drop("tie")
-    ordered.mapInPandas(run, BLOCKS).write.option("compression", "zstd").parquet(f"{out}/shards")
+    as_texts(ordered, "doc_id").mapInPandas(run, BLOCKS).write.option("compression", "zstd").parquet(f"{out}/shards")
     remove(spark, temporary)
 
 
@@ -234,7 +235,7 @@ def read(spark: SparkSession, out: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "shard": b.shard,
-                        "doc_id": pd.array([None if pd.isna(x) else int(x) for x in b.doc_ids], dtype="Int64"),
+                        "doc_id": list(b.doc_ids),
                         "at": b.start + ends - counts,
                         "n_tokens": counts,
                         "ids_crc32": [zlib.crc32(found[4 * (e - n) : 4 * e]) for e, n in zip(ends, counts, strict=True)],
@@ -245,7 +246,8 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     # One row per shard.
     before = totals.selectExpr("shard", "sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
     arrow_rows(spark)
-    rows = blocks.mapInPandas(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    texts = blocks.withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    rows = as_longs(texts.mapInPandas(run, "shard int, doc_id string, at long, n_tokens long, ids_crc32 long"), "doc_id")
     return rows.join(before, "shard").select("doc_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
 
