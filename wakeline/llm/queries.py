@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, pii, revisits, simhash, substring_dedup, token_files, url_filter
+from . import align, decontaminate, fim, language_id, mixing, pii, revisits, simhash, substring_dedup, token_files, url_filter
 from .common import table
 from .quality_rules import quality_rules
 
@@ -52,6 +52,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(align.align(table(spark, sf_dir, "documents")))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -63,4 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_not_modified_revisits": op8_not_modified_revisits,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

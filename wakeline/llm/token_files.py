@@ -58,7 +58,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _byte_letters() -> dict[int, int]:
+def byte_letters() -> dict[int, int]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes for
     themselves, the others in order from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -70,7 +70,7 @@ class Pieces(dict):
     """Ids of pieces of text, each asked of the tokenizer's model once and remembered."""
 
     def __init__(self, tokenizer, raw):
-        self.model, self.raw, self.letters = tokenizer.model, raw, _byte_letters()
+        self.model, self.raw, self.letters = tokenizer.model, raw, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -82,13 +82,15 @@ class Encoder:
     """Ids of texts as little-endian bytes, 2 or 4 per id as the vocabulary needs. Pieces
     repeat, so theirs are remembered, until there are more than `CACHE` of them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: added tokens' strings are ordinary text."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", 4)
         self.by_pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not plain]
         self.added = re.compile("|".join(added) or r"(?!)")
         self.known = Pieces(self.tokenizer, self.raw)
 
