@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -47,8 +48,11 @@ def brute(docs):
                 out.append(at)
             ends.append(out)
         cuts = sorted(set(ends[0]) & set(ends[1]))
-        of = lambda side, out: [[i for (i, _), e in zip(side, out) if lo < e <= hi] for lo, hi in zip([0, *cuts], cuts)]  # noqa: E731, B905
-        groups.append(list(zip(of(a, ends[0]), of(b, ends[1]), strict=True)))
+        group = [([], []) for _ in cuts]
+        for k, side in enumerate((a, b)):
+            for (i, _), e in zip(side, ends[k], strict=True):
+                group[bisect.bisect_left(cuts, e)][k].append(i)
+        groups.append(group)
     counts = Counter(p for g in groups for p in {(i, j) for x, y in g for i in x for j in y})
     most = defaultdict(int)
     for (i, _), n in counts.items():
