@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, decontaminate, fim, language_id, mixing, pii, revisits, simhash, substring_dedup, token_files, url_filter
+from . import align, decontaminate, fim, language_id, mixing, pii, revisits, simhash, substring_dedup, token_files, toxicity, url_filter
 from .common import table
 from .quality_rules import quality_rules
 
@@ -56,6 +56,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(align.align(table(spark, sf_dir, "documents")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(fim.transform(table(spark, sf_dir, "documents")))
 
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_personal_data": op10_personal_data,
     "op11_token_alignment": op11_token_alignment,
+    "op12_toxicity": op12_toxicity,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
