@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -40,11 +41,13 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, staged
 from .token_files import Encoder, byte_letters
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 SPACE = "▁"
 #: Before each space that follows neither white space nor the piece vocabulary's own space.
 SPLIT = re.compile(rf"(?<=[^\s{SPACE}])(?= )")
 HEX = re.compile(r"<0x([0-9A-F]{2})>")
+#: Units tokenized at a time.
+UNITS = 1 << 15
 #: Pairs of document and unit looked at together.
 SLICE = 1 << 20
 
@@ -122,16 +125,22 @@ CHUNK_TYPE = pa.schema(
 )
 
 
-def _chunk(number: int, doc_ids: list, sizes: list[int], order: list[int], units: list[str], both: Tokenizers) -> pa.RecordBatch:
+def _ids(both: Tokenizers, units: list[str]) -> tuple[np.ndarray, ...]:
     a, b, sound = both.encode(units)
-    n_a, n_b = [len(x) for x in a], [len(x) for x in b]
-    ids_a = np.concatenate(a) if a else np.zeros(0, dtype=np.int64)
-    ids_b = np.fromiter(chain.from_iterable(b), dtype=np.int64, count=sum(n_b))
+    n_a, n_b = (np.array([len(x) for x in y], dtype=np.int64) for y in (a, b))
+    ids_a = np.concatenate([np.zeros(0, np.int32), *a]).astype(np.int32)
+    return n_a, n_b, ids_a, np.fromiter(chain.from_iterable(b), dtype=np.int32, count=n_b.sum()), sound
+
+
+def _chunk(number: int, doc_ids: list, sizes: list[int], order: array, units: list[str], both: Tokenizers) -> pa.RecordBatch:
+    # Units some at a time, as libraries' results take many times the room of ids.
+    told = [_ids(both, units[k : k + UNITS]) for k in range(0, max(1, len(units)), UNITS)]
+    n_a, n_b, ids_a, ids_b, sound = (np.concatenate(x) for x in zip(*told, strict=True))
     long_a, long_b = np.array([len(x) for x in both.bytes_a]), np.array([len(x) for x in both.bytes_b])
     len_a, len_b = long_a[ids_a].astype("<i4").tobytes(), long_b[ids_b].astype("<i4").tobytes()
     known: dict[tuple[bytes, bytes], int] = {}
     lists, at_a, at_b = [], 0, 0
-    for x, y in zip(n_a, n_b, strict=True):
+    for x, y in zip(n_a.tolist(), n_b.tolist(), strict=True):
         key = (len_a[at_a : at_a + 4 * x], len_b[at_b : at_b + 4 * y])
         at_a, at_b = at_a + 4 * x, at_b + 4 * y
         lists.append(known.setdefault(key, len(known)))
@@ -151,18 +160,18 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_B
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         both, number = worker_tokenizers(path_a, path_b), TaskContext.get().partitionId() << 32
-        doc_ids, sizes, order, known, held = [], [], [], {}, 0
+        doc_ids, sizes, order, known, held = [], [], array("i"), {}, 0
         for part in parts:
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 units = both.units(text) if text else []
                 doc_ids.append(doc_id)
                 sizes.append(len(units))
-                order += [known.setdefault(u, len(known)) for u in units]
+                order.extend([known.setdefault(u, len(known)) for u in units])
                 held += len(text or "")
                 if held >= chunk_bytes:
                     yield _chunk(number, doc_ids, sizes, order, list(known), both)
                     number += 1
-                    doc_ids, sizes, order, known, held = [], [], [], {}, 0
+                    doc_ids, sizes, order, known, held = [], [], array("i"), {}, 0
         if doc_ids:
             yield _chunk(number, doc_ids, sizes, order, list(known), both)
 
