@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,13 +67,14 @@ def shared_grams(rows: DataFrame, key: str, text: str, origins: DataFrame, origi
 
     If the origins have at most `most` different grams, their rolling hashes are broadcast
     and only grams that meet them leave the row and are hashed again, so that each text is
-    read once and a gram that nobody shares is never shuffled. Beyond that all grams go
-    through the join below, with the same result.
+    read once and a gram that nobody shares is never shuffled. Beyond that a text sends the
+    names of its grams, one for some nine of them and each once, gets back those that an
+    origin has, and hashes only the grams so named: with the same result.
     """
     own = grams(origins.withColumn("_o", F.lit(0)), "_o", origin_text, width).select("fp").distinct()
     rolled = checkpoint(grams(origins.withColumn("_o", F.lit(0)), "_o", origin_text, width, portable=False).select("fp").distinct())
     if rolled.count() > most:
-        return grams(rows, key, text, width).join(own, "fp", "left_semi").select(key, "pos", "fp")
+        return _named_grams(rows, key, text, origins, origin_text, width).join(own, "fp", "left_semi").select(key, "pos", "fp")
     sent = rows.sparkSession.sparkContext.broadcast(np.sort(rolled.toPandas()["fp"].to_numpy(dtype=np.int64)))
 
     def find(value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +87,45 @@ def shared_grams(rows: DataFrame, key: str, text: str, origins: DataFrame, origi
     return _emitted(rows, key, text, find).join(own, "fp", "left_semi").select(key, "pos", "fp")
 
 
+def gram_names(value: str, width: int) -> np.ndarray:
+    """A name for every gram: the least hash of the half as long grams within it, so equal
+    grams have equal names, and neighbours mostly share theirs."""
+    half = max(1, width // 2)
+    least, span, wanted = rolling_hashes(code_points(value), half), 1, width - half + 1
+    if len(least) < wanted:
+        return least[:0]
+    while span < wanted:
+        step = min(span, wanted - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    return least
+
+
+def _named_grams(rows: DataFrame, key: str, text: str, origins: DataFrame, origin_text: str, width: int) -> DataFrame:
+    """(key, pos, fp) of the grams whose names some origin has."""
+
+    def names(of: DataFrame, by: str, column: str) -> DataFrame:
+        def find(value: str) -> tuple[np.ndarray, np.ndarray]:
+            found = np.unique(gram_names(value, width))
+            return np.zeros(len(found), dtype=np.int64), found
+
+        return _emitted(of, by, column, find).select(by, F.col("fp").alias("name"))
+
+    known = names(origins.withColumn("_o", F.lit(0)), "_o", origin_text).select("name").distinct()
+    shared = names(rows, key, text).join(known, "name", "left_semi").groupBy(F.col(key).alias("_key")).agg(F.collect_set("name").alias("names"))
+    asked = rows.select(key, text).join(shared, F.col(key).eqNullSafe(F.col("_key"))).select(key, text, "names")
+    kind = dict(rows.select(key).dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i in range(part.num_rows):
+                value = part.column(1)[i].as_py()
+                at = np.flatnonzero(np.isin(gram_names(value, width), part.column(2)[i].values.to_numpy()))
+                owner = part.column(0).take(pa.array(np.full(len(at), i)))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(at, pa.int32()), pa.array(portable_hashes(value, at, width), pa.int64())], [key, "pos", "fp"])
+
+    return asked.mapInArrow(run, f"`{key}` {kind}, pos int, fp long")
+
+
 def winnowed(rows: DataFrame, key: str, text: str, width: int = GRAM, window: int = WINDOW, portable: bool = False) -> DataFrame:
     """(key, pos, fp) of the grams kept by winnowing: the rightmost least hash of every
     window of consecutive grams, each place once; a text with fewer grams than a window
@@ -169,18 +211,73 @@ def long_runs(intervals: DataFrame, least: int = LONG_RUN) -> DataFrame:
     return intervals.where(F.col("end") - F.col("start") >= least)
 
 
+def owned(runs: DataFrame) -> DataFrame:
+    """(text, input, start, end): each place of a text given to the least input with a run over
+    it, in stretches as long as can be. A sweep over the ends of runs in order of place, with a
+    heap of the runs that are open, so that it costs rows and not places."""
+    kinds = dict(runs.select("text", "input").dtypes)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        text, open_, at, held = None, [], 0, None
+
+        def closed(until: float) -> list[tuple]:
+            """Stretches up to a place, the last of which is held back as it may go on."""
+            nonlocal at, held
+            out = []
+            while open_ and at < until:
+                owner, end = open_[0]
+                if end <= at:
+                    heapq.heappop(open_)
+                    continue
+                stop = min(end, until)
+                if held and held[1] == owner and held[3] == at:
+                    held = (*held[:3], stop)
+                else:
+                    if held:
+                        out.append(held)
+                    held = (text, owner, at, stop)
+                at = stop
+            return out
+
+        def ended() -> list[tuple]:
+            nonlocal held
+            out = closed(float("inf"))
+            out, held = out + ([held] if held else []), None
+            return out
+
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                if r.text != text:
+                    rows += ended()
+                    text, at = r.text, 0
+                    open_.clear()
+                rows += closed(r.start)
+                at = max(at, r.start)
+                if r.end > r.start:
+                    heapq.heappush(open_, (r.input, r.end))
+            yield pd.DataFrame(rows, columns=["text", "input", "start", "end"])
+        yield pd.DataFrame(ended(), columns=["text", "input", "start", "end"])
+
+    spans = runs.where("text IS NOT NULL AND input IS NOT NULL").select("text", "input", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    in_order = spans.repartition("text").sortWithinPartitions("text", "start")
+    return in_order.mapInPandas(run, f"text {kinds['text']}, input {kinds['input']}, start long, end long")
+
+
 def classified_spans(output: DataFrame, runs: DataFrame, length: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """Spans of an output text: relayed parts, then originated or common gaps.
 
     Where runs of several inputs overlap, the least input has the place. output: grams
     (text, pos, fp); runs: (text, input, start, end); boilerplate: (fp).
     """
-    cells = runs.select("text", "input", F.explode(F.sequence("start", F.col("end") - 1)).alias("at"))
-    owner = cells.groupBy("text", "at").agg(F.min("input").alias("input"))
-    island = F.col("at") - F.row_number().over(Window.partitionBy("text", "input").orderBy("at"))
-    relayed = owner.withColumn("_i", island).groupBy("text", "input", "_i").agg(F.min("at").cast("long").alias("start"), (F.max("at") + 1).cast("long").alias("end")).drop("_i")
+    relayed = owned(runs)
     rest = gaps(relayed, ["text"], length)
-    inside = rest.join(output.select("text", "pos", "fp"), "text", "left").where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
+    # The last gap that starts at a gram or before it is the only one that may hold it.
+    marks = rest.select("text", F.col("start").alias("at"), "start", "end", F.lit(None).cast("long").alias("fp"))
+    all_ = marks.unionByName(output.select("text", F.col("pos").cast("long").alias("at"), "fp"), allowMissingColumns=True)
+    line = Window.partitionBy("text").orderBy("at", F.col("fp").isNotNull())
+    placed = all_.withColumns({c: F.last(c, ignorenulls=True).over(line) for c in ("start", "end")})
+    inside = placed.where(F.col("fp").isNotNull() & (F.col("at") < F.col("end"))).select("text", "start", "end", "fp")
     common = boilerplate.select("fp", F.lit(1).alias("_common"))
     kinds = inside.join(common, "fp", "left").groupBy("text", "start", "end").agg(F.bool_and(F.col("_common").isNotNull()).alias("_all"))
     gap_kinds = rest.join(kinds, ["text", "start", "end"], "left").select(

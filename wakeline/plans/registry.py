@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decision_queries, graph_queries, rule_queries, text_queries
+from . import decision_queries, graph_queries, index_queries, rule_queries, text_queries
 
-QUERIES = graph_queries.QUERIES | text_queries.QUERIES | rule_queries.QUERIES | decision_queries.QUERIES
-ORACLE_SQL = graph_queries.ORACLE_SQL | text_queries.ORACLE_SQL | rule_queries.ORACLE_SQL | decision_queries.ORACLE_SQL
+QUERIES = graph_queries.QUERIES | text_queries.QUERIES | rule_queries.QUERIES | decision_queries.QUERIES | index_queries.QUERIES
+ORACLE_SQL = graph_queries.ORACLE_SQL | text_queries.ORACLE_SQL | rule_queries.ORACLE_SQL | decision_queries.ORACLE_SQL | index_queries.ORACLE_SQL
