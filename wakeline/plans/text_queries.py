@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.functions import decode, text, urls, vectors
-from wakeline.operators import paging, provenance, search, topics
+from wakeline.operators import density, layouts, paging, provenance, search, topics
 from wakeline.sources.storage import checkpoint, new_path, table
 
 GRAM = provenance.GRAM
@@ -336,6 +336,19 @@ def topic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.fit(rows, 8, seed=7)[1]
 
 
+def topic_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density clusters of the vectors, topic null for outliers."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return density.fit(rows)[1]
+
+
+def layout_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame laid out from every second vector, and the others placed in it."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    frame = layouts.fit(rows.where("id % 2 = 0"))
+    return frame.select("id", "x", "y").unionByName(layouts.place(rows.where("id % 2 = 1"), frame))
+
+
 def projection_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.layout(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
 
@@ -362,5 +375,5 @@ NAMES = (
     "topic_assign", "topic_sizes", "topic_lineage", "ctfidf_terms", "url_canonical", "resource_pattern", "decode_layers", "unicode_fold",
     "seeded_sample", "export_digest", "stream_buckets",
 )
-QUERIES = {n: globals()[n] for n in (*NAMES, "topic_fit", "projection_2d")}
+QUERIES = {n: globals()[n] for n in (*NAMES, "topic_fit", "topic_density", "projection_2d", "layout_placed")}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES}
