@@ -1,4 +1,4 @@
-"""Exactly-once buckets and the change feed over the supplied events, batch after batch.
+"""Exactly-once buckets, the change feed and triage on a stream over the supplied events.
 
 An event comes in the batch of its week, but one in ten comes two batches late. Every second
 batch is applied twice, as after a failure.
@@ -6,10 +6,13 @@ batch is applied twice, as after a failure.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.sources.storage import checkpoint, new_path, table
+from wakeline.streaming import buckets, triage
 from wakeline.streaming.ledger import BucketSums, ChangeFeed, Ledger
 
 WEEK, DAY, DELAY = 7 * 86_400_000_000, 86_400_000_000, 3_600_000_000
@@ -64,6 +67,32 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHANGE_FEED = f"""WITH {EVENTS} SELECT row_number() OVER (ORDER BY arrives, "at", event_id) AS seq, event_id, "at" FROM e"""
 
-NAMES = ["bucket_upserts", "bucket_refusals", "change_feed"]
+TTL = 3 * DAY
+
+
+def _findings(e: DataFrame) -> DataFrame:
+    rule, subject = F.concat(F.lit("r"), (F.col("user_id") % 5).cast("string")), F.col("user_id").cast("string")
+    return e.where("event_type = 'error'").select(rule.alias("rule"), subject.alias("subject"), F.unix_micros("ts").alias("at"), "ts")
+
+
+def stream_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of error events by user on a stream, those that its watermark has passed."""
+    rules = spark.createDataFrame([(f"r{i}", i != 3) for i in range(4)], "rule string, evaluating boolean")
+    rejected = table(spark, sf_dir, "events").where("user_id % 7 = 0").select(F.col("user_id").cast("string").alias("subject"))
+    stream = buckets.read_table(spark, f"{sf_dir}/events.parquet", "ts")
+    found = triage.triaged(_findings(stream), rules, rejected, TTL, "10 minutes")
+    with buckets.disk_state(spark):
+        return triage.latest(buckets.run_once(found, f"wakeline_{uuid.uuid4().hex}", new_path(spark, "stream")))
+
+
+STREAM_TRIAGE = f"""
+WITH f AS (
+  SELECT 'r' || user_id % 5 AS rule, user_id::VARCHAR AS subject, user_id, epoch_us(ts) AS t FROM events
+  WHERE event_type = 'error' AND epoch_us(ts) < (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events WHERE event_type = 'error') - 600000000),
+s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY t) AS g FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= {TTL} THEN 0 ELSE 1 END AS n FROM f))
+SELECT rule, subject, min(t) AS first_at, CASE WHEN user_id % 5 IN (3, 4) THEN 'rule_inactive' WHEN user_id % 7 = 0 THEN 'operator_rejected' ELSE 'opened' END AS outcome,
+  count(*) AS occurrences, max(t) AS last_at FROM s GROUP BY rule, subject, user_id, g"""
+
+NAMES = ["bucket_upserts", "bucket_refusals", "change_feed", "stream_triage"]
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLE_SQL = {n: globals()[n.upper()] for n in NAMES}

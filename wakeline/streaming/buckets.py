@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,18 @@ def upsert(sums: DataFrame, more: DataFrame, keys: list[str], values: list[str])
     return both.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
 
 
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """State variables and timers need the store that spills to disk; a query keeps the one it starts with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is there into Parquet beside the checkpoint, and read it."""
     out = f"{checkpoint}-{name}"

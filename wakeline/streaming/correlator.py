@@ -77,8 +77,8 @@ class Correlator(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(at), kind) for part in rows for at, kind in zip(part["at"], part["kind"], strict=True)]
         self.waiting.appendList(new)
-        for at in {at // 1000 for at, _ in new}:
-            self._wake(at * 1000)
+        if new:
+            self._wake(min(at for at, _ in new))
         yield self._frame(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -100,6 +100,9 @@ class Correlator(StatefulProcessor):
         while one and one.phase != "past" and one.deadline < until:
             out += one.expire()
         self.waiting.put(later) if later else self.waiting.clear()
+        # One timer, for the next row or change, so that a batch reads what waits once.
+        if later:
+            self._wake(min(at for at, _ in later))
         if one is None or one.phase == "past":
             self.known.clear()
         else:
