@@ -89,20 +89,21 @@ class Vocabulary:
         p = (toxic + SHRINK * self.share) / (toxic + clean + SHRINK)
         return math.log(p / (1 - p)) - math.log(self.share / (1 - self.share)) if 0 < p < 1 else 0.0
 
-    def inputs(self, word: str, own: int | None = None) -> tuple[list[float], int, list[int]]:
-        """Log-odds inputs, number of the word, numbers of its n-grams. own: 1 or 0 leaves
-        one toxic or clean document out."""
+    def inputs(self, word: str, own: int) -> tuple[list[float], int, list[int]]:
+        """Log-odds inputs, number of the word, numbers of its n-grams, one toxic (own 1) or
+        clean (own 0) document that holds the word left out."""
         whole, parts = self.words.get(word), [g for g in map(self.grams.get, grams_of(word)) if g]
-        if own is None:
-            told, seen = [g[3] for g in parts], whole[3] if whole else 0.0
-        else:
-            odds = lambda x: self.odds(max(0, x[1] - own), max(0, x[2] - 1 + own))
-            told, seen = [odds(g) for g in parts], odds(whole) if whole else 0.0
-        return [seen, max(told, default=0.0), max(-4.0, min(4.0, sum(told) / 4))], whole[0] if whole else 0, [g[0] for g in parts]
+        odds = lambda x: self.odds(max(0, x[1] - own), max(0, x[2] - 1 + own))
+        return inputs_of([odds(g) for g in parts], odds(whole) if whole else 0.0), whole[0] if whole else 0, [g[0] for g in parts]
+
+
+def inputs_of(told: list[float], seen: float) -> list[float]:
+    """The log-odds of a word, the most of its n-grams, and a quarter of their sum."""
+    return [seen, max(told, default=0.0), max(-4.0, min(4.0, sum(told) / 4))]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
 class Network:
@@ -121,15 +122,16 @@ class Network:
     def states(self, gates: np.ndarray, side: str, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """[n, WINDOW, HIDDEN] states from the inputs' share of the gates [n, WINDOW, 3 * HIDDEN]."""
         n, h, weight = len(gates), HIDDEN, self.p[f"h{side}"]
-        state, out = np.zeros((n, h), np.float32), np.zeros((n, WINDOW, h), np.float32)
+        state, out, whole = np.zeros((n, h), np.float32), np.zeros((n, WINDOW, h), np.float32), mask.all()
         for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
             x = gates[:, t]
             rz = sigmoid(x[:, : 2 * h] + state @ weight[:, : 2 * h])
             r, z = rz[:, :h], rz[:, h:]
             carried = state @ weight[:, 2 * h :]
             new = np.tanh(x[:, 2 * h :] + r * carried)
-            live = mask[:, t, None]
-            after = np.where(live, (1 - z) * new + z * state, state)
+            live, after = mask[:, t, None], (1 - z) * new + z * state
+            if not whole:
+                after = np.where(live, after, state)
             if keep is not None:
                 keep.append((t, state, r, z, carried, new, live))
             state = out[:, t] = after
@@ -188,7 +190,7 @@ class Network:
 
 
 class Words:
-    """Rows of inputs of distinct words; row 0 is padding. own: as in `Vocabulary.inputs`."""
+    """Rows of inputs of distinct words; row 0 is padding. own: as in `Vocabulary.inputs`, none where texts are scored."""
 
     def __init__(self, vocabulary: Vocabulary, own: int | None = None):
         self.vocabulary, self.own, self.rows = vocabulary, own, {}
@@ -205,6 +207,12 @@ class Words:
                 self.grams.append(grams)
         return np.fromiter((rows[w] for w in words), dtype=np.int64, count=len(words))
 
+    def add(self, whole: tuple[int, int, int, float] | None, grams: list[int], told: list[float]) -> None:
+        """A row of a word as the vocabulary knows it, with all documents."""
+        self.odds.append(inputs_of(told, whole[3] if whole else 0.0))
+        self.word.append(whole[0] if whole else 0)
+        self.grams.append(grams)
+
     def matrix(self, net: Network, start: int = 0) -> np.ndarray:
         """[rows from start on, inputs]."""
         grams = self.grams[start:]
@@ -294,35 +302,66 @@ def _inputs(x: np.ndarray, word: np.ndarray, grams: list[list[int]], net: Networ
 
 
 class Scorer:
-    """Scores texts; a distinct word's share of the gates is made once."""
+    """Scores texts; a distinct word's share of the gates is made once, its n-grams being found
+    for many words in one scan."""
 
     def __init__(self, model: tuple[Vocabulary, Network]):
+        import ahocorasick
+
         self.vocabulary, self.net = model
+        self.grams = ahocorasick.Automaton()
+        for gram, (number, _, _, odds) in self.vocabulary.grams.items():
+            self.grams.add_word(gram, (number, odds))
+        self.grams.make_automaton()
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.known = Words(self.vocabulary), 1
+        # Row 0 is padding. Written words, with what stands at their edges, know the row of their word.
+        self.rows: dict[str, int] = {}
+        self.written: dict[str, int] = {}
         self.gates = np.zeros((1 << 12, 6 * HIDDEN), np.float32)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        found = self.words.numbers(words)
-        n = len(self.words.odds)
-        if n > self.known:
-            if n > len(self.gates):
-                self.gates = np.concatenate((self.gates, np.zeros((max(n, 2 * len(self.gates)) - len(self.gates), 6 * HIDDEN), np.float32)))
-            self.gates[self.known : n] = self.net.gates(self.words.matrix(self.net, self.known))
-            self.known = n
-        return found
+    def _learn(self, fresh: list[str]) -> None:
+        """Rows for written words that are new."""
+        new = [w for w in dict.fromkeys(x.strip(EDGES) for x in fresh) if w not in self.rows]
+        first = 1 + len(self.rows)
+        self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        self.written.update((x, self.rows[x.strip(EDGES)]) for x in fresh)
+        if not new:
+            return
+        inputs = Words(self.vocabulary)
+        line, ends = "".join(f"^{w}$\n" for w in new), np.cumsum([len(w) + 3 for w in new])
+        found: list[dict[int, float]] = [{} for _ in new]
+        # Words hold no line ends, so that no n-gram goes from one to the next.
+        hits = list(self.grams.iter(line)) if len(self.grams) else []
+        for k, (_, (number, odds)) in zip(np.searchsorted(ends, [e for e, _ in hits], "right").tolist(), hits, strict=True):
+            found[k][number] = odds
+        for w, parts in zip(new, found, strict=True):
+            inputs.add(self.vocabulary.words.get(w), list(parts), list(parts.values()))
+        if first + len(new) > len(self.gates):
+            more = max(first + len(new), 2 * len(self.gates)) - len(self.gates)
+            self.gates = np.concatenate((self.gates, np.zeros((more, 6 * HIDDEN), np.float32)))
+        self.gates[first : first + len(new)] = self.net.gates(inputs.matrix(self.net, 1))
+
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Rows of the written words of some texts."""
+        known = self.written
+        fresh = [w for w in set().union(*texts) if w not in known]
+        if fresh:
+            self._learn(sorted(fresh))
+        return [np.fromiter(map(known.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
 
     def logits(self, at: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.net.logits(self.gates[w], w > 0) for w in np.array_split(at, -(-len(at) // WINDOWS_AT_ONCE))])
+        # Words of one place in their windows lie together, as the passes go from place to place.
+        parts = np.array_split(at, -(-len(at) // WINDOWS_AT_ONCE))
+        return np.concatenate([self.net.logits(self.gates[w.T].transpose(1, 0, 2), w > 0) for w in parts])
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Scores of a batch of texts, whose windows are taken together."""
-        if len(self.words.odds) > CACHE:
+        if len(self.written) > CACHE:
             self.forget()
-        words = [words_of(t) for t in texts]
-        held = [windows(self.numbers(w)) for w in words]
+        words = [(t or "").lower().split() for t in texts]
+        held = [windows(n) for n in self.numbers(words)]
         if not held:
             return []
         found = self.logits(np.concatenate(held))
