@@ -62,7 +62,8 @@ def json_layers(text, least: int = RUN) -> Column:
         value = F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v")
         return F.when(x.contains("\\") & (F.length(value) >= least), value)
 
-    return _each(text, r'"(?:[^"\\]|\\.)*"', decoded)
+    # Possessive, so that Java's matcher loops over a long literal and does not recurse.
+    return _each(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', decoded)
 
 
 def fold_unicode(text) -> Column:

@@ -101,13 +101,16 @@ def tokens(text) -> Column:
 
 
 def token_runs(text, least: int = 24, most: int = 46) -> Column:
-    """Runs of whole words whose length is between the bounds: matched exactly when short."""
+    """Runs of whole words whose length is between the bounds: matched exactly when short.
+
+    A run of `most` characters has one word for every two of them at most.
+    """
     word = r"[\p{L}\p{N}_.-]+"
     words = F.regexp_extract_all(text, F.lit(word), F.lit(0))
     joined = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))),
         lambda i: F.transform(
-            F.sequence(F.lit(1), F.lit(8)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")
+            F.sequence(F.lit(1), F.lit((most + 1) // 2)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")
         ),
     )
     return F.array_distinct(F.filter(F.flatten(joined), lambda t: F.length(t).between(least, most)))

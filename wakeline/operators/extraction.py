@@ -191,4 +191,6 @@ def shell_accesses(found: DataFrame, keys: list[str] | None = None, order: str |
     )
     if keys:
         calls = calls.repartition(*keys).sortWithinPartitions(*keys, *([order] if order else []))
+        # As text, since pandas would make floats of long keys beside a null; it keeps the order.
+        calls = calls.withColumns({k: F.col(k).cast("string") for k in keys})
     return calls.mapInPandas(go, "call string, step int, op string, kind string, target string")
