@@ -452,22 +452,21 @@ SELECT o_orderkey AS span, coalesce(hits, 0) AS hits, first_hit, CASE WHEN o_cus
 
 
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches asked for by id, not already explained, with origin and reader bodies."""
-    turns = table(spark, sf_dir, "conversations").where("turn < 2")
-    bodies = turns.where("conv_id % 4 > 0").selectExpr("conv_id * 2 + turn AS message", "text AS body")
-    found = turns.where("turn = 1").selectExpr("conv_id AS match", "conv_id * 2 AS origin", "conv_id * 2 + 1 AS reader_message")
-    spans = turns.where("turn = 0").selectExpr("conv_id * 2 AS span", "conv_id * 2 AS message")
-    asked = paging.by_ids(found, spark.range(0, 10_000_000, 3).where("id < 3000").selectExpr("id AS match"), "match")
+    """Matches asked for by id, not already explained, with origin and reader bodies: every turn reads the one before it."""
+    turns = table(spark, sf_dir, "conversations").withColumn("message", F.expr("conv_id * 1000 + turn"))
+    bodies = turns.where("conv_id % 4 > 0").selectExpr("message", "text AS body")
+    found = turns.where("turn > 0").selectExpr("message AS match", "message - 1 AS origin", "message AS reader_message")
+    asked = paging.by_ids(found, turns.where("message % 3 = 0").selectExpr("message AS match"), "match")
     left = provenance.unmatched(asked, found.where("match % 5 = 0"), ["match"])
+    spans = turns.selectExpr("message AS span", "message")
     return flow.evidence(left, spans, bodies).select("match", F.md5("origin_body").alias("origin_md5"), F.md5("reader_body").alias("reader_md5"), "origin_dropped", "reader_dropped")
 
 
 EVIDENCE_ROWS = """
-WITH b AS (SELECT conv_id * 2 + turn AS message, text FROM conversations WHERE turn < 2 AND conv_id % 4 > 0),
-m AS (SELECT conv_id AS match FROM conversations WHERE turn = 1 AND conv_id % 3 = 0 AND conv_id < 3000 AND conv_id % 5 <> 0),
-o AS (SELECT conv_id FROM conversations WHERE turn = 0)
+WITH t AS (SELECT *, conv_id * 1000 + turn AS m FROM conversations),
+b AS (SELECT m, text FROM t WHERE conv_id % 4 > 0), q AS (SELECT m AS match FROM t WHERE turn > 0 AND m % 3 = 0 AND m % 5 <> 0)
 SELECT match, md5(x.text) AS origin_md5, md5(y.text) AS reader_md5, x.text IS NULL AS origin_dropped, y.text IS NULL AS reader_dropped
-FROM m LEFT JOIN o ON o.conv_id = match LEFT JOIN b x ON x.message = o.conv_id * 2 LEFT JOIN b y ON y.message = match * 2 + 1"""
+FROM q LEFT JOIN t o ON o.m = match - 1 LEFT JOIN b x ON x.m = o.m LEFT JOIN b y ON y.m = match"""
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -509,9 +508,9 @@ WITH {CONTRIBUTIONS} SELECT "from", "to", sum(bytes)::BIGINT AS bytes FROM contr
 def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes once each on some subjects, their bodies by content, failures, retries and dead letters."""
     e = table(spark, sf_dir, "events").selectExpr("event_id DIV 2 AS id", "event_type AS subject", "unix_micros(cast(ts AS timestamp)) AS at", "user_id % 5 AS group", "props AS body")
-    once = logs.deduplicated(logs.subscribed(e, ["error", "click"]).where("id % 2 = 0").select("id", "subject").distinct(), "id")
+    once = logs.deduplicated(logs.subscribed(e, ["error", "click"]).select("id", "subject").distinct(), "id")
     retry, dead = logs.attempts(e.where("subject = 'error'").selectExpr("concat('g', group) AS group", "id % 400 AS id", "at", "concat('r', at % 7) AS reason"), 3)
-    again = logs.replay(e.selectExpr("id", "body").where("id < 400"), dead)
+    again = logs.replay(e.selectExpr("id % 400 AS id", "body"), dead)
     blobs = logs.put_blobs(again)
     held = logs.get_blobs(again.select(F.sha2("body", 256).alias("hash")).distinct(), blobs.where("body NOT LIKE '%9%'"))
     count = lambda df, what, value=F.count("*"): df.agg(F.lit(what).alias("what"), value.alias("n"))
@@ -525,32 +524,39 @@ def delivery_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 DELIVERY_LOG = """
 WITH e AS (SELECT event_id // 2 AS id, event_type AS subject, epoch_us(ts) AS seen, user_id % 5 AS g, props AS body FROM events),
 n AS (SELECT g, id % 400 AS id, count(*) AS attempts, max(seen) AS last_at FROM e WHERE subject = 'error' GROUP BY ALL),
-again AS (SELECT body FROM e WHERE id < 400 AND id IN (SELECT id FROM n WHERE attempts >= 3)), b AS (SELECT DISTINCT body FROM again)
-SELECT 'once' AS what, count(DISTINCT id) AS n FROM e WHERE subject IN ('error', 'click') AND id % 2 = 0
+again AS (SELECT body FROM e WHERE id % 400 IN (SELECT id FROM n WHERE attempts >= 3)), b AS (SELECT DISTINCT body FROM again)
+SELECT 'once' AS what, count(DISTINCT id) AS n FROM e WHERE subject IN ('error', 'click')
 UNION ALL SELECT 'retry', (count(*) + sum((last_at + (1 << (attempts - 1)) * 1000000) % 1000003))::BIGINT FROM n WHERE attempts < 3
 UNION ALL SELECT 'dead', sum(attempts)::BIGINT FROM n WHERE attempts >= 3 UNION ALL SELECT 'again', count(*) FROM again
 UNION ALL SELECT 'held', count(*) FROM b WHERE body NOT LIKE '%9%' UNION ALL SELECT 'dropped', count(*) FROM b WHERE body LIKE '%9%'"""
 
 
 def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts, titles, folded keys, id prefixes, times and deadlines."""
-    d = table(spark, sf_dir, "documents").where("length(text) >= 40")
+    """Excerpts around the middle third, titles, folded keys, id prefixes, times and deadlines."""
+    d = table(spark, sf_dir, "documents")
     title = F.concat(F.lit("  "), F.lower(F.substring("text", 1, 12)), F.lit("_x  "))
-    cut = text.excerpt("text", F.lit(20), F.lit(30), 8)
+    cut = text.excerpt("text", F.expr("octet_length(text) DIV 3").cast("int"), F.expr("octet_length(text) * 2 DIV 3").cast("int"), 8)
     at = F.timestamp_micros(F.col("doc_id") * 1_000_001)
-    return d.where("text NOT RLIKE '[^\\\\x20-\\\\x7E]' AND text RLIKE '^[A-Za-z]'").select(
-        "doc_id", cut["text"].alias("excerpt"), cut["elided_before"].cast("long").alias("before"), cut["elided_after"].cast("long").alias("after"),
+    return d.select(
+        "doc_id", F.md5(cut["text"]).alias("excerpt"), cut["elided_before"].cast("long").alias("before"), cut["elided_after"].cast("long").alias("after"),
         text.wiki_title(title).alias("title"), text.folded_key(title).alias("key"), text.id_prefix(F.concat(F.lit("Doc-"), "doc_id"), "doc-1").alias("prefixed"),
         times.rfc3339(at).alias("at"), times.deadline("doc_id", 10, 5).alias("deadline"), urls.host(F.concat(F.lit("HTTPS://H"), "doc_id", F.lit("/a"))).alias("host"),
     )
 
 
+# Bytes of a text are pairs of hex digits; those from 80 to BF go on with a character.
 TEXT_PARTS = r"""
-SELECT doc_id, substr(text, 13, 26) AS excerpt, 12::BIGINT AS before, (length(text) - 38)::BIGINT AS after,
-  upper(substr(t, 1, 1)) || substr(t, 2) AS title, lower(trim(raw)) AS key, doc_id::VARCHAR LIKE '1%' AS prefixed,
+WITH d AS (
+  SELECT doc_id, text, hex(encode(text)) AS h, strlen(text) AS n, greatest(0, strlen(text) // 3 - 8) AS lo, least(strlen(text), strlen(text) * 2 // 3 + 8) AS hi,
+    '  ' || lower(substr(text, 1, 12)) || '_x  ' AS raw FROM documents),
+c AS (
+  SELECT *, list_filter(range(0, 4), lambda k: lo - k <= 0 OR substr(h, 2 * (lo - k) + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] AS back,
+    list_filter(range(0, 4), lambda k: hi + k >= n OR substr(h, 2 * (hi + k) + 1, 1) NOT IN ('8', '9', 'A', 'B'))[1] AS more,
+    trim(regexp_replace(raw, '[\s\x0B_]+', ' ', 'g')) AS t FROM d)
+SELECT doc_id, md5(decode(unhex(substr(h, 2 * (lo - back) + 1, 2 * (hi + more - lo + back))))) AS excerpt, lo - back AS before, n - hi - more AS after,
+  replace(upper(substr(t, 1, 1)), 'ẞ', 'SS') || substr(t, 2) AS title, lower(trim(raw)) AS key, doc_id::VARCHAR LIKE '1%' AS prefixed,
   strftime(make_timestamp(doc_id * 1000001), '%Y-%m-%dT%H:%M:%S.%fZ') AS at, doc_id + 15 AS deadline, 'h' || doc_id AS host
-FROM (SELECT *, trim(regexp_replace(raw, '[\s_]+', ' ', 'g')) AS t FROM (SELECT *, '  ' || lower(substr(text, 1, 12)) || '_x  ' AS raw FROM documents))
-WHERE length(text) >= 40 AND NOT regexp_matches(text, '[^\x20-\x7E]') AND regexp_matches(text, '^[A-Za-z]')"""
+FROM c"""
 
 
 NAMES = (
