@@ -109,6 +109,15 @@ def test_relational_alignment_of_lists(spark):
         assert list(zip(out[k]["link_a"], out[k]["link_b"], strict=True)) == links
 
 
+def test_texts_are_split_into_units():
+    both = align.Tokenizers(*align.paths())
+    assert both.splits and both.units("a b  c\n d▁ e") == [" a", " b", "  c\n d▁ e"]
+    for text in ODD:
+        whole, (a, b, _) = tokens(text), both.encode(both.units(text))
+        if whole[0]:
+            assert [i for x in a for i in x.tolist()] == [i for i, _ in whole[0]] and [i for y in b for i in y] == [i for i, _ in whole[1]]
+
+
 def test_edges(spark):
     assert got(frame(spark)) == brute([(r[0], r[1]) for r in rows()])
     assert got(empty(spark)) == []

@@ -43,8 +43,9 @@ from .token_files import Encoder, byte_letters
 
 CHUNK_BYTES = 8 << 20
 SPACE = "▁"
-#: Before each space that follows neither white space nor the piece vocabulary's own space.
-SPLIT = re.compile(rf"(?<=[^\s{SPACE}])(?= )")
+#: Before each space that follows neither white space nor the piece vocabulary's own space; one
+#: that ends the text is no unit of its own, as the piece model would put nothing for it.
+SPLIT = re.compile(rf"(?<=[^\s{SPACE}])(?= .)", re.DOTALL)
 HEX = re.compile(r"<0x([0-9A-F]{2})>")
 #: Units tokenized at a time.
 UNITS = 1 << 15
@@ -72,7 +73,7 @@ class Tokenizers:
             self.bytes_a[i] = bytes(letters[ord(c)] for c in piece) if all(ord(c) in letters for c in piece) else piece.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := HEX.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
-        self.splits = splits_safely(self.b, pieces)
+        self.splits = splits_safely(self.b, pieces, self.bytes_b)
 
     def units(self, text: str) -> list[str]:
         return SPLIT.split(f" {text}") if self.splits else [f" {text}"]
@@ -86,11 +87,11 @@ class Tokenizers:
         return a, b, np.array(same, dtype=bool)
 
 
-def splits_safely(model, pieces: list[str]) -> bool:
+def splits_safely(model, pieces: list[str], bytes_of: list[bytes]) -> bool:
     """Whether no piece goes on over a space and the model changes no character before it splits."""
     probe = "x ﬁ ½ 　 é  ① y"
-    told = "".join(pieces[i] for i in model.encode(probe))
-    return not any(SPACE in p.lstrip(SPACE) for p in pieces) and told == SPACE + probe.replace(" ", SPACE)
+    told = b"".join(bytes_of[i] for i in model.encode(probe))
+    return not any(SPACE in p.lstrip(SPACE) for p in pieces) and told == f" {probe}".encode()
 
 
 def worker_tokenizers(path_a: str, path_b: str) -> Tokenizers:
