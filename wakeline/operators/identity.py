@@ -120,7 +120,8 @@ def prefixes(rows: DataFrame, key: str) -> DataFrame:
     modulo 2 (exclusive or) of the digests of each message with its place.
 
     A running sum takes as many steps as a history has messages; chaining digests in an
-    array would copy the array at each. Histories differ in 128 bits unless they are equal.
+    array would copy the array at each. Equal histories have equal hashes; that different ones
+    differ rests on 128 bits and is not verified by their texts.
     """
     each = rows.select(key, F.size("history").alias("size"), F.posexplode("history").alias("i", "m"))
     before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)

@@ -43,10 +43,17 @@ def fit(rows: DataFrame, k: int, seed: int = 0, least: int = 10, floor: float =
     return middle, assign(members.select("id", "vector"), middle, floor)
 
 
+def few(topics: DataFrame) -> DataFrame:
+    """Topics that may go to every task: counted, and refused beyond the bound."""
+    if not topics.isStreaming and topics.limit(MAX_TOPICS + 1).count() > MAX_TOPICS:
+        raise ValueError(f"at most {MAX_TOPICS} topics")
+    return topics
+
+
 def assign(rows: DataFrame, topics: DataFrame, floor: float = FLOOR) -> DataFrame:
     """(id, topic, similarity): the nearest centroid, ties to the least topic; null below the floor."""
     # One row of all centroids, at most MAX_TOPICS: the best is found within each row, without a shuffle.
-    known = topics.agg(F.collect_list(F.struct("topic", "centroid")).alias("_t"))
+    known = few(topics).agg(F.collect_list(F.struct("topic", "centroid")).alias("_t"))
     near = F.transform("_t", lambda t: F.struct(cosine(F.col("vector"), t["centroid"]).alias("similarity"), (-t["topic"]).alias("back")))
     best = rows.crossJoin(F.broadcast(known)).select("id", F.array_max(near).alias("b")).where("b IS NOT NULL")
     return best.select("id", F.when(F.col("b.similarity") >= floor, -F.col("b.back")).alias("topic"), "b.similarity")
@@ -64,7 +71,7 @@ def lineage(old: DataFrame, new: DataFrame, floor: float = FLOOR, others: int =
 
     Both sides are centroids of one version, at most MAX_TOPICS, so the smaller goes to every task.
     """
-    o = old.select(F.col("topic").alias("old"), F.col("centroid").alias("_o"))
+    o = few(old).select(F.col("topic").alias("old"), F.col("centroid").alias("_o"))
     pairs = new.select(F.col("topic").alias("new"), "centroid").crossJoin(F.broadcast(o)).select("new", "old", cosine("centroid", "_o").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("new").orderBy(F.desc("similarity"), "old"))
     return pairs.withColumn("rank", rank).where((F.col("rank") == 1) | ((F.col("similarity") >= floor) & (F.col("rank") <= others)))
