@@ -35,25 +35,31 @@ def deciding(evidence: DataFrame) -> DataFrame:
     )
 
 
-def holders(evidence: DataFrame, agent_evidence: DataFrame) -> DataFrame:
-    """Agents that hold an exchange's deciding evidence.
-
-    A session only points to agents without any harness-agent evidence.
-    """
+def _open(agent_evidence: DataFrame) -> DataFrame:
+    """Held evidence that counts: a session only points to agents without any harness-agent evidence."""
     known = agent_evidence.select("agent", "kind", "value")
     named = known.where("kind = 'harness_agent'").select("agent").distinct()
-    open_ = known.where("kind <> 'harness_session'").unionByName(known.where("kind = 'harness_session'").join(named, "agent", "left_anti"))
-    return deciding(evidence).join(open_, ["kind", "value"]).select("exchange", "agent", "kind").distinct()
+    return known.where("kind <> 'harness_session'").unionByName(known.where("kind = 'harness_session'").join(named, "agent", "left_anti"))
+
+
+def holders(evidence: DataFrame, agent_evidence: DataFrame) -> DataFrame:
+    """Agents that hold an exchange's deciding evidence."""
+    return deciding(evidence).join(_open(agent_evidence), ["kind", "value"]).select("exchange", "agent", "kind").distinct()
 
 
 def resolution(evidence: DataFrame, agent_evidence: DataFrame) -> DataFrame:
-    """Per exchange: new, known, merge (two or more by strong evidence) or review (by weak)."""
-    held = holders(evidence, agent_evidence).groupBy("exchange").agg(
-        F.count_distinct("agent").alias("n"), F.min("agent").alias("agent"), F.max(F.col("kind").isin(*STRONG)).alias("strong")
+    """Per exchange: new, known, merge (two or more by strong evidence) or review (by weak).
+
+    Whether there are none, one or more holders shows from the least and the greatest, so each
+    item brings these two, however many agents hold it.
+    """
+    ends = _open(agent_evidence).groupBy("kind", "value").agg(F.min("agent").alias("least"), F.max("agent").alias("most")).where("least IS NOT NULL")
+    held = deciding(evidence).join(ends, ["kind", "value"]).groupBy("exchange").agg(
+        F.min("least").alias("agent"), F.max("most").alias("most"), F.max(F.col("kind").isin(*STRONG)).alias("strong")
     )
     outcome = (
-        F.when(F.coalesce("n", F.lit(0)) == 0, "new")
-        .when(F.col("n") == 1, "known")
+        F.when(F.col("agent").isNull(), "new")
+        .when(F.col("agent") == F.col("most"), "known")
         .when(F.col("strong"), "merge")
         .otherwise("review")
     )
