@@ -159,8 +159,14 @@ def stepped(action: str, state: str | None, value: str | None) -> tuple[str, str
 
 
 def _connected(log: DataFrame) -> DataFrame:
-    """(agent, root) of agents that merges connect; a lone agent is its own root."""
-    pairs = log.where("action = 'merge_agents' AND subject IS NOT NULL AND value IS NOT NULL").select("subject", "value")
+    """(agent, root) of agents that merges connect; a lone agent is its own root.
+
+    An unmerge may name any agent, so its own is connected to those of the merge that it reverts.
+    """
+    merges = log.where("action = 'merge_agents' AND subject IS NOT NULL AND value IS NOT NULL")
+    reverts = log.where("action = 'unmerge' AND subject IS NOT NULL").select("subject", F.col("value").alias("_merge"))
+    of_merge = merges.select(F.col("seq").cast("string").alias("_merge"), F.col("subject").alias("value"))
+    pairs = merges.select("subject", "value").unionByName(reverts.join(of_merge, "_merge").select("subject", "value"))
     names = pairs.select(F.explode(F.array("subject", "value")).alias("agent")).distinct()
     # Components need numbers: an agent's is a digest, whose 60 bits only decide who is folded together.
     number = lambda c: F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
