@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -75,12 +78,98 @@ def rolling_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return (out >> np.uint64(4)).astype(np.int64)
 
 
+#: The sines and turns of MD5, and grams digested at once: a few arrays of them stay in a core's cache.
+SINES = [np.uint32(int(abs(math.sin(i + 1)) * (1 << 32))) for i in range(64)]
+TURNS = ([7, 12, 17, 22] * 4, [5, 9, 14, 20] * 4, [4, 11, 16, 23] * 4, [6, 10, 15, 21] * 4)
+PLACES = ([i for i in range(16)], [(5 * i + 1) % 16 for i in range(16)], [(3 * i + 5) % 16 for i in range(16)], [7 * i % 16 for i in range(16)])
+CHUNK = 1 << 13
+#: Bytes of a message that fit in one block of MD5.
+ONE_BLOCK = 55
+
+
+def _md5_start(words: list[np.ndarray | np.uint32]) -> np.ndarray:
+    """First 60 bits of the MD5 of messages of one block, each of whose 16 words is an array over them all, or one for all."""
+    size = len(words[0])
+    first = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(size, x, np.uint32) for x in first)
+    f, t = np.empty(size, np.uint32), np.empty(size, np.uint32)
+    with np.errstate(over="ignore"):
+        for i in range(64):
+            turn, at = TURNS[i // 16][i % 16], PLACES[i // 16][i % 16]
+            if i < 16:
+                np.bitwise_xor(c, d, out=f)
+                np.bitwise_and(f, b, out=f)
+                np.bitwise_xor(f, d, out=f)
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_and(f, d, out=f)
+                np.bitwise_xor(f, c, out=f)
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f)
+                np.bitwise_xor(f, d, out=f)
+            else:
+                np.bitwise_not(d, out=f)
+                np.bitwise_or(f, b, out=f)
+                np.bitwise_xor(f, c, out=f)
+            f += a
+            word = words[at]
+            if isinstance(word, np.ndarray):
+                f += word
+                f += SINES[i]
+            else:
+                f += SINES[i] + word
+            np.right_shift(f, 32 - turn, out=t)
+            np.left_shift(f, turn, out=f)
+            f |= t
+            f += b
+            a, b, c, d, f = d, f, b, c, a
+        high, low = (a + first[0]).byteswap().astype(np.uint64), (b + first[1]).byteswap().astype(np.uint64)
+    return ((high << np.uint64(32) | low) >> np.uint64(4)).astype(np.int64)
+
+
 def portable_hashes(text: str, places, width: int) -> np.ndarray:
-    """`portable_hash` of the grams that start at the places."""
-    from hashlib import md5
+    """`portable_hash` of the grams that start at the places.
 
-    raw = [md5(text[i : i + width].encode("utf-8", "surrogatepass")).digest()[:8] for i in places]
-    return (np.frombuffer(b"".join(raw), dtype=">u8") >> np.uint64(4)).astype(np.int64)
+    Grams of up to 55 bytes, a block of MD5, are digested many at a time; the others one by one.
+    """
+    places = np.asarray(places, dtype=np.int64)
+    out = np.empty(len(places), dtype=np.int64)
+    if not len(places):
+        return out
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    # Where each character starts, by bytes.
+    starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    begin = starts[places]
+    size = starts[np.minimum(places + width, len(starts) - 1)] - begin
+    padded = np.append(raw, np.zeros(64, np.uint8)).astype(np.uint32)
+    four = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)
+    zero = np.uint32(0)
+    # By bytes that a word still has: what of it counts, and the mark after the message.
+    kept = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
+    mark = np.array([0x80, 0x8000, 0x800000, 0x80000000, 0], dtype=np.uint32)
+    short = np.flatnonzero(size <= ONE_BLOCK)
+    for one in np.array_split(short, -(-len(short) // CHUNK)) if len(short) else []:
+        at, n = begin[one], size[one]
+        words: list[np.ndarray | np.uint32] = []
+        least, most = int(n.min()), int(n.max())
+        together = at[-1] - at[0] == len(at) - 1
+        for j in range(14):
+            if 4 * j + 4 <= least:
+                words.append(four[at[0] + 4 * j : at[-1] + 4 * j + 1] if together else four[at + 4 * j])
+            elif 4 * j > most:
+                words.append(zero)
+            else:
+                left = n - 4 * j
+                rest = np.clip(left, 0, 4)
+                words.append(four[np.minimum(at + 4 * j, len(four) - 1)] & kept[rest] | np.where(left < 0, zero, mark[rest]))
+        words += [(n * 8).astype(np.uint32), zero]
+        if not isinstance(words[0], np.ndarray):
+            words[0] = np.full(len(one), words[0], np.uint32)
+        out[one] = _md5_start(words)
+    for i in np.flatnonzero(size > ONE_BLOCK):
+        digest = hashlib.md5(raw[begin[i] : begin[i] + size[i]].tobytes()).digest()
+        out[i] = int.from_bytes(digest[:8], "big") >> 4
+    return out
 
 
 def winnow_places(hashes: np.ndarray, window: int) -> np.ndarray:
