@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Inputs up to this size are shuffled once to use all cores.
-SPREAD_BYTES = 1 << 29
+#: Input that a task gets at most, where rows are dealt out evenly.
+SPREAD_BYTES = 1 << 25
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +34,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Before costly work on each row: deal a small input to all cores, as its file may be
-    a single row group. A large one has enough tasks and is left where it is."""
+    """Before costly work on each row: deal the input to all cores, as a file of any size may
+    be a single row group, which is one task however it is split."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(max(tasks, int(str(size)) // SPREAD_BYTES), 100 * tasks))
 
 
 #: One short row each: what operators enter, or a batch of ids.
