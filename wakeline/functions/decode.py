@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -89,8 +89,11 @@ def _yaml_scalar(text: str) -> str | None:
     widths = {"x": 2, "u": 4, "U": 8}
     while at < len(text):
         if text[at] != "\\":
-            out.append(text[at])
-            at += 1
+            # What lies between two escapes is one piece, as a list of characters is many times a text's size.
+            stop = text.find("\\", at)
+            stop = len(text) if stop < 0 else stop
+            out.append(text[at:stop])
+            at = stop
             continue
         code = text[at + 1 : at + 2]
         if code in YAML:
@@ -109,11 +112,21 @@ def _yaml_scalar(text: str) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def yaml_unescape(scalars: pd.Series) -> pd.Series:
-    """Content of YAML double-quoted scalars, quotes left off; null if malformed."""
+def _yaml_unescaped(scalars: pd.Series) -> pd.Series:
     return scalars.map(lambda t: None if t is None else _yaml_scalar(t))
 
 
+def yaml_unescape(scalars) -> Column:
+    """Content of YAML double-quoted scalars, quotes left off; null if malformed.
+
+    Long texts: Arrow batches are kept small, so that a Python worker holds few at once.
+    """
+    conf = SparkSession.active().conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return _yaml_unescaped(scalars)
+
+
 STRING_CODECS = ("json",)
 
 
