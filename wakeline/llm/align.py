@@ -47,8 +47,10 @@ SPACE = "▁"
 #: that ends the text is no unit of its own, as the piece model would put nothing for it.
 SPLIT = re.compile(rf"(?<=[^\s{SPACE}])(?= .)", re.DOTALL)
 HEX = re.compile(r"<0x([0-9A-F]{2})>")
+#: Pieces that a worker remembers: it keeps its tokenizers, so these add to all that later tasks take.
+PIECES_HELD = 1 << 18
 #: Units tokenized at a time.
-UNITS = 1 << 15
+UNITS = 1 << 12
 #: Pairs of document and unit looked at together.
 SLICE = 1 << 20
 
@@ -65,7 +67,7 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
 
-        self.a, self.b = Encoder(path_a, plain=True), SentencePieceProcessor(model_file=path_b)
+        self.a, self.b = Encoder(path_a, plain=True, cache=PIECES_HELD), SentencePieceProcessor(model_file=path_b)
         letters = {letter: byte for byte, letter in byte_letters().items()}
         vocabulary = self.a.tokenizer.get_vocab()
         self.bytes_a = [b""] * (1 + max(vocabulary.values()))
@@ -78,13 +80,27 @@ class Tokenizers:
     def units(self, text: str) -> list[str]:
         return SPLIT.split(f" {text}") if self.splits else [f" {text}"]
 
-    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[list[int]], np.ndarray]:
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """Ids of both, and whether both give the unit's bytes back; units start with a space."""
-        a = [np.frombuffer(self.a.encode(u), dtype=f"<u{self.a.width}") for u in units]
-        b = self.b.encode([u[1:] for u in units], num_threads=1)
-        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        same = [b"".join(map(of_a, x)) == (raw := u.encode()) == b"".join(map(of_b, y)) for u, x, y in zip(units, a, b, strict=True)]
-        return a, b, np.array(same, dtype=bool)
+        n_a, n_b, ids_a, ids_b, same = self.flat(units)
+        return np.split(ids_a, np.cumsum(n_a)[:-1]), np.split(ids_b, np.cumsum(n_b)[:-1]), same
+
+    def flat(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """The same as numbers of ids of each unit and all ids end to end: n_a, n_b, ids_a, ids_b, same."""
+        a, b = list(map(self.a.encode, units)), self.b.encode([u[1:] for u in units], num_threads=1)
+        n_a = np.fromiter(map(len, a), dtype=np.int64, count=len(a)) // self.a.width
+        n_b = np.fromiter(map(len, b), dtype=np.int64, count=len(b))
+        ids_a = np.frombuffer(b"".join(a), dtype=f"<u{self.a.width}").astype(np.int32)
+        ids_b = np.fromiter(chain.from_iterable(b), dtype=np.int32, count=n_b.sum())
+        raw = [u.encode() for u in units]
+        ends, whole = np.cumsum([len(x) for x in raw]), b"".join(raw)
+        told = [list(map(of.__getitem__, ids.tolist())) for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
+        cuts = [np.cumsum([0, *map(len, x)])[np.cumsum(n)] for x, n in zip(told, (n_a, n_b), strict=True)]
+        if all(b"".join(x) == whole and np.array_equal(cut, ends) for x, cut in zip(told, cuts, strict=True)):
+            return n_a, n_b, ids_a, ids_b, np.ones(len(units), dtype=bool)
+        side = lambda x, n: [b"".join(x[e - k : e]) for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+        sides = (side(x, n) for x, n in zip(told, (n_a, n_b), strict=True))
+        return n_a, n_b, ids_a, ids_b, np.array([x == y == z for x, y, z in zip(raw, *sides, strict=True)], dtype=bool)
 
 
 def splits_safely(model, pieces: list[str], bytes_of: list[bytes]) -> bool:
@@ -126,16 +142,9 @@ CHUNK_TYPE = pa.schema(
 )
 
 
-def _ids(both: Tokenizers, units: list[str]) -> tuple[np.ndarray, ...]:
-    a, b, sound = both.encode(units)
-    n_a, n_b = (np.array([len(x) for x in y], dtype=np.int64) for y in (a, b))
-    ids_a = np.concatenate([np.zeros(0, np.int32), *a]).astype(np.int32)
-    return n_a, n_b, ids_a, np.fromiter(chain.from_iterable(b), dtype=np.int32, count=n_b.sum()), sound
-
-
 def _chunk(number: int, doc_ids: list, sizes: list[int], order: array, units: list[str], both: Tokenizers) -> pa.RecordBatch:
     # Units some at a time, as libraries' results take many times the room of ids.
-    told = [_ids(both, units[k : k + UNITS]) for k in range(0, max(1, len(units)), UNITS)]
+    told = [both.flat(units[k : k + UNITS]) for k in range(0, max(1, len(units)), UNITS)]
     n_a, n_b, ids_a, ids_b, sound = (np.concatenate(x) for x in zip(*told, strict=True))
     long_a, long_b = np.array([len(x) for x in both.bytes_a]), np.array([len(x) for x in both.bytes_b])
     len_a, len_b = long_a[ids_a].astype("<i4").tobytes(), long_b[ids_b].astype("<i4").tobytes()

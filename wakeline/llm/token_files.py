@@ -70,9 +70,17 @@ class Pieces(dict):
     """Ids of pieces of text, each asked of the tokenizer's model once and remembered."""
 
     def __init__(self, tokenizer, raw):
-        self.model, self.raw, self.letters = tokenizer.model, raw, byte_letters()
+        self.model, self.raw, self.letters, self.old = tokenizer.model, raw, byte_letters(), {}
+
+    def age(self) -> None:
+        """Forget what was not asked for since the last time."""
+        self.old = dict(self)
+        self.clear()
 
     def __missing__(self, piece: str) -> bytes:
+        if (found := self.old.get(piece)) is not None:
+            self[piece] = found
+            return found
         ids = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         found = self[piece] = self.raw([x.id for x in ids])
         return found
@@ -80,9 +88,9 @@ class Pieces(dict):
 
 class Encoder:
     """Ids of texts as little-endian bytes, 2 or 4 per id as the vocabulary needs. Pieces
-    repeat, so theirs are remembered, until there are more than `CACHE` of them."""
+    repeat, so theirs are remembered, at most `cache` of them and those of one more text."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, cache: int = CACHE):
         """plain: added tokens' strings are ordinary text."""
         from tokenizers import Tokenizer
 
@@ -92,6 +100,7 @@ class Encoder:
         self.by_pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if not plain]
         self.added = re.compile("|".join(added) or r"(?!)")
+        self.cache = cache
         self.known = Pieces(self.tokenizer, self.raw)
 
     def raw(self, ids: list[int]) -> bytes:
@@ -102,8 +111,8 @@ class Encoder:
             return b""
         if not self.by_pieces or OTHER.search(text) or self.added.search(text):
             return self.raw(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if 2 * len(self.known) > self.cache:
+            self.known.age()
         return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
