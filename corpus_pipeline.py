@@ -27,6 +27,8 @@ from wakeline.llm.common import WORD, arrow_rows, new_path, table
 
 #: A prediction below this share of the odds counts as no prediction.
 LEAST_SCORE = 0.5
+#: Pieces of text whose ids a worker keeps; workers go on to other stages, and these with them.
+PIECES_HELD = 1 << 18
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,7 +82,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(docs)
+    return token_files.round_trip(docs, cache=PIECES_HELD)
 
 
 STAGES = [

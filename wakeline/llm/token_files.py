@@ -116,25 +116,25 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, PIECES.findall(text)))
 
 
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, cache: int = CACHE) -> Encoder:
     """The encoder of this Python worker: it and its pieces outlast a task."""
     import sys
     import types
 
     held = sys.modules.setdefault("_wakeline_encoder", types.ModuleType("_wakeline_encoder"))
-    if getattr(held, "path", None) != path:
-        held.path, held.encoder = path, Encoder(path)
+    if getattr(held, "made_for", None) != (path, cache):
+        held.made_for, held.encoder = (path, cache), Encoder(path, cache=cache)
     return held.encoder
 
 
-def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end_id: int = END_ID, cache: int = CACHE) -> DataFrame:
     """doc_id and its ids, end id included, as little-endian bytes of 2 or 4 per id."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        one = worker_encoder(path)
+        one = worker_encoder(path, cache)
         end = one.raw([end_id])
         for part in parts:
             ids = [one.encode(t) + end for t in part["text"]]
@@ -187,11 +187,11 @@ BLOCKS = "shard int, block int, start long, doc_ids array<long>, counts array<in
 
 
 def write(
-    docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, shard_ids: int = SHARD_IDS
+    docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, shard_ids: int = SHARD_IDS, cache: int = CACHE
 ) -> None:
     """Write docs (doc_id, text) as token files under `out`."""
     spark = docs.sparkSession
-    rows, temporary = staged(encoded(docs, path or tokenizer_path(), end_id), "token-ids")
+    rows, temporary = staged(encoded(docs, path or tokenizer_path(), end_id, cache), "token-ids")
     counted = count_ids(rows).orderBy(F.desc("n"), "id").collect()
     ranks = np.zeros(1 + max((r["id"] for r in counted), default=0), dtype=np.uint32)
     ranks[[r["id"] for r in counted]] = np.arange(len(counted), dtype=np.uint32)
@@ -262,8 +262,8 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     return rows.join(before, "shard").select("doc_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, out: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, out: str | None = None, cache: int = CACHE) -> DataFrame:
     spark = docs.sparkSession
     out = out or new_path(spark, "token-files")
-    write(docs, out)
+    write(docs, out, cache=cache)
     return read(spark, out)
