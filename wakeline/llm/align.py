@@ -38,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, staged
+from .common import arrow_rows
+from .common import staged as written
 from .token_files import Encoder, byte_letters
 
 CHUNK_BYTES = 8 << 20
@@ -188,6 +189,17 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, chunk_bytes: int = CHUNK_B
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK)
 
 
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Written and read back, and what was shuffled to write it is dropped at once: it is not read again."""
+    spark, name_of = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name_of, "false")
+    spark.conf.set(name_of, "true")
+    try:
+        return written(df, name)
+    finally:
+        spark.conf.set(name_of, before)
+
+
 def alignments(lists: DataFrame) -> DataFrame:
     """Groups and links of pairs of length lists (list, a, b): per list the group of every
     token of either side, in order, and the places of the linked tokens."""
