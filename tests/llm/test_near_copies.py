@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as P
 from wakeline.llm import near_copies as N
+from wakeline.llm import simhash
 
 from .cases import empty, frame, rows
 
@@ -73,6 +74,20 @@ def test_nodes_outside_the_pivots_component_are_compared(spark):
     assert len(set(root.values())) == 40 and got == root
 
 
+def test_prints_link_what_no_band_holds(spark):
+    # Alike to exactly 0.8; one shingle makes the print of both, and they share none of the 32 bands.
+    tail = "826371 202480 239021 631170 834824 567742 379393 820956 423013 777343 308957 711799 533219 217387 216065".split()
+    texts = [["z"] * 40 + [f"a{n}" for n in tail] + end for end in (["a371871", "a565368"], ["b871387", "b158767"])]
+    a, b = ([w.encode() for w in t] for t in texts)
+    keys = [set(N.band_keys(simhash.hashes_of(N.shingles_of(t))).tolist()) for t in (a, b)]
+    assert not keys[0] & keys[1] and N.alike(N.shingles_of(a), N.shingles_of(b))
+    # Of one print too, but unlike: the exact check refuses it.
+    other = ["z"] * 40 + [f"c{n}" for n in tail]
+    assert len({simhash.fingerprint(" ".join(t), N.SHINGLE) for t in (*texts, other)}) == 1
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((*texts, other), 1)], "doc_id long, text string")
+    assert {tuple(r) for r in N.near_copies(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
 def test_edges(spark):
     out = N.near_copies(frame(spark)).collect()
     assert len(out) == len(rows())

@@ -1,11 +1,12 @@
 """Near copies by similarity of word shingles, for the pipeline (stage of operator 4).
 
 Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of
-0.8 or more. SimHash prints of such texts differ in about 10 of 64 bits, more than keys for
-two errors reach, so that each text has several prints here: `BANDS` of `ROWS` least hashes
-(MinHash). A pair of similarity s shares a band with chance 1 - (1 - s^7)^32: 0.9995 at 0.8,
-more above. Every candidate is then verified on the words of both texts, so no link is
-invented, and links that are missed are those of the chance above alone.
+0.8 or more. Operator 4 comes first: texts whose SimHash prints (of five-word shingles) differ
+in two bits or fewer meet by its Golay keys. Prints of texts alike to just 0.8 differ in about
+10 of 64 bits, more than keys for two errors reach, so `BANDS` of `ROWS` least hashes (MinHash)
+add the candidates beyond. A pair of similarity s shares a band with chance 1 - (1 - s^7)^32:
+0.9995 at 0.8, more above. Every candidate of either kind is then verified on the words of both
+texts, so no link is invented, and only links missed by both are missed.
 
 Skew. Copies with equal words are one node. Of the nodes that share a band, all are first
 compared with one pivot, the node with the most company over all bands. Nodes that are then
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from wakeline.operators.components import components
 
+from . import simhash
 from .common import arrow_rows, as_longs, as_texts, checkpoint
 
 SHINGLE = 5
@@ -56,8 +58,13 @@ def node_of(words: list[bytes]) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def shingles_in(words: list[bytes]) -> list[bytes]:
+    """Shingles in order, repeats included."""
+    return [b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))] if words else []
+
+
 def shingles_of(words: list[bytes]) -> set[bytes]:
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+    return set(shingles_in(words))
 
 
 def alike(a: set[bytes], b: set[bytes]) -> bool:
@@ -65,10 +72,10 @@ def alike(a: set[bytes], b: set[bytes]) -> bool:
     return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
 
 
-def band_keys(shingles: set[bytes]) -> np.ndarray:
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a text, from the hashes of its shingles."""
     import xxhash
 
-    h = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64)
     least = np.full(ROWS * BANDS, (1 << 64) - 1, dtype=np.uint64)
     for at in range(0, len(h), 512):
         np.minimum(least, (FACTORS[:, None] * h[None, at : at + 512] + TERMS[:, None]).min(axis=1), out=least)
@@ -77,20 +84,22 @@ def band_keys(shingles: set[bytes]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node (of equal words), size (shingles) and band keys of every row."""
+    """doc_id, node (of equal words), size (shingles), SimHash print and band keys of every row."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
                 words = words_of(text)
-                shingles = shingles_of(words)
-                rows.append((doc_id, node_of(words), len(shingles), band_keys(shingles) if words else []))
-            yield pd.DataFrame(rows, columns=["doc_id", "node", "size", "keys"])
+                shingles = shingles_in(words)
+                h, n = simhash.hashes_of(shingles), len(set(shingles))
+                keys = band_keys(h if n == len(h) else np.unique(h)) if words else []
+                rows.append((doc_id, node_of(words), n, simhash.print_of([h]), keys))
+            yield pd.DataFrame(rows, columns=["doc_id", "node", "size", "fp", "keys"])
 
     arrow_rows(docs.sparkSession)
     rows = as_texts(docs.select("doc_id", "text"), "doc_id")
-    return as_longs(rows.mapInPandas(run, "doc_id string, node long, size int, keys array<long>"), "doc_id")
+    return as_longs(rows.mapInPandas(run, "doc_id string, node long, size int, fp long, keys array<long>"), "doc_id")
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -142,6 +151,15 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
 
 
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose prints operator 4 links; nodes of one print meet its least."""
+    worded = nodes.where("size > 0").select("fp", "node")
+    prints = checkpoint(worded.groupBy("fp").agg(F.min("node").alias("least")))
+    same = worded.join(prints, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    linked = simhash.links(prints.select("fp", F.col("least").alias("node")))
+    return same.where("a <> b").unionByName(linked.select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
@@ -203,7 +221,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the least doc_id reachable over near copies, of every row."""
     rows = checkpoint(signatures(docs))
     nodes = rows.where("doc_id IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys")
+        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")
     )
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -216,7 +234,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         .where(f"node <> pivot.node AND {_close('size', 'pivot.size')}")
         .select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
     )
-    edges = verified(checkpoint(_pairs(stars)), nodes, docs)
+    edges = verified(checkpoint(_pairs(print_pairs(nodes).unionByName(stars))), nodes, docs)
     near = components(edges)
     company = met.join(heaviest, "key").select(F.col("pivot.node").alias("pivot"), "node", "size").distinct()
     placed = company.join(near, "node", "left").select("pivot", "node", "size", F.coalesce("root", "node").alias("comp"))

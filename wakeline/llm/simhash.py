@@ -26,7 +26,7 @@ rows keep a row each; a null doc_id never names a component; other columns are n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -91,22 +91,29 @@ def fuzzy_keys(prints: np.ndarray, tables=None) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of a whole text."""
+def hashes_of(shingles: Iterable[bytes]) -> np.ndarray:
     import xxhash
 
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64)
+
+
+def print_of(parts: Iterable[np.ndarray]) -> int:
+    """Signed fingerprint of shingle hashes, given some at a time."""
+    n, set_ = 0, np.zeros(64, dtype=np.int64)
+    for h in parts:
+        n += len(h)
+        set_ += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_ > n).view(">i8")[0])
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of a whole text."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
-    set_ = np.zeros(64, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 15):
-        stop = min(n, at + (1 << 15))
-        shingles = [b" ".join(words[i : i + width]) for i in range(at, stop)]
-        h = np.array([digest(s, SEED) for s in shingles], dtype=">u8")
-        set_ += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_ > n).view(">i8")[0])
+    cuts = (range(at, min(n, at + (1 << 15))) for at in range(0, n, 1 << 15))
+    return print_of(hashes_of(b" ".join(words[i : i + width]) for i in cut) for cut in cuts)
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
