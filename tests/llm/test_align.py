@@ -3,6 +3,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,20 @@ def test_texts_are_split_into_units():
             assert [i for x in a for i in x.tolist()] == [i for i, _ in whole[0]] and [i for y in b for i in y] == [i for i, _ in whole[1]]
 
 
+def test_units_encoded_as_one_text():
+    both = align.Tokenizers(*align.paths())
+    units = list(dict.fromkeys(u for t in ODD if "▁" not in t for u in both.units(t))) * 5
+    raw = [u.encode() for u in units]
+    told = both.joined(units, np.cumsum(list(map(len, raw))), b"".join(raw))
+    alone = [both.flat([u]) for u in units]
+    assert told is not None and all(np.array_equal(x, np.concatenate(y)) for x, y in zip(told, zip(*alone, strict=True), strict=True))
+    # Where a unit is not given back, all of them are encoded one by one.
+    odd = [" a", " ▁b", " c"]
+    assert both.joined(odd, np.cumsum([len(u.encode()) for u in odd]), "".join(odd).encode()) is None
+    assert both.flat(odd)[4].tolist() == [True, False, True]
+    assert [x.tolist() for x in both.flat([])] == [[]] * 5
+
+
 def test_edges(spark):
     assert got(frame(spark)) == brute([(r[0], r[1]) for r in rows()])
     assert got(empty(spark)) == []

@@ -50,8 +50,14 @@ SPLIT = re.compile(rf"(?<=[^\s{SPACE}])(?= .)", re.DOTALL)
 HEX = re.compile(r"<0x([0-9A-F]{2})>")
 #: Pieces that a worker remembers: it keeps its tokenizers, so these add to all that later tasks take.
 PIECES_HELD = 1 << 18
-#: Units tokenized at a time.
+#: Units encoded as one text at most, and units tokenized at a time.
+JOINED = 1 << 6
 UNITS = 1 << 12
+#: Units written as text at a time.
+UNITS_WRITTEN = 1 << 15
+#: What may follow a token in a unit's text.
+MARKS = (",", "|", ";", "")
+COMMA, BAR, SEMICOLON, LAST = range(4)
 #: Pairs of document and unit looked at together.
 SLICE = 1 << 20
 
@@ -76,6 +82,7 @@ class Tokenizers:
             self.bytes_a[i] = bytes(letters[ord(c)] for c in piece) if all(ord(c) in letters for c in piece) else piece.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := HEX.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
+        self.long_a, self.long_b = (np.array([len(x) for x in of]) for of in (self.bytes_a, self.bytes_b))
         self.splits = splits_safely(self.b, pieces, self.bytes_b)
 
     def units(self, text: str) -> list[str]:
@@ -88,13 +95,15 @@ class Tokenizers:
 
     def flat(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """The same as numbers of ids of each unit and all ids end to end: n_a, n_b, ids_a, ids_b, same."""
+        raw = [u.encode() for u in units]
+        ends, whole = np.cumsum([len(x) for x in raw]), b"".join(raw)
+        if joined := self.splits and self.joined(units, ends, whole):
+            return joined
         a, b = list(map(self.a.encode, units)), self.b.encode([u[1:] for u in units], num_threads=1)
         n_a = np.fromiter(map(len, a), dtype=np.int64, count=len(a)) // self.a.width
         n_b = np.fromiter(map(len, b), dtype=np.int64, count=len(b))
         ids_a = np.frombuffer(b"".join(a), dtype=f"<u{self.a.width}").astype(np.int32)
         ids_b = np.fromiter(chain.from_iterable(b), dtype=np.int32, count=n_b.sum())
-        raw = [u.encode() for u in units]
-        ends, whole = np.cumsum([len(x) for x in raw]), b"".join(raw)
         told = [list(map(of.__getitem__, ids.tolist())) for of, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))]
         cuts = [np.cumsum([0, *map(len, x)])[np.cumsum(n)] for x, n in zip(told, (n_a, n_b), strict=True)]
         if all(b"".join(x) == whole and np.array_equal(cut, ends) for x, cut in zip(told, cuts, strict=True)):
@@ -103,6 +112,28 @@ class Tokenizers:
         sides = (side(x, n) for x, n in zip(told, (n_a, n_b), strict=True))
         return n_a, n_b, ids_a, ids_b, np.array([x == y == z for x, y, z in zip(raw, *sides, strict=True)], dtype=bool)
 
+    def joined(self, units: list[str], ends: np.ndarray, whole: bytes) -> tuple[np.ndarray, ...] | None:
+        """As `flat`, but many units are encoded as one text, and its ids are cut where units end;
+        None unless all are given back byte for byte and a token ends with every unit."""
+        texts, start = [], 0
+        for stop, unit in enumerate(units, 1):
+            # A unit that ends in white space might go on in the one after it, so it ends a text.
+            if stop - start == JOINED or stop == len(units) or unit[-1] == SPACE or unit[-1].isspace():
+                texts.append("".join(units[start:stop]))
+                start = stop
+        told = [x.ids for x in self.a.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+        numbers, sides = [], []
+        for of, long, side in zip((self.bytes_a, self.bytes_b), (self.long_a, self.long_b), told, strict=True):
+            flat = list(chain.from_iterable(side))
+            ids = np.array(flat, dtype=np.int32)
+            cuts = np.cumsum(long[ids])
+            at = np.searchsorted(cuts, ends)
+            if b"".join(map(of.__getitem__, flat)) != whole or not np.array_equal(cuts[at], ends):
+                return None
+            numbers.append(np.diff(at, prepend=-1))
+            sides.append(ids)
+        return *numbers, *sides, np.ones(len(units), dtype=bool)
+
 
 def splits_safely(model, pieces: list[str], bytes_of: list[bytes]) -> bool:
     """Whether no piece goes on over a space and the model changes no character before it splits."""
@@ -147,8 +178,7 @@ def _chunk(number: int, doc_ids: list, sizes: list[int], order: array, units: li
     # Units some at a time, as libraries' results take many times the room of ids.
     told = [both.flat(units[k : k + UNITS]) for k in range(0, max(1, len(units)), UNITS)]
     n_a, n_b, ids_a, ids_b, sound = (np.concatenate(x) for x in zip(*told, strict=True))
-    long_a, long_b = np.array([len(x) for x in both.bytes_a]), np.array([len(x) for x in both.bytes_b])
-    len_a, len_b = long_a[ids_a].astype("<i4").tobytes(), long_b[ids_b].astype("<i4").tobytes()
+    len_a, len_b = both.long_a[ids_a].astype("<i4").tobytes(), both.long_b[ids_b].astype("<i4").tobytes()
     known: dict[tuple[bytes, bytes], int] = {}
     lists, at_a, at_b = [], 0, 0
     for x, y in zip(n_a.tolist(), n_b.tolist(), strict=True):
@@ -270,15 +300,34 @@ class Chunk:
 
     def texts(self) -> list[str]:
         """Every unit's groups as text."""
-        shapes: dict[int, tuple[str, np.ndarray]] = {}
-        for k in np.unique(self.lists).tolist():
-            a, b = self.group_a.at(k), self.group_b.at(k)
-            cut = [(np.flatnonzero(a == g), len(a) + np.flatnonzero(b == g)) for g in range(int(a[-1]) + 1)]
-            shapes[k] = (";".join(",".join(["%d"] * len(x)) + "|" + ",".join(["%d"] * len(y)) for x, y in cut), np.concatenate([p for xy in cut for p in xy]))
-        ids_a, ids_b, out = self.ids_a, self.ids_b, []
-        for k, x, n, y, m in zip(self.lists.tolist(), self.first_a.tolist(), self.n_a.tolist(), self.first_b.tolist(), self.n_b.tolist(), strict=True):
-            shape, order = shapes[k]
-            out.append(shape % tuple(np.concatenate((ids_a[x : x + n], ids_b[y : y + m]))[order].tolist()))
+        # Once per list: the order of its tokens by group and side, and the mark after each.
+        size_a, size_b = self.group_a.sizes, self.group_b.sizes
+        n = size_a + size_b
+        of_list = np.concatenate((np.repeat(np.arange(len(n)), size_a), np.repeat(np.arange(len(n)), size_b)))
+        group = np.concatenate((self.group_a.flat, self.group_b.flat))
+        # A token's place on its side; places of B are below zero.
+        place = np.concatenate((_ranges(np.zeros_like(size_a), size_a), -1 - _ranges(np.zeros_like(size_b), size_b)))
+        order = np.lexsort((place < 0, group, of_list))
+        of_list, group, place = of_list[order], group[order], place[order]
+        mark = np.full(len(order), LAST)
+        if len(order):
+            same = of_list[1:] == of_list[:-1]
+            within = np.where((place[1:] < 0) == (place[:-1] < 0), COMMA, BAR)
+            mark[:-1] = np.where(same, np.where(group[1:] == group[:-1], within, SEMICOLON), LAST)
+        first, out = np.cumsum(n) - n, []
+        # Units some at a time, as strings take many times the room of ids.
+        for at in range(0, len(self.lists), UNITS_WRITTEN):
+            lists = self.lists[at : at + UNITS_WRITTEN]
+            took = _ranges(first[lists], n[lists])
+            put, side_b = place[took], place[took] < 0
+            start_a, start_b = (np.repeat(x[at : at + UNITS_WRITTEN], n[lists]) for x in (self.first_a, self.first_b))
+            ids = np.empty(len(took), dtype=np.int64)
+            ids[~side_b] = self.ids_a[(start_a + put)[~side_b]]
+            ids[side_b] = self.ids_b[(start_b - 1 - put)[side_b]]
+            distinct, code = np.unique(ids * len(MARKS) + mark[took], return_inverse=True)
+            words = [f"{x // len(MARKS)}{MARKS[x % len(MARKS)]}" for x in distinct.tolist()]
+            told, ends = list(map(words.__getitem__, code.tolist())), np.cumsum(n[lists])
+            out += ["".join(told[x:y]) for x, y in zip((ends - n[lists]).tolist(), ends.tolist(), strict=True)]
         return out
 
 
