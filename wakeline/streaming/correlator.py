@@ -1,7 +1,7 @@
 """Transmissions opened, suspected, confirmed, discarded, extended and reopened on a stream.
 
-State is kept per identity (a reading exchange, a writer, a resource), so a resource that
-everyone uses is spread over its readers. Writes reach it as co-accesses: `held` keeps them
+State is kept per block of identities (a reading exchange, a writer, a resource), so a resource
+that everyone uses is spread over its readers. Writes reach it as co-accesses: `held` keeps them
 until their result is known, `paired` joins them to later reads. All rows wait in state until
 the watermark has passed them and are then taken in order of time, so the updates are those
 of `operators.flow.correlations` whatever the order of arrival. What retention has passed
@@ -10,11 +10,10 @@ is dropped from state.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -64,32 +63,64 @@ class Identity:
 
 
 class Correlator(StatefulProcessor):
-    """Input rows: keys, kind `read` or `evidence`, at in microseconds."""
+    """Input rows: keys, kind `read` or `evidence`, at in microseconds; the identities of a block share its state.
 
-    def __init__(self, timing: Timing, keys: list[str]):
-        self.timing, self.keys = timing, keys
+    A state call costs as much as deciding many identities, so what is known of a block is one
+    row of lists, and so are the rows that a batch leaves waiting.
+    """
+
+    def __init__(self, timing: Timing, types: dict[str, str]):
+        self.timing, self.keys = timing, list(types)
+        self.listed = "".join(f"`{k}` array<{t}>, " for k, t in types.items())
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "opened long, generation int, phase string, held long")
-        self.waiting = handle.getListState("waiting", "at long, kind string")
+        self.known = handle.getValueState("known", self.listed + "opened array<long>, generation array<int>, phase array<string>, held array<long>")
+        self.waiting = handle.getListState("waiting", self.listed + "at array<long>, matched array<boolean>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(at), kind) for part in rows for at, kind in zip(part["at"], part["kind"], strict=True)]
-        self.waiting.appendList(new)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(*(r[k] for k in self.keys), r["at"], r["kind"] == "evidence") for r in rows]
         if new:
-            self._wake(min(at for at, _ in new))
-        yield self._frame(key, [])
+            self.waiting.appendValue(self._lists(new))
+            self._wake(min(r[-2] for r in new))
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # All that the watermark has passed is decided at the first timer of a batch.
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due, later = [r for r in rows if r[0] < until], [r for r in rows if r[0] >= until]
-        one = Identity(self.timing, *self.known.get()) if self.known.exists() else None
+        until, n = timerValues.getCurrentWatermarkInMs() * 1000, len(self.keys)
+        rows = [r for part in self.waiting.get() for r in zip(*part, strict=True)]
+        due, later = defaultdict(list), [r for r in rows if r[n] >= until]
+        for r in rows:
+            if r[n] < until:
+                due[r[:n]].append(r[n:])
+        known = {r[:n]: Identity(self.timing, *r[n:]) for r in zip(*(self.known.get() or ()), strict=True)}
+        met = set(due) | {k for k, one in known.items() if one.deadline < until}
+        if not met:
+            return
+        for k in met:
+            one, out = self._decided(known.get(k), due.get(k, ()), until)
+            if one is None or one.phase == "past":
+                known.pop(k, None)
+            else:
+                known[k] = one
+            # Rows, not frames: an identity has few updates, and a frame for each costs more than they do.
+            for update in out:
+                yield Row(**dict(zip(self.keys, k, strict=True)), **dict(zip(UPDATES, update, strict=True)))
+        if len(later) < len(rows):
+            self.waiting.put([self._lists(later)]) if later else self.waiting.clear()
+        if known:
+            self.known.update(self._lists([(*k, *one.stored) for k, one in known.items()]))
+        else:
+            self.known.clear()
+        # One timer, for the next row or change, so that a batch reads what waits once.
+        if later or known:
+            self._wake(min([r[n] for r in later] + [one.deadline for one in known.values()]))
+
+    def _decided(self, one: Identity | None, rows: Iterable[tuple], until: int) -> tuple[Identity | None, list[tuple]]:
+        """An identity and its updates after its rows (at, matched), up to a time."""
         out: list[tuple] = []
         # Reads before evidence of the same time; matches of one time are one update.
-        for (at, is_match), n in sorted(Counter((at, kind == "evidence") for at, kind in due).items()):
+        for (at, is_match), n in sorted(Counter(rows).items()):
             while one and one.phase != "past" and one.deadline < at:
                 out += one.expire()
             if one is None and not is_match:
@@ -99,35 +130,33 @@ class Correlator(StatefulProcessor):
                 out += one.match(at, n)
         while one and one.phase != "past" and one.deadline < until:
             out += one.expire()
-        self.waiting.put(later) if later else self.waiting.clear()
-        # One timer, for the next row or change, so that a batch reads what waits once.
-        if later:
-            self._wake(min(at for at, _ in later))
-        if one is None or one.phase == "past":
-            self.known.clear()
-        else:
-            self.known.update(one.stored)
-            self._wake(one.deadline)
-        yield self._frame(key, out)
+        return one, out
+
+    @staticmethod
+    def _lists(rows: list[tuple]) -> tuple:
+        return tuple(map(list, zip(*rows, strict=True)))
 
     def _wake(self, us: int) -> None:
         self.handle.registerTimer(us // 1000 + 1)
 
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *u) for u in out], columns=[*self.keys, *UPDATES])
-
     def close(self) -> None:
         pass
 
 
-def correlated(events: DataFrame, keys: list[str], timing: Timing, delay: str = "1 minute") -> DataFrame:
-    """Updates (keys, generation, update, at, matches) of events (keys, kind, at, ts), ts being `at` as a timestamp."""
-    types = dict(events.dtypes)
+def correlated(events: DataFrame, keys: list[str], timing: Timing, delay: str = "1 minute", block: Column | None = None) -> DataFrame:
+    """Updates (keys, generation, update, at, matches) of events (keys, kind, at, ts), ts being `at` as a timestamp.
+
+    block: a function of the keys; identities of one block share a state, which is read and written
+    whole whenever one of them changes, so a block should hold some hundreds that are open at the
+    same time. Without it an identity has a state of its own, whose calls cost most of the time.
+    """
+    types = {k: dict(events.dtypes)[k] for k in keys}
+    blocked = events.select(*keys, "kind", "at", "ts", (F.xxhash64(*keys) if block is None else block).alias("_block"))
     return (
-        events.withWatermark("ts", delay)
-        .groupBy(*keys)
-        .transformWithStateInPandas(
-            Correlator(timing, keys), outputStructType=", ".join(f"{k} {types[k]}" for k in keys) + ", " + UPDATE_TYPES, outputMode="Append", timeMode="EventTime"
+        blocked.withWatermark("ts", delay)
+        .groupBy("_block")
+        .transformWithState(
+            Correlator(timing, types), outputStructType=", ".join(f"`{k}` {t}" for k, t in types.items()) + ", " + UPDATE_TYPES, outputMode="Append", timeMode="EventTime"
         )
     )
 
