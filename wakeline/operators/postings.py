@@ -45,14 +45,21 @@ class Postings:
         for name in self.names.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def _append(self, kind: str, rows: DataFrame) -> None:
+    def _bucketed(self, rows: DataFrame) -> DataFrame:
         # A task holds one bucket, so each day gets a file for it.
-        columns = [c.split()[0] for c in COLUMNS[kind].split(", ")]
-        rows.select(*columns).repartition(self.buckets, "fp").write.insertInto(self.names[kind])
+        return rows.repartition(self.buckets, "fp")
+
+    def _write(self, kind: str, rows: DataFrame) -> None:
+        rows.select(*[c.split()[0] for c in COLUMNS[kind].split(", ")]).write.insertInto(self.names[kind])
+
+    def _append(self, kind: str, rows: DataFrame) -> None:
+        self._write(kind, self._bucketed(rows))
 
     def observe(self, prints: DataFrame) -> None:
-        """Count the fingerprints (text, fp, day) of texts, each once a text."""
-        self._append("observed", prints.select("text", "fp", "day").distinct().groupBy("fp", "day").agg(F.count("*").alias("texts")))
+        """Count the fingerprints (text, fp, day) of texts, each once a text: all is done where
+        the buckets are, so that the prints are shuffled once."""
+        held = self._bucketed(prints.select("text", "fp", "day")).distinct()
+        self._write("observed", held.groupBy("fp", "day").agg(F.count("*").alias("texts")))
 
     def frequency(self, since: int) -> DataFrame:
         """(fp, texts) of the days from `since` on: no shuffle, as the table is bucketed."""

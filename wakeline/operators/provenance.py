@@ -62,6 +62,13 @@ def grams(rows: DataFrame, key: str, text: str, width: int = GRAM, portable: boo
     return _emitted(rows, key, text, find)
 
 
+def _known_places(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that are among sorted ones."""
+    if not len(known):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+
+
 def shared_grams(rows: DataFrame, key: str, text: str, origins: DataFrame, origin_text: str, width: int = GRAM, most: int = BROADCAST_GRAMS) -> DataFrame:
     """(key, pos, fp) of the grams that some origin text has too, fp being portable.
 
@@ -78,10 +85,7 @@ def shared_grams(rows: DataFrame, key: str, text: str, origins: DataFrame, origi
     sent = rows.sparkSession.sparkContext.broadcast(np.sort(rolled.toPandas()["fp"].to_numpy(dtype=np.int64)))
 
     def find(value: str) -> tuple[np.ndarray, np.ndarray]:
-        known, hashes = sent.value, rolling_hashes(code_points(value), width)
-        if not len(known):
-            return hashes[:0], hashes[:0]
-        at = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        at = _known_places(sent.value, rolling_hashes(code_points(value), width))
         return at, portable_hashes(value, at, width)
 
     return _emitted(rows, key, text, find).join(own, "fp", "left_semi").select(key, "pos", "fp")
@@ -134,12 +138,28 @@ def winnowed(rows: DataFrame, key: str, text: str, width: int = GRAM, window: in
     Everything happens inside the row, so no gram that is not kept is ever shuffled. The
     rolling hash is some ten times cheaper than the portable one, which SQL can repeat.
     """
+    return _emitted(rows, key, text, lambda value: _winnow(value, width, window, portable))
+
+
+def _winnow(value: str, width: int, window: int, portable: bool) -> tuple[np.ndarray, np.ndarray]:
+    every = range(max(0, len(value) - width + 1))
+    hashes = portable_hashes(value, every, width) if portable else rolling_hashes(code_points(value), width)
+    at = winnow_places(hashes, window)
+    return at, hashes[at]
+
+
+def winnowed_among(rows: DataFrame, key: str, text: str, among: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
+    """(key, pos, fp) of the portable winnowed grams that are among some (fp). Every text is winnowed
+    whole; if those asked for are at most `most`, others do not leave the row, else they go in a join."""
+    asked = checkpoint(among.select("fp").where("fp IS NOT NULL").distinct())
+    if asked.count() > most:
+        return winnowed(rows, key, text, portable=True).join(asked, "fp", "left_semi").select(key, "pos", "fp")
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(asked.toPandas()["fp"].to_numpy(dtype=np.int64)))
 
     def find(value: str) -> tuple[np.ndarray, np.ndarray]:
-        every = range(max(0, len(value) - width + 1))
-        hashes = portable_hashes(value, every, width) if portable else rolling_hashes(code_points(value), width)
-        at = winnow_places(hashes, window)
-        return at, hashes[at]
+        at, hashes = _winnow(value, GRAM, WINDOW, portable=True)
+        held = _known_places(sent.value, hashes)
+        return at[held], hashes[held]
 
     return _emitted(rows, key, text, find)
 
